@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions import keys
@@ -15,6 +15,12 @@ def scope_files(changed: DataFrame, untracked: DataFrame) -> DataFrame:
     return trimmed.where(F.col("rel_file") != "").distinct()
 
 
+def dedup_in_order(df: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """The first row of each key; ``dropDuplicates`` does where order does not matter."""
+    first = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+
+
 def live_claims(claims: DataFrame, as_of: Column) -> DataFrame:
     """Claims whose time to live has not run out at ``as_of``."""
     ends = F.col("observed_at") + F.make_dt_interval(secs=F.col("ttl_seconds"))
