@@ -46,7 +46,7 @@ def changed_attributes(before: Column, after: Column, after_unknown: Column) ->
         F.coalesce(F.map_keys(after_unknown), empty),
         lambda k: ~_json(F.try_element_at(after_unknown, k)).isin(*_FALSY_JSON),
     )
-    return F.array_sort(F.array_union(differing, unknown))
+    return F.sort_array(F.array_union(differing, unknown))
 
 
 def is_terraform_owned(resource_type: Column, attributes: Column) -> Column:
@@ -73,63 +73,50 @@ def first_by_priority(resource_type: Column, hits: Column) -> Column:
     return F.array_min(ranked)["attribute"]
 
 
-def classify_change(resource_type: Column, actions: Column, attributes: Column) -> Column:
-    """``STRUCT<classification, attribute, _reason>`` of one change."""
+def is_clean(actions: Column) -> Column:
+    """True for a change that classifies as ``ok``: nothing but no-ops, or a plain read."""
+    return (F.size(F.array_remove(actions, "no-op")) == 0) | (actions == F.array(F.lit("read")))
+
+
+def classify_change(resource_type: Column, actions: Column, attributes: Column, hits: Column) -> Column:
+    """``STRUCT<classification, attribute, _reason>`` of one change.
+
+    ``hits`` is ``negating_hits`` of the same change, taken as a column so that
+    it is computed once.
+    """
     none = F.lit(None).cast("string")
-    acts = F.filter(actions, lambda a: a != "no-op")
-    has = lambda verb: F.array_contains(acts, verb)
+    acts = F.array_remove(actions, "no-op")
     serving = resource_type.isin(*fv.SERVING_TYPES)
     sensitive = resource_type.isin(*fv.SENSITIVE_CREATE_TYPES)
-    hits = negating_hits(resource_type, attributes)
     top = first_by_priority(resource_type, hits)
-    others = F.array_join(F.array_remove(hits, top), ", ")
-    why = F.try_element_at(_literal_map(_REASONS), _pair(resource_type, top))
+    reason = F.try_element_at(_literal_map(_REASONS), _pair(resource_type, top))
+    others = F.concat(F.lit(" [also negating: "), F.array_join(F.array_remove(hits, top), ", "), F.lit("]"))
+
+    def has(verb: str) -> Column:
+        return F.array_contains(acts, verb)
 
-    def verdict(classification: str, attribute: Column, reason: Column) -> Column:
+    def verdict(classification: str, attribute: Column, *reason_parts: str | Column) -> Column:
+        parts = [F.lit(part) if isinstance(part, str) else part for part in reason_parts]
         return F.struct(
-            F.lit(classification).alias("classification"), attribute.alias("attribute"), reason.alias("_reason")
+            F.lit(classification).alias("classification"), attribute.alias("attribute"), F.concat(*parts).alias("_reason")
         )
 
+    only_create = acts == F.array(F.lit("create"))
+    verb = F.when(has("create"), F.lit("replace")).otherwise(F.lit("destroy"))
+    live = verdict("active_negation", none, verb, " of a live serving resource (", resource_type, ")")
+    grant = verdict("in_place_change", none, "create of a security-sensitive resource (", resource_type, ")")
+    negated = verdict("active_negation", top, reason, F.when(F.size(hits) > 1, others).otherwise(F.lit("")))
+    updated = verdict("in_place_change", F.try_element_at(attributes, F.lit(1)), "update in place")
     return (
-        F.when(F.size(acts) == 0, verdict("ok", none, F.lit("no change")))
-        .when(actions == F.array(F.lit("read")), verdict("ok", none, F.lit("data source refresh")))
-        .when(
-            has("delete") & serving,
-            verdict(
-                "active_negation",
-                none,
-                F.concat(
-                    F.when(has("create"), F.lit("replace")).otherwise(F.lit("destroy")),
-                    F.lit(" of a live serving resource ("),
-                    resource_type,
-                    F.lit(")"),
-                ),
-            ),
-        )
-        .when(has("delete"), verdict("in_place_change", none, F.concat(F.lit("destroy of "), resource_type)))
-        .when(
-            (acts == F.array(F.lit("create"))) & sensitive,
-            verdict(
-                "in_place_change",
-                none,
-                F.concat(F.lit("create of a security-sensitive resource ("), resource_type, F.lit(")")),
-            ),
-        )
-        .when(acts == F.array(F.lit("create")), verdict("benign_add", none, F.lit("create")))
-        .when(
-            has("update") & (F.size(hits) > 0),
-            verdict(
-                "active_negation",
-                top,
-                F.when(F.size(hits) > 1, F.concat(why, F.lit(" [also negating: "), others, F.lit("]"))).otherwise(why),
-            ),
-        )
-        .when(
-            has("update"), verdict("in_place_change", F.try_element_at(attributes, F.lit(1)), F.lit("update in place"))
-        )
-        .otherwise(
-            verdict("unknown", none, F.concat(F.lit("unrecognised actions "), F.to_json(actions)))
-        )
+        F.when(F.size(acts) == 0, verdict("ok", none, "no change"))
+        .when(actions == F.array(F.lit("read")), verdict("ok", none, "data source refresh"))
+        .when(has("delete") & serving, live)
+        .when(has("delete"), verdict("in_place_change", none, "destroy of ", resource_type))
+        .when(only_create & sensitive, grant)
+        .when(only_create, verdict("benign_add", none, "create"))
+        .when(has("update") & (F.size(hits) > 0), negated)
+        .when(has("update"), updated)
+        .otherwise(verdict("unknown", none, "unrecognised actions ", F.to_json(actions)))
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetscope import fixed_values as fv
 from fleetscope.functions import change_rules as rules
 from fleetscope.operators.ordered_scan import MAX_ROWS
-from fleetscope.session import broadcast_if_small
+from fleetscope.session import broadcast_if_small, materialize
 
 
 def classify_changes(changes: DataFrame) -> DataFrame:
@@ -17,17 +17,22 @@ def classify_changes(changes: DataFrame) -> DataFrame:
     ``changes``: run_id, address, type, actions, before, after, after_unknown.
     A narrow transformation; no before/after value reaches the output.
     """
-    judged = changes.withColumn(
-        "_attrs", rules.changed_attributes(F.col("before"), F.col("after"), F.col("after_unknown"))
-    ).select(
-        "run_id",
-        F.coalesce(F.nullif("address", F.lit("")), F.col("type")).alias("resource"),
-        F.col("type").alias("kind"),
-        rules.classify_change(F.col("type"), F.col("actions"), F.col("_attrs")).alias("_v"),
-        rules.is_terraform_owned(F.col("type"), F.col("_attrs")).alias("terraform_owned"),
-    )
-    return judged.where(F.col("_v.classification") != "ok").select(
-        "run_id", "resource", "kind", "_v.attribute", "_v.classification", "terraform_owned", "_v._reason"
+    kind, attrs, hits = F.col("type"), F.col("_attrs"), F.col("_hits")
+    # what classifies as ok is known from the actions alone and dropped before any map is read
+    return (
+        changes.where(~rules.is_clean(F.col("actions")))
+        .withColumn("_attrs", rules.changed_attributes(F.col("before"), F.col("after"), F.col("after_unknown")))
+        .withColumn("_hits", rules.negating_hits(kind, attrs))
+        .withColumn("_v", rules.classify_change(kind, F.col("actions"), attrs, hits))
+        .select(
+            "run_id",
+            F.coalesce(F.nullif("address", F.lit("")), kind).alias("resource"),
+            kind.alias("kind"),
+            "_v.attribute",
+            "_v.classification",
+            rules.is_terraform_owned(kind, attrs).alias("terraform_owned"),
+            "_v._reason",
+        )
     )
 
 
@@ -58,11 +63,11 @@ def scrub_payload(
     task orders more than about ``max_rows`` of them; batch ids stay contiguous.
     """
     public = [c for c in records.columns if not c.startswith("_")]
+    records = materialize(records.select(*public), "records")
     sizes = records.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / max_rows).alias("_slices"))
     wide = broadcast_if_small(sizes.where(F.col("_slices") > 1))
     sliced = (
-        records.select(*public)
-        .join(wide, "run_id", "left")
+        records.join(wide, "run_id", "left")
         .withColumn(
             "_slice",
             F.when(F.col("_slices") > 1, F.pmod(F.xxhash64(*public), F.col("_slices"))).otherwise(F.lit(0)).cast("bigint"),

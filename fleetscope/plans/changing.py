@@ -77,7 +77,7 @@ records AS (SELECT * FROM judged WHERE classification <> 'ok')
 
 
 def _docs(t: Tables) -> DataFrame:
-    return t.sql(CHANGE_DOCS)
+    return t.sql(CHANGE_DOCS, heavy=True)
 
 
 def _runs(t: Tables) -> DataFrame:

@@ -62,7 +62,7 @@ nodes AS (
 
 
 def _plans(t: Tables) -> DataFrame:
-    return t.sql(PLAN_DOCS)
+    return t.sql(PLAN_DOCS, heavy=True)
 
 
 @query(

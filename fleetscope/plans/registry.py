@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscope.session import spread
+
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -41,9 +43,12 @@ class Tables:
         plain = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
 
-    def sql(self, text: str, **frames: DataFrame) -> DataFrame:
+    def sql(self, text: str, heavy: bool = False) -> DataFrame:
+        """A shared SQL text over the tables; ``heavy`` if what follows is bound by CPU, not by reading."""
         used = {name: self(name) for name in TABLE_NAMES if f"{{{name}}}" in text}
-        return self.spark.sql(text, **used, **frames)
+        if heavy:
+            used = {name: spread(df) for name, df in used.items()}
+        return self.spark.sql(text, **used)
 
     def stream(self, name: str, schema: str) -> DataFrame:
         reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")

@@ -78,6 +78,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a source with fewer splits than cores, as a small single file is, over all cores.
+
+    A large source has more splits than cores and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_by_value(module: str) -> None:
     """Send the module's Python functions with the tasks, as executors have no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -58,7 +58,9 @@ def explode_changes(docs: DataFrame) -> DataFrame:
     """
     parsed = docs.select("run_id", F.from_json("doc", CHANGE_SCHEMA)["resource_changes"].alias("_list"))
     one = F.col("_c.change")
-    return parsed.select("run_id", F.explode("_list").alias("_c")).select(
+    # the outer form, because a plain explode makes Spark infer a filter that parses the document again
+    listed = parsed.select("run_id", F.explode_outer("_list").alias("_c")).where(F.col("_c").isNotNull())
+    return listed.select(
         "run_id",
         F.col("_c.address").alias("address"),
         F.coalesce(F.nullif(F.col("_c.type"), F.lit("")), F.lit("unknown")).alias("type"),
