@@ -17,15 +17,22 @@ DFS_EDGES = 200_000
 CYCLE_COLUMNS = "scc string, cycle_no int, position bigint, stem string"
 
 
+def _end(column: str, entered: bool):
+    return F.struct(F.col(column).alias("stem"), F.lit(entered).alias("entered"))
+
+
 def _trim(edges: DataFrame) -> DataFrame:
     """Edges that may lie on a cycle: something enters their source and leaves their target."""
     before = -1
     while True:
         for _ in range(2):
-            left = edges.select(F.col("src").alias("dst")).distinct()
-            entered = edges.select(F.col("dst").alias("src")).distinct()
-            edges = edges.join(left, "dst", "left_semi").join(entered, "src", "left_semi").select("src", "dst")
-        edges = materialize(edges, "trim")
+            ends = edges.select(F.explode(F.array(_end("src", False), _end("dst", True))).alias("e")).select("e.*")
+            inner = ends.groupBy("stem").agg(F.min("entered").alias("never_left"), F.max("entered").alias("entered"))
+            inner = inner.where("entered AND NOT never_left").select("stem")
+            edges = edges.join(inner.withColumnRenamed("stem", "src"), "src", "left_semi").join(
+                inner.withColumnRenamed("stem", "dst"), "dst", "left_semi"
+            )
+        edges = materialize(edges.select("src", "dst"), "trim")
         now = edges.count()
         if now in (0, before):
             return edges

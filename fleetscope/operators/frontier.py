@@ -17,17 +17,22 @@ from fleetscope.session import materialize, write_step
 MAX_STEPS = 100_000
 
 
-def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """All nodes reachable from ``seeds`` (column stem) along edges(src, dst), seeds included."""
-    read = edges.sparkSession.read.schema("stem string").parquet
-    written = [write_step(seeds.select("stem").distinct(), "frontier")]
-    steps = edges.select(F.col("src").alias("stem"), "dst")
+def closure(edges: DataFrame, seeds: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """All nodes reachable from ``seeds`` (column stem) along edges(src, dst), seeds included.
+
+    ``within`` names columns both sides carry and every step keeps, so several
+    searches advance in the same steps.
+    """
+    at = ["stem", *within]
+    steps = edges.select(F.col("src").alias("stem"), "dst", *within)
+    written = [write_step(seeds.select(*at).distinct(), "frontier")]
+    read = seeds.sparkSession.read.schema(seeds.select(*at).schema).parquet
     for _ in range(MAX_STEPS):
         frontier = read(written[-1])
         if frontier.isEmpty():
             return read(*written)
-        ahead = frontier.join(steps, "stem").select(F.col("dst").alias("stem")).distinct()
-        written.append(write_step(ahead.join(read(*written), "stem", "left_anti"), "frontier"))
+        ahead = frontier.join(steps, at).select(F.col("dst").alias("stem"), *within).distinct()
+        written.append(write_step(ahead.join(read(*written), at, "left_anti"), "frontier"))
     raise RuntimeError(f"no end after {MAX_STEPS} steps")
 
 

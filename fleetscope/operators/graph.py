@@ -50,10 +50,12 @@ def visible(graph: Graph, include_shipped: bool = False) -> DataFrame:
     """Stems to show: unfinished ones, all they depend on, and all that depend on them."""
     if include_shipped:
         return graph.nodes.select("stem")
-    anchors = materialize(graph.nodes.where(~F.col("status").isin(*fv.FINISHED_WORDS)).select("stem"), "anchors")
-    down = closure(graph.edges, anchors)
-    up = closure(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), anchors)
-    return down.union(up).distinct()
+    unfinished = graph.nodes.where(~F.col("status").isin(*fv.FINISHED_WORDS)).select("stem")
+    ways = F.explode(F.array(F.lit("down"), F.lit("up"))).alias("way")
+    both = graph.edges.select("src", "dst", F.lit("down").alias("way")).union(
+        graph.edges.select("dst", "src", F.lit("up").alias("way"))
+    )
+    return closure(both, unfinished.select("stem", ways), within=("way",)).select("stem").distinct()
 
 
 def roots(graph: Graph, shown: DataFrame) -> DataFrame:

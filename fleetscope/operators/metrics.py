@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from fleetscope import fixed_values as fv
 from fleetscope.functions.text_rules import term_match
 from fleetscope.operators.ordered_scan import MAX_ROWS, exact_percentile
-from fleetscope.session import broadcast_if_small
+from fleetscope.session import broadcast_if_small, materialize, small_table
 
 SERIES = ["alarm", "series"]
 
 
 def declared_alarms(spark: SparkSession) -> DataFrame:
     """The ten declared alarms as a table."""
-    return spark.createDataFrame(list(fv.ALARMS), fv.ALARM_COLUMNS)
+    return small_table(spark, list(fv.ALARMS), fv.ALARM_COLUMNS)
 
 
 def log_metric(lines: DataFrame, terms, period_s: int, watermark: str | None = None) -> DataFrame:
@@ -100,6 +100,7 @@ def fill_missing(
     series that never published; they need ``since``.
     """
     step = F.make_dt_interval(secs=F.col("period_s"))
+    periods = materialize(periods, "periods")
     spans = periods.groupBy(*SERIES).agg(F.min("period_start").alias("_first"))
     if expected is not None:
         silent = expected.select(*SERIES, F.lit(None).cast("timestamp").alias("_first"))

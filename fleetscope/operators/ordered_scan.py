@@ -3,11 +3,12 @@
 A plain window sends every row of a key through one task. Here keys with more
 than ``max_rows`` rows are cut into consecutive blocks of the ordering column
 first: the rows are windowed per (key, block), and what a block inherits from
-the blocks before it comes from a small per-block table.
+the blocks before it comes from a small per-block table. A block that is still
+too full, as in a burst, is cut again in the same way.
 
-The rows are shuffled once, by (key, block). Both side tables are small by
-construction: a key is listed only if it has more than ``max_rows`` rows, so
-there are at most rows / max_rows of them, and twice as many blocks.
+The rows are shuffled once, by (key, block). The side tables are small: a key or
+block is listed only if it has more than ``max_rows`` rows, so there are at most
+rows / max_rows of them. They are counted before they are broadcast.
 """
 
 from __future__ import annotations
@@ -17,16 +18,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetscope.session import BROADCAST_ROWS, materialize
+from fleetscope.session import broadcast_if_small, materialize
 
 MAX_ROWS = 4_000_000
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Left join on ``names``, where NULL equals NULL; the right side's copies are dropped."""
+    side = right.withColumnsRenamed({name: f"_r_{name}" for name in names})
+    match = F.lit(True)
+    for name in names:
+        match = match & left[name].eqNullSafe(side[f"_r_{name}"])
+    return left.join(side, match, "left").drop(*[f"_r_{name}" for name in names])
+
+
 class OrderedScan:
     """Rows of ``df`` grouped by ``keys`` and ordered by ``order`` then ``ties``.
 
-    ``order`` is one numeric or timestamp column; rows that share its value
-    stay in one block. Each method returns a new scan; ``frame`` is the result.
+    ``order`` is one numeric or timestamp column; rows that share its value stay
+    in one block. ``position`` is a number that never falls as ``order`` rises,
+    by which blocks are cut; by default ``order`` itself. Methods return a new
+    scan; ``frame`` is the result.
     """
 
     def __init__(
@@ -36,78 +48,58 @@ class OrderedScan:
         order: str,
         ties: Sequence[str] = (),
         descending: bool = False,
+        position: Column | None = None,
         max_rows: int = MAX_ROWS,
     ):
+        self._df = df
         self._keys = list(keys)
-        self._order = [F.col(c).desc() if descending else F.col(c).asc() for c in (order, *ties)]
-        self._block_order = F.col("_block").desc() if descending else F.col("_block").asc()
-        self._max_order = F.struct(*[F.col(c) for c in (order, *ties)])
+        self._blocks: list[str] = []
         self._descending = descending
-        kind = dict(df.dtypes)[order]
-        self._position = (
-            F.unix_micros(order) if kind == "timestamp" else F.col(order)
-        ).cast("double")
-        self._hot = self._find_hot(df, max_rows)
-        self._df = self._with_block(df)
-
-    def _find_hot(self, df: DataFrame, max_rows: int) -> DataFrame | None:
-        spread = (
-            df.groupBy(*self._keys)
+        self._order = [F.col(c).desc() if descending else F.col(c).asc() for c in (order, *ties)]
+        self._place = F.struct(*[F.col(c) for c in (order, *ties)])
+        if position is None:
+            position = F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order)
+        self._position = position.cast("double")
+        while self._cut(max_rows):
+            pass
+
+    def _cut(self, max_rows: int) -> bool:
+        """Cut the keys, or the last blocks, that hold more than ``max_rows`` rows."""
+        by = self._keys + self._blocks
+        rows = self._df.where(F.col(self._blocks[-1]).isNotNull()) if self._blocks else self._df
+        full = (
+            rows.groupBy(*by)
             .agg(F.count(F.lit(1)).alias("_n"), F.min(self._position).alias("_lo"), F.max(self._position).alias("_hi"))
-            .where(F.col("_n") > max_rows)
+            .where((F.col("_n") > max_rows) & (F.col("_lo") < F.col("_hi")))
             .withColumn("_parts", F.ceil(F.col("_n") / max_rows))
-            .withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.col("_parts"))
-            .where(F.col("_width") > 0)
+            .select(*by, "_lo", "_parts", ((F.col("_hi") - F.col("_lo")) / F.col("_parts")).alias("_width"))
         )
-        hot = materialize(spread, "hot-keys")
-        rows = hot.limit(BROADCAST_ROWS + 1).count()
-        if rows == 0:
-            return None
-        return F.broadcast(hot) if rows <= BROADCAST_ROWS else hot
-
-    def _key_match(self, left: DataFrame, right: DataFrame, extra: Sequence[str] = ()) -> Column:
-        match = F.lit(True)
-        for name in [*self._keys, *extra]:
-            match = match & left[name].eqNullSafe(right[f"_r_{name}"])
-        return match
-
-    def _side(self, df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        return df.withColumnsRenamed({name: f"_r_{name}" for name in [*self._keys, *extra]})
-
-    def _drop_side(self, df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        return df.drop(*[f"_r_{name}" for name in [*self._keys, *extra]])
-
-    def _with_block(self, df: DataFrame) -> DataFrame:
-        if self._hot is None:
-            return df
-        hot = self._side(self._hot)
-        offset = F.floor((self._position - F.col("_lo")) / F.col("_width"))
-        block = F.least(offset, F.col("_parts") - 1)
-        joined = df.join(hot, self._key_match(df, hot), "left").withColumn("_block", block.cast("bigint"))
-        return self._drop_side(joined).drop("_n", "_lo", "_hi", "_parts", "_width")
-
-    def _partition(self) -> list[str]:
-        return self._keys if self._hot is None else [*self._keys, "_block"]
+        full = materialize(full, "full-keys")
+        if full.isEmpty():
+            return False
+        block = f"_block{len(self._blocks)}"
+        number = F.least(F.floor((self._position - F.col("_lo")) / F.col("_width")), F.col("_parts") - 1)
+        cut = _null_safe_join(self._df, broadcast_if_small(full), by).withColumn(block, number.cast("bigint"))
+        self._df = cut.drop("_lo", "_parts", "_width")
+        self._blocks.append(block)
+        return True
 
     def _window(self):
-        return Window.partitionBy(*self._partition()).orderBy(*self._order).rowsBetween(Window.unboundedPreceding, 0)
+        by = Window.partitionBy(*self._keys, *self._blocks)
+        return by.orderBy(*self._order).rowsBetween(Window.unboundedPreceding, 0)
 
     def _inherited(self, per_block: dict[str, Column], combine) -> DataFrame:
-        """``self._df`` plus one column per entry: its combination over the earlier blocks of the key."""
-        before = Window.partitionBy(*self._keys).orderBy(self._block_order)
-        before = before.rowsBetween(Window.unboundedPreceding, -1)
+        """The rows plus one column per entry: its combination over the earlier blocks of the key."""
+        by = self._keys + self._blocks
+        forward = [F.col(b).desc() if self._descending else F.col(b).asc() for b in self._blocks]
+        before = Window.partitionBy(*self._keys).orderBy(*forward).rowsBetween(Window.unboundedPreceding, -1)
         blocks = (
-            self._df.where(F.col("_block").isNotNull())
-            .groupBy(*self._keys, "_block")
+            self._df.where(F.col(self._blocks[0]).isNotNull())
+            .groupBy(*by)
             .agg(*[value.alias(name) for name, value in per_block.items()])
-            .select(*self._keys, "_block", *[combine(name).over(before).alias(name) for name in per_block])
+            .select(*by, *[combine(name).over(before).alias(name) for name in per_block])
         )
-        blocks = materialize(blocks, "block-table")
-        if blocks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            blocks = F.broadcast(blocks)
-        side = self._side(blocks, ["_block"])
-        joined = self._df.join(side, self._key_match(self._df, side, ["_block"]), "left")
-        return self._drop_side(joined, ["_block"])
+        return _null_safe_join(self._df, broadcast_if_small(materialize(blocks, "block-table")), by)
 
     def _next(self, df: DataFrame) -> OrderedScan:
         scan = object.__new__(OrderedScan)
@@ -115,25 +107,32 @@ class OrderedScan:
         scan._df = df
         return scan
 
-    def with_column(self, name: str, value: Column) -> OrderedScan:
-        return self._next(self._df.withColumn(name, value))
-
     def running_sum(self, value: Column, out: str) -> OrderedScan:
         """Sum of ``value`` over all rows of the key up to and including this one."""
         local = F.sum(value).over(self._window())
-        if self._hot is None:
+        if not self._blocks:
             return self._next(self._df.withColumn(out, local))
         df = self._inherited({"_carry": F.sum(value)}, F.sum)
         return self._next(df.withColumn(out, F.coalesce("_carry", F.lit(0)) + local).drop("_carry"))
 
+    def total(self, value: Column, out: str) -> OrderedScan:
+        """Sum of ``value`` over all rows of the key."""
+        local = F.sum(value).over(Window.partitionBy(*self._keys, *self._blocks))
+        if not self._blocks:
+            return self._next(self._df.withColumn(out, local))
+        cut = self._df.where(F.col(self._blocks[0]).isNotNull())
+        whole = materialize(cut.groupBy(*self._keys).agg(F.sum(value).alias("_whole")), "totals")
+        df = _null_safe_join(self._df, broadcast_if_small(whole), self._keys)
+        return self._next(df.withColumn(out, F.coalesce("_whole", local)).drop("_whole"))
+
     def carry_last(self, **values: Column) -> OrderedScan:
         """Per named value, its latest non-null at or before this row; NULL if none."""
         local = {out: F.last(value, ignorenulls=True).over(self._window()) for out, value in values.items()}
-        if self._hot is None:
+        if not self._blocks:
             return self._next(self._df.withColumns(local))
         latest = F.min_by if self._descending else F.max_by
         per_block = {
-            f"_carry_{out}": latest(value, F.when(value.isNotNull(), self._max_order)) for out, value in values.items()
+            f"_carry_{out}": latest(value, F.when(value.isNotNull(), self._place)) for out, value in values.items()
         }
         df = self._inherited(per_block, lambda name: F.last(name, ignorenulls=True))
         df = df.withColumns({out: F.coalesce(col, F.col(f"_carry_{out}")) for out, col in local.items()})
@@ -141,7 +140,7 @@ class OrderedScan:
 
     @property
     def frame(self) -> DataFrame:
-        return self._df if self._hot is None else self._df.drop("_block")
+        return self._df.drop(*self._blocks)
 
 
 def exact_percentile(
@@ -158,15 +157,22 @@ def exact_percentile(
         .agg(F.count(F.lit(1)).alias("_count"))
     )
     counts = materialize(counts, "value-counts")
-    ranked = OrderedScan(counts, keys, "_value", max_rows=max_rows).running_sum(F.col("_count"), "_upto").frame
-    totals = counts.groupBy(*keys).agg(((F.sum("_count") - 1) * F.lit(q)).alias("_at"))
-    placed = ranked.join(totals, list(keys))
-    first = F.col("_upto") - F.col("_count")
-    low, high = F.floor("_at"), F.ceil("_at")
-    ends = placed.groupBy(*keys).agg(
-        F.max("_at").alias("_at"),
-        F.max(F.when((first <= low) & (low < F.col("_upto")), F.col("_value"))).alias("_lo"),
-        F.max(F.when((first <= high) & (high < F.col("_upto")), F.col("_value"))).alias("_hi"),
+    # values are often long-tailed, so blocks are cut on a logarithmic scale
+    scale = F.signum("_value") * F.log1p(F.abs("_value"))
+    scan = OrderedScan(counts, keys, "_value", position=scale, max_rows=max_rows)
+    count = F.col("_count")
+    ranked = scan.running_sum(count, "_upto").total(count, "_n").frame.withColumn("_at", (F.col("_n") - 1) * F.lit(q))
+    holds = lambda place: (F.col("_upto") - count <= place) & (place < F.col("_upto"))
+    low, high = holds(F.floor("_at")), holds(F.ceil("_at"))
+    # at most two rows per key go on
+    ends = (
+        ranked.where(low | high)
+        .groupBy(*keys)
+        .agg(
+            F.max("_at").alias("_at"),
+            F.max(F.when(low, F.col("_value"))).alias("_lo"),
+            F.max(F.when(high, F.col("_value"))).alias("_hi"),
+        )
     )
     share = F.col("_at") - F.floor("_at")
     return ends.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias(out))

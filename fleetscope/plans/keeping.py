@@ -186,7 +186,7 @@ counts AS (
 
 
 def _counters(t: Tables) -> DataFrame:
-    docs = t.sql(COUNTER_DOCS).select("owner", F.try_parse_json("doc").alias("doc"))
+    docs = t.sql(COUNTER_DOCS, heavy=True).select("owner", F.try_parse_json("doc").alias("doc"))
     return cache.flatten_counters(docs)
 
 
@@ -249,4 +249,4 @@ FROM {events}
     CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id * 7 END AS size_bytes FROM events""",
 )
 def bucket_root_query(t: Tables) -> DataFrame:
-    return t.sql(LISTINGS).select("event_id", bucket_root(F.col("listing")).alias("_r")).select("event_id", "_r.*")
+    return t.sql(LISTINGS, heavy=True).select("event_id", bucket_root(F.col("listing")).alias("_r")).select("event_id", "_r.*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetscope import fixed_values as fv
 from fleetscope.operators import budget, health, metrics
 from fleetscope.plans.registry import Tables, query, to_duckdb
+from fleetscope.session import small_table
 from fleetscope.streaming import flows, stateful
 
 PERIOD_S = 21_600
@@ -59,7 +60,7 @@ evaluated AS (
 
 
 def _specs(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(EVENT_ALARMS), fv.ALARM_COLUMNS)
+    return small_table(t.spark, list(EVENT_ALARMS), fv.ALARM_COLUMNS)
 
 
 def _points(t: Tables) -> DataFrame:

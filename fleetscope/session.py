@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,13 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_step(df, label))
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Fixed values as a table whose size Catalyst knows."""
+    names = [field.strip().split(" ")[0] for field in schema.split(", ")]
+    columns = dict(zip(names, map(list, zip(*rows))))
+    return spark.createDataFrame(pa.table(columns), schema)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a count proves the side is small.
 
