@@ -24,7 +24,7 @@ def _file_stem(path_column):
 
 
 def _plan_folder(spark: SparkSession, folder: str, rank: int) -> DataFrame:
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    text = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     location = F.col("_metadata.file_path")
     top = re.escape(folder.split("://")[-1].rstrip("/"))
     return text.where(F.url_decode(F.regexp_replace(location, r"\+", "%2B")).rlike(top + r"/[^/]+\.md$")).select(
@@ -73,7 +73,7 @@ def explode_changes(docs: DataFrame) -> DataFrame:
 
 def scan_change_docs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(changes, runs): one JSON document per file, the file name is the run."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     docs = text.select(_file_stem(F.col("_metadata.file_path")).alias("run_id"), F.col("value").alias("doc"))
     return explode_changes(docs), docs.select("run_id")
 
@@ -186,7 +186,7 @@ def scan_table(spark: SparkSession, source: str, table: str | None = None, **opt
 
 def scan_cache_stats(spark: SparkSession, path: str) -> DataFrame:
     """host (file name) and the counter document as VARIANT, NULL when it is no JSON."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(
         _file_stem(F.col("_metadata.file_path")).alias("host"), F.try_parse_json("value").alias("doc")
     )
