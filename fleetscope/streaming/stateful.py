@@ -62,13 +62,15 @@ class AlarmProcessor(StatefulProcessor):
             out.append((start_s, value, state, s["state"], s["notify_ok"]))
         s["state"], s["last_s"] = state, start_s
 
-    def _save(self, key, s: dict, out: list) -> pd.DataFrame:
+    def _save(self, key, s: dict, out: list) -> Iterator[pd.DataFrame]:
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
         self._handle.registerTimer((s["last_s"] + 2 * s["period_s"]) * 1000)
         names = ("last_s", "run", "state", "period_s", "n", "op", "threshold", "missing", "notify_ok")
         self._state.update(tuple(s[name] for name in names))
-        return pd.DataFrame(
+        if not out:
+            return
+        yield pd.DataFrame(
             {
                 "alarm": [key[0]] * len(out),
                 "series": [key[1]] * len(out),
@@ -99,14 +101,14 @@ class AlarmProcessor(StatefulProcessor):
             for gap in range(s["last_s"] + s["period_s"], row.start_s, s["period_s"]):
                 self._step(s, gap, None, out)
             self._step(s, row.start_s, None if pd.isna(row.value) else float(row.value), out)
-        yield self._save(key, s, out)
+        yield from self._save(key, s, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s, out = self._load(), []
         passed_s = timerValues.getCurrentWatermarkInMs() // 1000
         while s["last_s"] + 2 * s["period_s"] <= passed_s:
             self._step(s, s["last_s"] + s["period_s"], None, out)
-        yield self._save(key, s, out)
+        yield from self._save(key, s, out)
 
     def close(self) -> None:
         pass
@@ -143,12 +145,11 @@ class ProbeHealthProcessor(StatefulProcessor):
         self._runs = handle.getValueState("runs", "good int, bad int, state string")
         self._waiting = handle.getListState("waiting", "us long, id long, ok boolean")
 
-    def _wake(self, us: int) -> None:
-        at = us // 1000 + 1
-        for timer in list(self._handle.listTimers()):
-            at = min(at, timer)
+    def _wake(self, us: int, pending: list[int]) -> None:
+        """One timer, for the earliest waiting probe; an expired timer is gone after its call."""
+        for timer in pending:
             self._handle.deleteTimer(timer)
-        self._handle.registerTimer(at)
+        self._handle.registerTimer(min([us // 1000 + 1, *pending]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -156,7 +157,7 @@ class ProbeHealthProcessor(StatefulProcessor):
             self._waiting.appendList([(int(r.us), int(r.id), bool(r.ok)) for r in pdf.itertuples()])
             low = int(pdf["us"].min())
             first = low if first is None else min(first, low)
-        self._wake(first)
+        self._wake(first, list(self._handle.listTimers()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -173,9 +174,11 @@ class ProbeHealthProcessor(StatefulProcessor):
         self._runs.update((good, bad, state))
         if later:
             self._waiting.put(later)
-            self._wake(later[0][0])
+            self._wake(later[0][0], [])
         else:
             self._waiting.clear()
+        if not due:
+            return
         yield pd.DataFrame(
             {
                 "target": [key[0]] * len(due),
