@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.operators.frontier import MAX_STEPS, closure, smallest_label
+from fleetscope.operators.frontier import MAX_STEPS, smallest_label
 from fleetscope.session import materialize, ship_by_value
 
 ship_by_value(__name__)
@@ -39,45 +39,48 @@ def _trim(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    kept = edges.join(nodes.select(F.col("stem").alias("src")), "src", "left_anti")
-    return kept.join(nodes.select(F.col("stem").alias("dst")), "dst", "left_anti").select("src", "dst")
-
-
-def _reversed(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge as it is (way ``down``) and turned round (way ``up``)."""
+    down, up = F.lit("down").alias("way"), F.lit("up").alias("way")
+    turned = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), up)
+    return edges.select(F.explode(F.array(F.struct("src", "dst", down), turned)).alias("e")).select("e.*")
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(stem, scc) of every node that reaches itself; scc is its component's smallest stem.
 
-    Trims what cannot be cyclic, then repeats: label every node with the
-    smallest stem that reaches it, and take for each label the nodes that reach
-    back to it. State per step is one label per node, never pairs of nodes.
+    Trims what cannot be cyclic, then repeats: find for every node the smallest
+    stem that reaches it and the smallest it reaches. Where both are one stem,
+    that stem names the node's component. Nodes where either differs are in
+    different components, so edges between them go, and the rest is searched
+    again, all parts at once. State is two labels per node, never pairs of nodes.
     """
     edges = materialize(edges.select("src", "dst").distinct(), "edges")
     loops = edges.where("src = dst").select(F.col("src").alias("stem"))
     rest = edges.where("src <> dst")
-    members = []
+    found = None
     for _ in range(MAX_STEPS):
         rest = _trim(rest)
         if rest.isEmpty():
             break
-        stems = rest.select(F.col("src").alias("stem")).distinct()
-        labels = smallest_label(rest, materialize(stems.withColumn("label", F.col("stem")), "labels"))
-        inside = rest.join(labels.toDF("src", "from"), "src").join(labels.toDF("dst", "to"), "dst")
-        inside = materialize(inside.where(F.col("from") == F.col("to")).select("src", "dst"), "inside")
-        core = closure(_reversed(inside), labels.where("stem = label"))
-        members.append(materialize(labels.join(core, "stem", "left_semi").toDF("stem", "scc"), "scc"))
-        rest = _without(rest, members[-1])
+        ways = both_ways(rest)
+        start = ways.select(F.col("src").alias("stem"), "way", F.col("src").alias("label")).distinct()
+        labels = smallest_label(ways, materialize(start, "labels"), within=("way",))
+        reached, reaches = (F.max(F.when(F.col("way") == way, F.col("label"))) for way in ("down", "up"))
+        nodes = materialize(labels.groupBy("stem").agg(reached.alias("above"), reaches.alias("below")), "nodes")
+        named = nodes.where("above = below").select("stem", F.col("above").alias("scc"))
+        found = named if found is None else found.unionByName(named)
+        unnamed = nodes.where("above <> below")
+        rest = (
+            rest.join(unnamed.toDF("src", "above", "below"), "src")
+            .join(unnamed.toDF("dst", "above", "below"), ["dst", "above", "below"])
+            .select("src", "dst")
+        )
     else:
         raise RuntimeError(f"no end after {MAX_STEPS} steps")
-    if not members:
+    if found is None:
         return loops.withColumn("scc", F.col("stem"))
-    found = members[0]
-    for more in members[1:]:
-        found = found.unionByName(more)
-    # a label only its own stem reaches back to is a bridge between cycles, not a cycle
+    # a stem alone under its name is a bridge between cycles, not a cycle
     real = found.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = found.join(real, "scc", "left_semi").select("stem", "scc")
     return found.unionByName(loops.join(found, "stem", "left_anti").withColumn("scc", F.col("stem")))

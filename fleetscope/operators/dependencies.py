@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetscope import fixed_values as fv
 from fleetscope.functions import text_rules as rules
+from fleetscope.session import materialize
 
 
 def prefer_active(plans: DataFrame) -> DataFrame:
@@ -33,6 +34,11 @@ def parse_plans(plans: DataFrame, no_word: str = fv.NO_BLOCK) -> DataFrame:
     return prefer_active(parsed).drop("source_rank")
 
 
+def parsed_table(plans: DataFrame, no_word: str = fv.NO_BLOCK) -> DataFrame:
+    """``parse_plans`` written once, for uses that read it several times, so no text is parsed twice."""
+    return materialize(parse_plans(plans, no_word), "parsed")
+
+
 def resolve_deps(parsed: DataFrame) -> DataFrame:
     """One row per declared dependency with its status, place and blocking reason."""
     declared = parsed.select(F.col("stem").alias("plan_stem"), F.posexplode("depends_on").alias("position", "stem"))

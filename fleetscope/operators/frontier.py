@@ -36,24 +36,25 @@ def closure(edges: DataFrame, seeds: DataFrame, within: tuple[str, ...] = ()) ->
     raise RuntimeError(f"no end after {MAX_STEPS} steps")
 
 
-def smallest_label(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def smallest_label(edges: DataFrame, labels: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """labels(stem, label) lowered to the smallest label that reaches each stem.
 
-    Only labels that changed in the last step travel on.
+    Only labels that changed in the last step travel on. ``within`` as above.
     """
+    at = ["stem", *within]
     changed = labels
-    onward = edges.withColumnRenamed("src", "stem")
+    onward = edges.select(F.col("src").alias("stem"), "dst", *within)
     for _ in range(MAX_STEPS):
-        offers = changed.join(onward, "stem").groupBy(F.col("dst").alias("stem")).agg(F.min("label").alias("offer"))
+        offers = changed.join(onward, at).groupBy(F.col("dst").alias("stem"), *within).agg(F.min("label").alias("offer"))
         merged = materialize(
-            labels.join(offers, "stem", "left").select(
-                "stem",
+            labels.join(offers, at, "left").select(
+                *at,
                 F.least("label", "offer").alias("label"),
                 F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("moved"),
             ),
             "labels",
         )
-        labels, changed = merged.select("stem", "label"), merged.where("moved").select("stem", "label")
+        labels, changed = merged.drop("moved"), merged.where("moved").drop("moved")
         if changed.isEmpty():
             return labels
     raise RuntimeError(f"no end after {MAX_STEPS} steps")

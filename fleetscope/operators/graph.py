@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetscope import fixed_values as fv
 from fleetscope.operators import dependencies as deps
-from fleetscope.operators.components import strongly_connected
+from fleetscope.operators.components import both_ways, strongly_connected
 from fleetscope.operators.frontier import closure
 from fleetscope.session import materialize
 
@@ -26,7 +26,7 @@ class Graph:
 
 def build_graph(plans: DataFrame) -> Graph:
     """Nodes, edges and missing targets of the status documents."""
-    parsed = materialize(deps.parse_plans(plans, no_word=fv.NO_WORD).drop("summary"), "parsed")
+    parsed = deps.parsed_table(plans, no_word=fv.NO_WORD)
     edges = deps.dependency_edges(parsed)
     missing = deps.missing_deps(edges, parsed)
     ghosts = missing.select("stem", F.lit(fv.MISSING).alias("status"), F.lit(None).cast("string").alias("location"))
@@ -52,10 +52,7 @@ def visible(graph: Graph, include_shipped: bool = False) -> DataFrame:
         return graph.nodes.select("stem")
     unfinished = graph.nodes.where(~F.col("status").isin(*fv.FINISHED_WORDS)).select("stem")
     ways = F.explode(F.array(F.lit("down"), F.lit("up"))).alias("way")
-    both = graph.edges.select("src", "dst", F.lit("down").alias("way")).union(
-        graph.edges.select("dst", "src", F.lit("up").alias("way"))
-    )
-    return closure(both, unfinished.select("stem", ways), within=("way",)).select("stem").distinct()
+    return closure(both_ways(graph.edges), unfinished.select("stem", ways), within=("way",)).select("stem").distinct()
 
 
 def roots(graph: Graph, shown: DataFrame) -> DataFrame:

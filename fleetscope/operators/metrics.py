@@ -34,6 +34,17 @@ def log_metric(lines: DataFrame, terms, period_s: int, watermark: str | None = N
     )
 
 
+def log_metrics(lines: DataFrame, metrics: dict[str, tuple[str, ...]], period_s: int) -> DataFrame:
+    """``log_metric`` of several metrics over the same lines, read and shuffled once."""
+    counts = [
+        F.sum(F.when(term_match(F.col("message"), terms), F.lit(1)).otherwise(F.lit(0))).cast("double").alias(name)
+        for name, terms in metrics.items()
+    ]
+    wide = lines.groupBy("log_group", F.window("ts", f"{period_s} seconds").alias("w")).agg(*counts)
+    wide = wide.select("log_group", F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), *metrics)
+    return wide.unpivot(["log_group", "period_start", "period_end"], list(metrics), "metric", "value")
+
+
 def statistic(name: str, value: Column) -> Column:
     """The aggregate for a declared statistic, for streams and bounded groups."""
     return {

@@ -136,14 +136,7 @@ _LOG_SQL = " UNION ALL ".join(
 
 @query("log_metric_terms", f"WITH lines AS ({to_duckdb(LOG_LINES)}) {_LOG_SQL}")
 def log_metric_terms(t: Tables) -> DataFrame:
-    lines = t.sql(LOG_LINES)
-    out = None
-    for metric, terms in fv.LOG_METRIC_TERMS.items():
-        one = metrics.log_metric(lines, terms, 3600).select(
-            F.lit(metric).alias("metric"), "log_group", "period_start", "value"
-        )
-        out = one if out is None else out.unionAll(one)
-    return out
+    return metrics.log_metrics(t.sql(LOG_LINES), fv.LOG_METRIC_TERMS, 3600).drop("period_end")
 
 
 _PROBE_SQL = """

@@ -91,7 +91,7 @@ reasoned AS (
 
 @query("plan_resolve", f"WITH {_RESOLVED_SQL} SELECT * FROM reasoned")
 def plan_resolve(t: Tables) -> DataFrame:
-    return dependencies.resolve_deps(dependencies.parse_plans(_plans(t)))
+    return dependencies.resolve_deps(dependencies.parsed_table(_plans(t)))
 
 
 @query(
@@ -101,7 +101,7 @@ def plan_resolve(t: Tables) -> DataFrame:
     FROM parsed LEFT JOIN reasoned ON plan_stem = parsed.stem GROUP BY ALL""",
 )
 def plan_satisfied(t: Tables) -> DataFrame:
-    parsed = dependencies.parse_plans(_plans(t))
+    parsed = dependencies.parsed_table(_plans(t))
     return dependencies.all_satisfied(parsed, dependencies.resolve_deps(parsed))
 
 

@@ -38,14 +38,24 @@ def sample_spans(spans: DataFrame, rate: float = fv.SAMPLE_RATE, tags=fv.ALWAYS_
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Drain what the stream's source holds now into a table and return that table."""
-    path = scratch_path(stream.sparkSession, label)
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .format("parquet")
-        .start(f"{path}/rows")
-    )
+    """Drain what the stream's source holds now into a table and return that table.
+
+    State is split once, at the start, and not coalesced later; a draining run
+    gains nothing from more splits than cores.
+    """
+    spark = stream.sparkSession
+    path = scratch_path(spark, label)
+    wanted = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(wanted), spark.sparkContext.defaultParallelism))
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .format("parquet")
+            .start(f"{path}/rows")
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", wanted)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
