@@ -59,7 +59,9 @@ class OrderedScan:
         self._place = F.struct(*[F.col(c) for c in (order, *ties)])
         if position is None:
             position = F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order)
-        self._position = position.cast("double")
+        # NULL sorts lowest and NaN highest; infinities are pulled in so that every cut makes progress
+        number = F.greatest(F.least(position.cast("double"), F.lit(1e300)), F.lit(-1e300))
+        self._position = F.when(position.isNull(), F.lit(-1e300)).otherwise(number)
         while self._cut(max_rows):
             pass
 

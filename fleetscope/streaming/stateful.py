@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetscope import fixed_values as fv
-from fleetscope.session import ship_by_value
+from fleetscope.session import broadcast_if_small, ship_by_value
 
 ship_by_value(__name__)
 
@@ -122,7 +122,7 @@ def alarm_stream(periods: DataFrame, specs: DataFrame) -> DataFrame:
     """
     _use_rocksdb(periods)
     rules = specs.select("alarm", "period_s", "n", "op", "threshold", "missing", "notify_ok")
-    keyed = periods.join(F.broadcast(rules), "alarm").withColumn("start_s", F.unix_seconds("period_start"))
+    keyed = periods.join(broadcast_if_small(rules), "alarm").withColumn("start_s", F.unix_seconds("period_start"))
     return keyed.groupBy("alarm", "series").transformWithStateInPandas(
         AlarmProcessor(), TRANSITION_COLUMNS, "append", "eventtime"
     )

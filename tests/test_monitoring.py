@@ -180,6 +180,17 @@ def test_ordered_scan_against_brute_force(spark, max_rows, descending):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("max_rows, descending", [(5, False), (5, True)])
+def test_ordered_scan_with_null_nan_and_infinite_order(spark, max_rows, descending):
+    odd = [None, float("-inf"), -1e12, 0.5, 3.0, 1e9, float("inf"), float("nan")]
+    data = [(value, i) for i, value in enumerate(odd * 4)]
+    df = spark.createDataFrame(data, "o double, id long").withColumn("k", F.lit("hot"))
+    out = OrderedScan(df, ["k"], "o", ("id",), descending=descending, max_rows=max_rows)
+    got = {r.id: r.run for r in out.running_sum(F.lit(1), "run").frame.collect()}
+    rank = sorted(range(len(data)), key=lambda i: (odd.index(odd[i % 8]), i), reverse=descending)
+    assert got == {i: position + 1 for position, i in enumerate(rank)}
+
+
 @pytest.mark.parametrize("max_rows", [10**6, 40])
 def test_percentile_equals_the_builtin(spark, max_rows):
     random.seed(6)
