@@ -22,8 +22,11 @@ def _end(column: str, entered: bool):
 
 
 def _trim(edges: DataFrame) -> DataFrame:
-    """Edges that may lie on a cycle: something enters their source and leaves their target."""
-    before = -1
+    """Edges that may lie on a cycle: something enters their source and leaves their target.
+
+    Goes on while it at least halves the edges; what is left over is for the labels.
+    """
+    before = None
     while True:
         for _ in range(2):
             ends = edges.select(F.explode(F.array(_end("src", False), _end("dst", True))).alias("e")).select("e.*")
@@ -34,7 +37,7 @@ def _trim(edges: DataFrame) -> DataFrame:
             )
         edges = materialize(edges.select("src", "dst"), "trim")
         now = edges.count()
-        if now in (0, before):
+        if now == 0 or (before is not None and now * 2 > before):
             return edges
         before = now
 
