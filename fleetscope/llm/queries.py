@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetscope.llm.exact_dedup import exact_dedup
+from fleetscope.llm.language_id import predict, train
+from fleetscope.llm.line_dedup import line_dedup
 from fleetscope.llm.mixing import mix_sources
 
 LLM_RUNS = {}
@@ -24,6 +26,44 @@ def llm_query(name: str, oracle: str | None = None):
     return register
 
 
+def id_checksum(remainder_of: int):
+    """crc32 of doc_id as text, modulo a number."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % remainder_of
+
+
+@llm_query(
+    "op3_line_dedup",
+    r"""
+    WITH split AS (
+      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+    ), lines AS (
+      SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS pos FROM split
+    ), keyed AS (
+      SELECT doc_id, pos, line, translate(
+        regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+    ), dropped AS (
+      SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+    )
+    SELECT k.doc_id, count(*) AS n_lines, count(d.key) AS n_dropped,
+           sha256(coalesce(string_agg(CASE WHEN d.key IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+    FROM keyed k LEFT JOIN dropped d ON k.key = d.key GROUP BY k.doc_id
+    """,
+)
+def op3(table):
+    out = line_dedup(table("documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return out.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
+@llm_query("op4_language_id")
+def op4(table):
+    docs = table("documents").select("doc_id", "text", "lang")
+    model = train(docs.where(id_checksum(4) != 2))
+    out = predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (id_checksum(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @llm_query(
     "op9_exact_dedup",
     r"""
