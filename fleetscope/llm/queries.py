@@ -8,6 +8,8 @@ from fleetscope.llm.exact_dedup import exact_dedup
 from fleetscope.llm.language_id import predict, train
 from fleetscope.llm.line_dedup import line_dedup
 from fleetscope.llm.mixing import mix_sources
+from fleetscope.llm.warc import round_trip
+from fleetscope.session import scratch_path
 
 LLM_RUNS = {}
 LLM_ORACLES = {}
@@ -64,6 +66,28 @@ def op4(table):
     return out.select("doc_id", (id_checksum(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@llm_query(
+    "op8_warc",
+    r"""
+    WITH payloads AS (
+      SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+    ), digests AS (
+      SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM payloads
+    ), firsts AS (
+      SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM digests
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+    FROM firsts
+    """,
+)
+def op8(table):
+    pages = table("pages")
+    records = round_trip(pages, scratch_path(pages.sparkSession, "warc"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @llm_query(
     "op9_exact_dedup",
     r"""
