@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetscope.llm.exact_dedup import exact_dedup
+from fleetscope.llm.html_text import extract_text
 from fleetscope.llm.language_id import predict, train
 from fleetscope.llm.line_dedup import line_dedup
 from fleetscope.llm.mixing import mix_sources
@@ -66,6 +67,11 @@ def op4(table):
     return out.select("doc_id", (id_checksum(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@llm_query("op6_html_text")
+def op6(table):
+    return extract_text(table("pages"))
+
+
 @llm_query(
     "op8_warc",
     r"""
