@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.llm.exact_dedup import exact_dedup
 from fleetscope.llm.html_text import extract_text
+from fleetscope.llm.jaccard_join import jaccard_groups
 from fleetscope.llm.language_id import predict, train
 from fleetscope.llm.line_dedup import line_dedup
 from fleetscope.llm.mixing import mix_sources
@@ -72,6 +73,11 @@ def op6(table):
     return extract_text(table("pages"))
 
 
+@llm_query("op7_jaccard_join")
+def op7(table):
+    return jaccard_groups(table("documents"))
+
+
 @llm_query(
     "op8_warc",
     r"""

@@ -7,8 +7,6 @@ working memory does not grow with the length of a text.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,12 +22,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-@lru_cache(1)
 def _byte_values() -> np.ndarray:
     return np.random.default_rng(_SEED).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
 
 
-@lru_cache(4)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
     inverse = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -85,6 +81,7 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     cut = np.zeros(size + 1, bool)
     cut[offsets] = True
     values = _byte_values()
+    power, inverse = _powers(min(size, 2 * PIECE))
     found, firsts = [], []
     for at, end in _pieces(space, cut, size):
         word = ~space[at:end]
@@ -92,8 +89,8 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
         first[1:] &= ~word[:-1] | cut[at + 1 : end]
         last[:-1] &= ~word[1:] | cut[at + 1 : end]
         begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        length = max(PIECE, 1 << int(end - at).bit_length())
-        power, inverse = _powers(length)
+        if end - at > len(power):  # one word as long as a piece
+            power, inverse = _powers(end - at)
         total = np.zeros(end - at + 1, np.uint64)
         np.cumsum(values[_LOWER[data[at:end]]] * power[: end - at], out=total[1:])
         found.append(mix((total[ends] - total[begins]) * inverse[begins]))
