@@ -65,7 +65,7 @@ def _pieces(space: np.ndarray, cut: np.ndarray, size: int):
     while at < size:
         end = min(at + PIECE, size)
         while end < size and not (space[end] or space[end - 1] or cut[end]):
-            ahead = np.flatnonzero(space[end : end + PIECE] | cut[end : end + PIECE])
+            ahead = np.flatnonzero(space[end : end + PIECE] | cut[end : min(end + PIECE, size)])
             end = end + int(ahead[0]) if len(ahead) else min(end + PIECE, size)
         yield at, end
         at = end
