@@ -10,6 +10,8 @@ from fleetscope.llm.jaccard_join import jaccard_groups
 from fleetscope.llm.language_id import predict, train
 from fleetscope.llm.line_dedup import line_dedup
 from fleetscope.llm.mixing import mix_sources
+from fleetscope.llm.ngram_model import score
+from fleetscope.llm.ngram_model import train as train_ngrams
 from fleetscope.llm.warc import round_trip
 from fleetscope.session import scratch_path
 
@@ -35,6 +37,14 @@ def id_checksum(remainder_of: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % remainder_of
 
 
+@llm_query("op1_lm_scoring")
+def op1(table):
+    docs = table("documents").select("doc_id", "text")
+    model = train_ngrams(docs.where(id_checksum(10) != 0))
+    columns = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, model).select("doc_id", (id_checksum(10) == 0).alias("held_out"), *columns)
+
+
 @llm_query(
     "op3_line_dedup",
     r"""
