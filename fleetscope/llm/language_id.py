@@ -43,7 +43,8 @@ def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(data), bool)
     keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
     keep[offsets[:-1]] = True
-    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    lengths = np.add.reduceat(keep, offsets[:-1], dtype=np.int64) if len(texts) else []
+    return data[keep], np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, size: int, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetscope.llm.decontamination import contaminated
 from fleetscope.llm.exact_dedup import exact_dedup
 from fleetscope.llm.html_text import extract_text
 from fleetscope.llm.jaccard_join import jaccard_groups
 from fleetscope.llm.language_id import predict, train
+from fleetscope.llm.license_scan import license_scan
 from fleetscope.llm.line_dedup import line_dedup
 from fleetscope.llm.mixing import mix_sources
 from fleetscope.llm.ngram_model import score
@@ -45,6 +47,11 @@ def op1(table):
     return score(docs, model).select("doc_id", (id_checksum(10) == 0).alias("held_out"), *columns)
 
 
+@llm_query("op2_license_scan")
+def op2(table):
+    return license_scan(table("documents"))
+
+
 @llm_query(
     "op3_line_dedup",
     r"""
@@ -78,6 +85,11 @@ def op4(table):
     return out.select("doc_id", (id_checksum(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@llm_query("op5_decontamination")
+def op5(table):
+    return contaminated(table("documents"), table("benchmark"))
+
+
 @llm_query("op6_html_text")
 def op6(table):
     return extract_text(table("pages"))
