@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetscope.llm.components import connected_components
-from fleetscope.llm.words import mix, shingle_hashes, word_hashes
+from fleetscope.llm.words import by_bytes, mix, shingle_hashes, word_hashes
 from fleetscope.session import broadcast_if_small, materialize
 
 SIZE = 4
@@ -43,10 +43,11 @@ def _id(id_col: str):
 
 def _sets(batch, size: int):
     """Sorted distinct shingle hashes of every row of a batch (id, text)."""
-    hashes, counts = shingle_hashes(*word_hashes(batch.column(1)), size)
-    ends = np.cumsum(counts)
-    for end, count in zip(ends, counts):
-        yield np.unique(hashes[end - count : end])
+    for part in by_bytes(batch, 1):
+        hashes, counts = shingle_hashes(*word_hashes(part.column(1)), size)
+        ends = np.cumsum(counts)
+        for end, count in zip(ends, counts):
+            yield np.unique(hashes[end - count : end])
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -79,7 +80,10 @@ def _orders(tokens: np.ndarray, sorted_frequent: np.ndarray, rank: np.ndarray) -
 
 
 def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, digest, first, others, bits) per row: set size, digest, prefixes under each order, parity bitmap."""
+    """(id, n, digest, first, others, bits) per row: set size, digest, prefixes under each order, parity bitmap.
+
+    Prefixes of the further orders only confirm pairs, so half of each hash is enough.
+    """
     frequent = frequent_shingles(docs, size)
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64)))
@@ -99,32 +103,41 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 sizes.append(n)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
                 first.append(prefixes[0])
-                others.append(prefixes[1:])
+                others.append([(x & 0x7FFFFFFF).astype(np.int32) for x in prefixes[1:]])
                 bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-            longs = pa.list_(pa.int64())
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))
             columns = [pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(first, longs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(others, pa.list_(longs)), pa.array(bits, longs)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(others, ints), pa.array(bits, longs)], names)
 
-    kinds = "id bigint, n int, digest binary, first array<bigint>, others array<array<bigint>>, bits array<bigint>"
+    kinds = "id bigint, n int, digest binary, first array<bigint>, others array<array<int>>, bits array<bigint>"
     return docs.mapInArrow(profile, kinds)
 
 
-def _may_link(percent: int):
-    """Filters on a pair (na, nb, bitsa, bitsb, othersa, othersb): length, bitmap bound, every further order."""
+def _close(percent: int):
+    """Whether the parity bitmaps of a pair allow it to be similar enough."""
     apart = F.aggregate(
         F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("bigint"), lambda s, x: s + x
     )
-    close = apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
-    shared = F.forall(F.zip_with("othersa", "othersb", lambda x, y: F.arrays_overlap(x, y)), lambda x: x)
-    return close & shared
+    return apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+
+
+def _with_both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with a node column for either end, read for the nodes in pairs only."""
+    ends = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    side = nodes.select("node", column).join(ends, "node", "left_semi")
+    return pairs.join(side.toDF("a", f"{column}a"), "a").join(side.toDF("b", f"{column}b"), "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among pairs(a, b): first the filters, then the sets themselves, computed again from the texts."""
-    side = nodes.select("node", "n", "bits", "others")
-    known = pairs.join(side.toDF("a", "na", "bitsa", "othersa"), "a").join(side.toDF("b", "nb", "bitsb", "othersb"), "b")
-    left = materialize(known.where(_may_link(percent)).select("a", "b", "na", "nb"), "jaccard-pairs")
-    wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", "rep"), "node")
+    """Links (a, b) among pairs(a, b, na, nb): first the filters, then the sets themselves, computed again from the texts."""
+    pairs = materialize(pairs, "jaccard-pairs")
+    near = _with_both(pairs, nodes, "bits").where(_close(percent)).select("a", "b", "na", "nb")
+    near = materialize(near, "jaccard-near")
+    # the pair has to be found under every further order as well
+    shared = F.forall(F.zip_with("othersa", "othersb", lambda x, y: F.arrays_overlap(x, y)), lambda x: x)
+    left = _with_both(near, nodes, "others").where(shared).select("a", "b", "na", "nb")
+    left = materialize(left, "jaccard-left")
+    wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", "id"), "node")
     wanted = materialize(wanted, "jaccard-wanted")
 
     def sets(batches):
@@ -134,18 +147,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
             tokens = pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), tokens], ["digest", "tokens"])
 
-    ids = broadcast_if_small(wanted.select(F.col("rep").alias("id")).distinct())
+    ids = broadcast_if_small(wanted.select("id").distinct())
     found = docs.join(ids, "id", "left_semi").mapInArrow(sets, "digest binary, tokens array<bigint>")
     found = found.join(wanted.select("node", "digest"), "digest").select("node", "tokens")
     both = left.join(found.toDF("a", "ta"), "a").join(found.toDF("b", "tb"), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    links = both.select("a", "b", "na", "nb", shared.alias("shared"))
+    common = F.size(F.array_intersect("ta", "tb")).alias("shared")
+    links = both.select("a", "b", "na", "nb", common)
     return links.where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b").distinct()
 
 
 def _cross_pairs(percent: int):
     """Pairs of different components in runs of one key; rows sorted by key."""
-    names = ["a", "b"]
+    names = ["a", "b", "na", "nb"]
 
     def pairs_of(rows: list[np.ndarray]):
         key, side, node, component, n, bits = rows
@@ -160,9 +173,10 @@ def _cross_pairs(percent: int):
             i, j = i[ok], j[ok]
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
             near = apart * (100 + percent) <= (100 - percent) * (n[i] + n[j])
-            a, b = node[i[near]], node[j[near]]
-            if len(a):
-                yield np.minimum(a, b), np.maximum(a, b)
+            i, j = i[near], j[near]
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            if len(i):
+                yield node[i], node[j], n[i], n[j]
 
     def run(batches):
         held = None
@@ -177,12 +191,12 @@ def _cross_pairs(percent: int):
             if not len(rows[0]):
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on in the next batch
-            for a, b in pairs_of([x[:cut] for x in rows]):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names)
+            for columns in pairs_of([x[:cut] for x in rows]):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names)
             held = [x[cut:] for x in rows]
         if held is not None:
-            for a, b in pairs_of(held):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names)
+            for columns in pairs_of(held):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names)
 
     return run
 
@@ -204,24 +218,24 @@ def jaccard_groups(
     rows = materialize(profiles(docs, size, percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-profiles")
     real = F.min(F.when(F.col("id") > _NO_ID, F.col("id")))
     classes = rows.where("n > 0").groupBy("digest").agg(
-        F.min("id").alias("rep"), F.coalesce(real, F.min("id")).alias("low"), F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")
+        F.coalesce(real, F.min("id")).alias("low"), F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")
     )
     classes = materialize(classes, "jaccard-classes")
     # rows with a set that an earlier row has
     repeated = rows.where("n > 0").select("row", "digest").join(classes.where("copies > 1"), "digest").where("row <> node")
     later = materialize(repeated.select("row"), "jaccard-repeated")
     nodes = rows.where("n > 0").join(broadcast_if_small(later), "row", "left_anti").withColumnRenamed("row", "node")
-    nodes = nodes.join(classes.select("digest", F.col("rep")), "digest")
     postings = nodes.select("node", "n", F.explode("first").alias("token"))
     many = F.count(F.lit(1)).over(W.partitionBy("token"))
     postings = materialize(postings.withColumn("df", many).where("df > 1"), "jaccard-postings")
 
     # first round: everyone with the most typical member of each of its posting lists
     support = postings.groupBy("node").agg((F.sum("df") / F.max("n")).alias("support"))
-    member = F.struct("support", (-F.col("node")).alias("key"))
-    centre = -F.max(member).over(W.partitionBy("token"))["key"]
-    stars = postings.join(support, "node").select("node", "n", centre.alias("centre")).where("node <> centre")
-    stars = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    member = F.struct("support", (-F.col("node")).alias("key"), "n")
+    centre = F.max(member).over(W.partitionBy("token"))
+    stars = postings.join(support, "node").select(F.col("node").alias("a"), F.col("n").alias("na"), centre.alias("c"))
+    stars = stars.select("a", "na", (-F.col("c.key")).alias("b"), F.col("c.n").alias("nb")).where("a <> b")
+    stars = stars.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).distinct()
     links = materialize(_verified(stars, nodes, docs, size, percent), "jaccard-links")
     joined = connected_components(links)
 
@@ -242,7 +256,7 @@ def jaccard_groups(
     )
     dealt = dealt.join(nodes.select("node", "bits"), "node").select("key", "own", "two", "node", "component", "n", "bits")
     dealt = dealt.repartition("key").sortWithinPartitions("key")
-    pairs = dealt.mapInArrow(_cross_pairs(percent), "a bigint, b bigint").distinct()
+    pairs = dealt.mapInArrow(_cross_pairs(percent), "a bigint, b bigint, na bigint, nb bigint").distinct()
     more = materialize(_verified(pairs, nodes, docs, size, percent), "jaccard-links")
     groups = connected_components(links.unionByName(more))
 

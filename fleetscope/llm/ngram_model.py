@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetscope.llm.words import join_hashes, word_hashes
+from fleetscope.llm.words import by_bytes, join_hashes, word_hashes
 from fleetscope.session import materialize, scratch_path
 
 END = np.uint64(0x5DEECE66D1234567)
@@ -35,7 +35,7 @@ SHARD_TOKENS = 4_000_000
 #: A word that is one of so many running words is frequent; at most so many are.
 FREQUENT = 1_000
 #: Running words whose distinct runs a task collects before it sends them.
-HELD_TOKENS = 6_000_000
+HELD_TOKENS = 3_000_000
 _GRAM = [np.uint64, np.uint32]
 _CONTEXT = [np.uint64, np.uint64, np.uint32, np.uint32, np.uint32]
 _WORD = [np.uint64, np.uint64, np.uint64]
@@ -290,7 +290,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, shard_tokens:
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def count_words(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 0, 32 << 20)):
             words, n = np.unique(tokens_of(batch.column(0))[0], return_counts=True)
             yield pa.RecordBatch.from_pydict({"word": words.view(np.int64), "n": n.astype(np.int64)})
 
@@ -304,7 +304,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, shard_tokens:
 
     def count_runs(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 0)):
             run, counts = tokens_of(batch.column(0))
             columns = _runs(run, counts, order)
             at, n = _grouped(join_hashes(columns), np.ones(len(run), np.int64))
@@ -367,10 +367,8 @@ def score(docs: DataFrame, model: NgramModel, text_col: str = "text") -> DataFra
 
     def run(batches):
         own = shared.value
-        for batch in batches:
-            tokens, counts = tokens_of(batch.column(at).cast(pa.string()))
-            if not len(counts):
-                continue
+        for batch in (part for whole in batches for part in by_bytes(whole, at)):
+            tokens, counts = tokens_of(batch.column(at))
             p, count = own.log10(tokens, counts)
             starts = np.cumsum(counts) - counts
             sums = [np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), own.base_log10(count), p)]

@@ -41,5 +41,8 @@ def shared_weight(left: str, right: str) -> Column:
 
 
 def places(docs: DataFrame, hashes: str) -> DataFrame:
-    """``docs`` with a row (place, hash) for each shingle in column ``hashes``."""
-    return docs.select("*", F.posexplode(hashes).alias("place", "hash"))
+    """``docs`` with a row (place, hash) for each shingle in column ``hashes``.
+
+    The outer form, as the plain one makes Spark infer a filter that hashes all texts again.
+    """
+    return docs.select("*", F.posexplode_outer(hashes).alias("place", "hash"))

@@ -59,6 +59,16 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
+    """Slices of a batch with about ``limit`` bytes in a string column each; a longer text is alone in its slice."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(sizes) // limit
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    for first, last in zip(bounds, bounds[1:]):
+        if last > first:
+            yield batch.slice(first, last - first)
+
+
 def _pieces(space: np.ndarray, cut: np.ndarray, size: int):
     """Bounds of pieces of about ``PIECE`` bytes that begin and end between words."""
     at = 0
