@@ -4,8 +4,9 @@ A payload of any size travels as rows (record id, chunk number, chunk); no task
 holds a whole record. On disk a chunk is a WARC record of its own: the first has
 ``WARC-Segment-Number: 1``, the others are ``continuation`` records that name
 their origin, as the format provides. Archives are written and read by Spark's
-text files with the record's end as line end, so any store that Spark reaches
-will do, writes are committed per task, and reads are split between records.
+text files: written with a record's end as line end, read with a record's first
+line as line end. So any store that Spark reaches will do, writes are committed per
+task, and no task reads more than a segment at once.
 
 Every segment carries its block digest. The payload digest is computed by a
 running SHA-256 over a record's chunks in order.
@@ -57,8 +58,8 @@ def first_of_equals(pages: DataFrame, id_col: str, payload_col: str, least: int
 
 
 def _cuts(data: memoryview, size: int) -> list[tuple[int, int]]:
-    """Bounds of chunks between characters, such that no chunk holds a whole record separator."""
-    sep = (_END + _MARK).encode()
+    """Bounds of chunks between characters, such that no chunk holds the line that begins a record."""
+    sep = _MARK.encode()
     out, at = [], 0
     while at < len(data):
         end = min(at + size, len(data))
@@ -67,6 +68,8 @@ def _cuts(data: memoryview, size: int) -> list[tuple[int, int]]:
         inside = bytes(data[at:end]).find(sep)
         if inside >= 0:
             end = at + inside + len(sep) - 1
+        if bytes(data[max(at, end - 8) : end]) == sep[:8]:  # the record's end would complete the line
+            end -= 1
         out.append((at, end))
         at = end
     return out or [(0, 0)]
@@ -106,9 +109,10 @@ def write_warc(chunks: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z
     """Writes the chunk table as gzip-compressed archives, one file a task.
 
     ``date`` is the WARC-Date of all records. A null url is written as ``urn:page``,
-    a null page_id is left out; line ends in urls are escaped.
+    a null page_id is left out; line ends in urls are escaped, and what could begin a record.
     """
     clean_url = F.regexp_replace(F.coalesce("url", F.lit("urn:page")), "[\r\n]+", "%0A")
+    clean_url = F.replace(clean_url, F.lit("WARC/"), F.lit("WARC%2F"))
     http = F.when(
         F.col("chunk") == 1,
         F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), "payload_bytes", F.lit(_END)),
@@ -149,21 +153,18 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
     A segment whose block differs from its digest or length is marked damaged.
     """
-    raw = spark.read.option("lineSep", _END + _MARK).text(folder)
-    text = F.when(F.col("value").startswith(_MARK), F.substring("value", len(_MARK) + 1, 2**31 - 1)).otherwise(F.col("value"))
-    head_end = F.locate(_END, F.col("text"))
-    rows = raw.select(text.alias("text")).where(F.col("text") != "")
-    rows = rows.withColumn("head", F.concat(F.lit("\r\n"), F.substring("text", F.lit(1), head_end - 1), F.lit("\r\n")))
-    rows = rows.withColumn("block", F.substring("text", head_end + 4, F.lit(2**31 - 1)))
+    # each row is what follows a record's first line; the first row of a file is empty
+    rows = spark.read.option("lineSep", _MARK).text(folder).where("value <> ''")
+    head_end = F.locate(_END, F.col("value"))
+    rows = rows.withColumn("head", F.concat(F.lit("\r\n"), F.substring("value", F.lit(1), head_end - 1), F.lit("\r\n")))
+    rows = rows.withColumn("block", F.substring("value", head_end + 4, F.lit(2**31 - 1)))
 
     def field(name):
         return F.nullif(F.regexp_extract("head", f"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
 
     length = field("Content-Length").cast("bigint")
-    # the last record of a file still has its record end
-    block = F.when(
-        (F.octet_length("block") == length + 4) & F.col("block").endswith(_END), F.expr("left(block, length(block) - 4)")
-    ).otherwise(F.col("block"))
+    ended = (F.octet_length("block") == length + 4) & F.col("block").endswith(_END)
+    block = F.when(ended, F.expr("left(block, length(block) - 4)")).otherwise(F.col("block"))
     rows = rows.withColumn("block", block)
     origin = F.coalesce(field("WARC-Segment-Origin-ID"), field("WARC-Record-ID"))
     damaged = (F.octet_length("block") != length) | (
