@@ -11,6 +11,7 @@ are the site's, not the article's, and go as well.
 from __future__ import annotations
 
 import html
+import os
 import re
 
 import pyarrow as pa
@@ -234,22 +235,16 @@ def _shared_open(batches):
     for batch in batches:
         rows, gone = [], []
         for r in batch.to_pylist():
-            best, most = None, -1
-            for side in ("before", "after"):
-                other = r[side]
-                if other is None or other["host"] != r["host"]:
-                    continue
-                same = next((i for i, (x, y) in enumerate(zip(r["path"], other["path"])) if x != y), min(len(r["path"]), len(other["path"])))
-                if same > most:
-                    best, most = other, same
+            sides = [x for x in (r["before"], r["after"]) if x is not None and x["host"] == r["host"]]
+            sides.sort(key=lambda x: -len(os.path.commonprefix([x["path"], r["path"]])))
             flags = [False] * len(r["marks"])
-            if best is not None:
-                places = [i for i in common_places(r["marks"], best["marks"]) if r["open"][i]]
-                size = sum(r["sizes"][i] for i in places)
-                whole = sum(n for n, is_open in zip(r["sizes"], r["open"]) if is_open)
-                if 2 * size <= whole:  # more would be two copies of one article
+            whole = sum(n for n, is_open in zip(r["sizes"], r["open"]) if is_open)
+            for other in sides:
+                places = [i for i in common_places(r["marks"], other["marks"]) if r["open"][i]]
+                if 2 * sum(r["sizes"][i] for i in places) <= whole:  # more would be two copies of one article
                     for i in places:
                         flags[i] = True
+                    break
             if any(flags):
                 rows.append(r["row"])
                 gone.append(flags)
@@ -262,14 +257,14 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Blocks are joined by a line feed; a null or empty page gives an empty text. A
     page whose host has no other page, or a null url with no other null url, keeps
     its open lines. Where shared lines make more than half of a page's open text,
-    the neighbour is a copy of the page and nothing is deleted. Other columns are not read.
+    the neighbour is a copy of the page, and the one on the other side is taken. Pages without text are nobody's neighbour. Other columns are not read.
     """
     path = scratch_path(pages.sparkSession, "page-lines")
     _extract(pages, html_col).write.option("compression", "zstd").parquet(path)
     lines = pages.sparkSession.read.parquet(path)
     sizes = F.transform("lines", lambda x: F.length(x)).alias("sizes")
     has_open = F.exists("open", lambda x: x)
-    placed = neighbours(lines.select("row", "host", "path", "marks", F.when(has_open, F.col("open")).alias("open"), F.when(has_open, sizes).alias("sizes")))
+    placed = neighbours(lines.where(F.size("marks") > 0).select("row", "host", "path", "marks", F.when(has_open, F.col("open")).alias("open"), F.when(has_open, sizes).alias("sizes")))
     placed = materialize(placed, "url-places")
     seeking = placed.where(F.col("open").isNotNull())
     side = F.struct("host", "path", "marks")
