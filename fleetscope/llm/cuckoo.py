@@ -32,7 +32,8 @@ class CuckooFilter:
         return mark.astype(np.uint16), first.astype(np.int64), self._other(first, mark).astype(np.int64)
 
     def _other(self, bucket, mark):
-        spread = mark * np.uint64(0x5BD1E9955BD1E995)
+        with np.errstate(over="ignore"):
+            spread = mark * np.uint64(0x5BD1E9955BD1E995)
         return bucket ^ ((spread >> np.uint64(20)) & np.uint64(self.buckets - 1))
 
     def contains(self, digests: np.ndarray) -> np.ndarray:

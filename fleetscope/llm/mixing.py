@@ -54,6 +54,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
+def _snapped(p: float) -> float:
+    """0 or 1 in place of what differs from it by rounding only."""
+    return float(round(p)) if abs(p - round(p)) < 1e-9 else p
+
+
 def _settle(part: list[float], draw: random.Random) -> int:
     """Rounds ``part`` in place, keeping its sum; the place left between 0 and 1, or -1."""
     left = -1
@@ -70,6 +75,7 @@ def _settle(part: list[float], draw: random.Random) -> int:
         else:
             first = draw.random() * (2 - both) < 1 - p
             part[left], part[i] = (1.0, both - 1) if first else (both - 1, 1.0)
+        part[left], part[i] = _snapped(part[left]), _snapped(part[i])
         if not 0 < part[left] < 1:
             left = i if 0 < part[i] < 1 else -1
     return left
