@@ -7,84 +7,89 @@ from pyspark.sql import functions as F
 
 from fleetscope import fixed_values as fv
 from fleetscope.functions import change_rules as rules
-from fleetscope.operators.ordered_scan import MAX_ROWS
-from fleetscope.session import broadcast_if_small, materialize
+from fleetscope.session import materialize
 
+#: The worst of a run that has a document which cannot be read.
+ERROR = "error"
 
-def classify_changes(changes: DataFrame) -> DataFrame:
-    """One drift record per change that is not ``ok``.
 
-    ``changes``: run_id, address, type, actions, before, after, after_unknown.
-    A narrow transformation; no before/after value reaches the output.
+def _judged(changes: DataFrame) -> DataFrame:
+    """``changes`` with ``_clean``, ``_attrs`` and the verdict ``_v``.
+
+    What classifies as ok is known from the actions alone, and no map of it is read.
     """
+    none = F.array().cast("array<string>")
     kind, attrs, hits = F.col("type"), F.col("_attrs"), F.col("_hits")
-    # what classifies as ok is known from the actions alone and dropped before any map is read
+    named = rules.changed_attributes(F.col("before"), F.col("after"), F.col("after_unknown"))
     return (
-        changes.where(~rules.is_clean(F.col("actions")))
-        .withColumn("_attrs", rules.changed_attributes(F.col("before"), F.col("after"), F.col("after_unknown")))
+        changes.withColumn("_clean", F.coalesce(rules.is_clean(F.col("actions")), F.lit(True)))
+        .withColumn("_attrs", F.when(F.col("_clean"), none).otherwise(named))
         .withColumn("_hits", rules.negating_hits(kind, attrs))
         .withColumn("_v", rules.classify_change(kind, F.col("actions"), attrs, hits))
-        .select(
-            "run_id",
-            F.coalesce(F.nullif("address", F.lit("")), kind).alias("resource"),
-            kind.alias("kind"),
-            "_v.attribute",
-            "_v.classification",
-            rules.is_terraform_owned(kind, attrs).alias("terraform_owned"),
-            "_v._reason",
-        )
     )
 
 
-def worst_per_run(records: DataFrame, runs: DataFrame) -> DataFrame:
-    """Worst class of every run in ``runs``; a run without records is ``ok``."""
-    found = records.groupBy("run_id").agg(F.max(rules.severity_rank(F.col("classification"))).alias("_rank"))
-    names = F.array(*[F.lit(name) for name in fv.SEVERITY])
-    return (
-        runs.select("run_id")
-        .distinct()
-        .join(found, "run_id", "left")
-        .select("run_id", F.element_at(names, F.coalesce(F.col("_rank"), F.lit(0)) + 1).alias("worst"))
+def classify_changes(changes: DataFrame) -> DataFrame:
+    """One drift record per change that is not ``ok``.
+
+    ``changes``: run_id, address, type, actions, before, after, after_unknown.
+    A narrow transformation; no before/after value reaches the output.
+    """
+    kind = F.col("type")
+    return _judged(changes.where(~rules.is_clean(F.col("actions")))).select(
+        "run_id",
+        F.coalesce(F.nullif("address", F.lit("")), kind).alias("resource"),
+        kind.alias("kind"),
+        "_v.attribute",
+        "_v.classification",
+        rules.is_terraform_owned(kind, F.col("_attrs")).alias("terraform_owned"),
+        "_v._reason",
     )
 
 
+def worst_per_run(rows: DataFrame) -> DataFrame:
+    """(run_id, worst) of every run in ``read_changes`` rows: its worst class, ``ok`` without changes.
+
+    A run with a document that cannot be read is ``error``, whatever its other
+    documents say. One scan, one shuffle.
+    """
+    classes = sorted(fv.SEVERITY, key=fv.SEVERITY.get)
+    rank = (
+        F.when(F.col("error").isNotNull(), F.lit(len(classes)))
+        .when(F.col("_clean"), F.lit(0))
+        .otherwise(rules.severity_rank(F.col("_v.classification")))
+    )
+    found = _judged(rows).groupBy("run_id").agg(F.max(rank).alias("_rank"))
+    names = F.array(*[F.lit(name) for name in (*classes, ERROR)])
+    return found.select("run_id", F.element_at(names, F.col("_rank") + 1).alias("worst"))
+
+
 def drift_summary(records: DataFrame, runs: DataFrame) -> DataFrame:
     """Records per run, class and owner; ``runs`` carries run_id and coverage."""
     counted = records.groupBy("run_id", "classification", "terraform_owned").agg(F.count(F.lit(1)).alias("records"))
     return counted.join(runs.select("run_id", "coverage"), "run_id", "left")
 
 
-def scrub_payload(
-    records: DataFrame, coverage: DataFrame, batch_rows: int = fv.DRIFT_BATCH_ROWS, max_rows: int = MAX_ROWS
-) -> DataFrame:
+def scrub_payload(records: DataFrame, coverage: DataFrame, batch_rows: int = fv.DRIFT_BATCH_ROWS) -> DataFrame:
     """Records without local-only columns, in batches a receiver accepts.
 
-    A run of more than ``max_rows`` records is numbered in hashed slices, so no
-    task orders more than about ``max_rows`` of them; batch ids stay contiguous.
+    The records of a run are numbered in the order of their columns and cut every
+    ``batch_rows``. They are dealt by range of run and columns, so a large run is
+    numbered by many tasks; only a count per run and partition goes beyond them.
     """
     public = [c for c in records.columns if not c.startswith("_")]
-    records = materialize(records.select(*public), "records")
-    sizes = records.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / max_rows).alias("_slices"))
-    wide = broadcast_if_small(sizes.where(F.col("_slices") > 1))
-    sliced = (
-        records.join(wide, "run_id", "left")
-        .withColumn(
-            "_slice",
-            F.when(F.col("_slices") > 1, F.pmod(F.xxhash64(*public), F.col("_slices"))).otherwise(F.lit(0)).cast("bigint"),
-        )
-        .drop("_slices")
-    )
-    earlier = Window.partitionBy("run_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy("run_id", "_slice")
-        .agg(F.ceil(F.count(F.lit(1)) / batch_rows).alias("_batches"))
-        .select("run_id", "_slice", F.coalesce(F.sum("_batches").over(earlier), F.lit(0)).alias("_first"))
-    )
-    in_slice = Window.partitionBy("run_id", "_slice").orderBy(*[c for c in public if c != "run_id"])
+    order = ["run_id", *[c for c in public if c != "run_id"]]
+    dealt = records.select(*public).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "records")
+    part = F.shiftrightunsigned("_at", 33)
+    counts = dealt.groupBy("run_id", part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("run_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("run_id", "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_at") - F.col("_first")
     return (
-        sliced.withColumn("_rn", F.row_number().over(in_slice))
-        .join(offsets, ["run_id", "_slice"])
-        .withColumn("batch_id", (F.col("_first") + F.floor((F.col("_rn") - 1) / batch_rows)).cast("bigint"))
+        dealt.withColumn("_part", part)
+        .join(starts, ["run_id", "_part"])
+        .withColumn("batch_id", F.floor(number / batch_rows).cast("bigint"))
         .join(coverage.select("run_id", "coverage"), "run_id", "left")
         .select(*public, "batch_id", "coverage")
     )

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.operators.frontier import MAX_STEPS, smallest_label
-from fleetscope.session import materialize, ship_by_value
-
-ship_by_value(__name__)
-
-#: Components up to this many edges are walked depth-first in one task.
-DFS_EDGES = 200_000
-
-CYCLE_COLUMNS = "scc string, cycle_no int, position bigint, stem string"
+from fleetscope.operators.frontier import smallest_label
+from fleetscope.session import materialize
 
 
 def _end(column: str, entered: bool):
@@ -61,10 +53,7 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     loops = edges.where("src = dst").select(F.col("src").alias("stem"))
     rest = edges.where("src <> dst")
     found = None
-    for _ in range(MAX_STEPS):
-        rest = _trim(rest)
-        if rest.isEmpty():
-            break
+    while not (rest := _trim(rest)).isEmpty():
         ways = both_ways(rest)
         start = ways.select(F.col("src").alias("stem"), "way", F.col("src").alias("label")).distinct()
         labels = smallest_label(ways, materialize(start, "labels"), within=("way",))
@@ -78,8 +67,6 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
             .join(unnamed.toDF("dst", "above", "below"), ["dst", "above", "below"])
             .select("src", "dst")
         )
-    else:
-        raise RuntimeError(f"no end after {MAX_STEPS} steps")
     if found is None:
         return loops.withColumn("scc", F.col("stem"))
     # a stem alone under its name is a bridge between cycles, not a cycle
@@ -93,42 +80,6 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     return strongly_connected(edges).select("stem")
 
 
-def _back_edge_cycles(targets: dict[str, list[str]], start: str) -> list[list[str]]:
-    """Cycles closed by the back edges of one depth-first walk in sorted order."""
-    path, place, done, cycles, seen = [start], {start: 0}, set(), [], set()
-    pending = [iter(targets.get(start, ()))]
-    while pending:
-        stem = next(pending[-1], None)
-        if stem is None:
-            pending.pop()
-            closed = path.pop()
-            del place[closed]
-            done.add(closed)
-        elif stem in place:
-            ring = path[place[stem] :]
-            low = ring.index(min(ring))
-            ring = ring[low:] + ring[:low]
-            if tuple(ring) not in seen:
-                seen.add(tuple(ring))
-                cycles.append([*ring, ring[0]])
-        elif stem not in done:
-            place[stem] = len(path)
-            path.append(stem)
-            pending.append(iter(targets.get(stem, ())))
-    return cycles
-
-
-def _walk_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    scc = pdf["scc"].iat[0]
-    targets = {src: sorted(group) for src, group in pdf.groupby("src")["dst"]}
-    rows = [
-        (scc, number, position, stem)
-        for number, ring in enumerate(_back_edge_cycles(targets, scc))
-        for position, stem in enumerate(ring)
-    ]
-    return pd.DataFrame(rows, columns=["scc", "cycle_no", "position", "stem"])
-
-
 def _shortest_rings(edges: DataFrame) -> DataFrame:
     """Per component of edges(scc, src, dst), one shortest cycle through its smallest stem.
 
@@ -139,10 +90,9 @@ def _shortest_rings(edges: DataFrame) -> DataFrame:
         "scc", F.col("scc").alias("stem"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("depth")
     )
     frontier = materialize(start, "ring")
-    seen, closings = frontier, []
-    for depth in range(1, MAX_STEPS):
-        if frontier.isEmpty():
-            break
+    seen, closings, depth = frontier, [], 0
+    while not frontier.isEmpty():
+        depth += 1
         ahead = (
             frontier.select("scc", F.col("stem").alias("src"))
             .join(edges, ["scc", "src"])
@@ -157,7 +107,7 @@ def _shortest_rings(edges: DataFrame) -> DataFrame:
             ahead.join(closed, "scc", "left_anti").join(seen, ["scc", "stem"], "left_anti"), "ring"
         )
         seen = seen.unionByName(frontier)
-    at = closings[0]
+    at = closings[0] if closings else start.limit(0)
     for more in closings[1:]:
         at = at.unionByName(more)
     at = materialize(at.select("scc", "stem", "parent", "depth"), "ring")
@@ -169,14 +119,12 @@ def _shortest_rings(edges: DataFrame) -> DataFrame:
     return rings.select("scc", F.lit(0).alias("cycle_no"), "position", "stem")
 
 
-def cycles(edges: DataFrame, dfs_edges: int = DFS_EDGES) -> DataFrame:
-    """(scc, cycle_no, position, stem): each cycle from its smallest stem round to it again.
+def cycles(edges: DataFrame) -> DataFrame:
+    """(scc, cycle_no, position, stem): one shortest cycle through each component's smallest stem.
 
-    A component of at most ``dfs_edges`` edges reports the cycles its back edges
-    close in a depth-first walk in sorted order from its smallest stem. Such a
-    walk is sequential by nature, so a larger component, which one task should
-    not hold, reports one shortest cycle through its smallest stem instead,
-    found by a distributed search. ``cyclic_nodes`` names every node either way.
+    It starts and ends with that stem; where several are as short, the smallest
+    predecessors are taken. ``cyclic_nodes`` names every node on any cycle. The rule
+    is the same for components of any size; all are searched in the same steps.
     """
     component = materialize(strongly_connected(edges), "component")
     inner = (
@@ -187,10 +135,4 @@ def cycles(edges: DataFrame, dfs_edges: int = DFS_EDGES) -> DataFrame:
         .where(F.col("scc") == F.col("_to"))
         .select("scc", "src", "dst")
     )
-    inner = materialize(inner, "component-edges")
-    large = inner.groupBy("scc").count().where(F.col("count") > dfs_edges).select("scc")
-    large = materialize(large, "large")
-    walked = inner.join(large, "scc", "left_anti").groupBy("scc").applyInPandas(_walk_component, CYCLE_COLUMNS)
-    if large.isEmpty():
-        return walked
-    return walked.unionByName(_shortest_rings(inner.join(large, "scc", "left_semi")))
+    return _shortest_rings(materialize(inner, "component-edges"))

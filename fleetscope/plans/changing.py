@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetscope import fixed_values as fv
 from fleetscope.operators import changes
 from fleetscope.plans.registry import Tables, query, to_duckdb
-from fleetscope.sources.readers import explode_changes
+from fleetscope.sources.readers import explode_changes, read_changes
 
 _FACTS = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -19,7 +19,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CASE l_partkey % 10 WHEN 0 THEN 'aws_db_instance' WHEN 1 THEN 'aws_ecs_service' WHEN 2 THEN 'aws_lambda_function'
     WHEN 3 THEN 'aws_iam_role_policy' WHEN 4 THEN 'aws_security_group_rule' WHEN 5 THEN 'aws_ecs_task_definition'
     WHEN 6 THEN 'aws_route53_record' WHEN 7 THEN 'aws_cloudwatch_log_group' WHEN 8 THEN 'aws_db_instance' END AS kind,
-  CASE l_suppkey % 10 WHEN 4 THEN '"create"' WHEN 5 THEN '"delete"' WHEN 6 THEN '"delete","create"'
+  l_partkey % 89 < 3 AS broken, CASE l_suppkey % 10 WHEN 3 THEN '7' WHEN 4 THEN '"create"' WHEN 5 THEN '"delete"' WHEN 6 THEN '"delete","create"'
     WHEN 7 THEN '"no-op"' WHEN 8 THEN '"read"' WHEN 9 THEN '"forget"' ELSE '"update"' END AS actions
 FROM {lineitem}
 """
@@ -27,15 +27,17 @@ FROM {lineitem}
 CHANGE_DOCS = (
     """
 SELECT CAST(l_orderkey AS STRING) AS run_id,
+  CASE l_partkey % 89 WHEN 0 THEN 'terraform crashed' WHEN 1 THEN '{{"resource_changes":[{{"address":"r' WHEN 2 THEN
+  '{{"resource_changes":{{"a":1}}}}' ELSE
   '{{"resource_changes":[{{"address":"r.' || CAST(l_partkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '"' ||
   CASE WHEN kind IS NULL THEN '' ELSE ',"type":"' || kind || '"' END ||
-  ',"change":{{"actions":[' || actions || '],"before":{{"allocated_storage":' || CAST(q AS STRING) ||
+  ',"change":{{"actions":' || CASE WHEN actions = '7' THEN '"update"' ELSE '[' || actions || ']' END || ',"before":{{"allocated_storage":' || CAST(q AS STRING) ||
   ',"instance_class":"c' || CAST(q % 4 AS STRING) || '","container_definitions":"v' || CAST(d AS STRING) ||
   '","environment":null,"policy":{{"b":1,"a":[2]}}}},"after":{{"allocated_storage":' || CAST(q + d % 2 AS STRING) ||
   ',"instance_class":"c' || CAST((q + l_suppkey % 2) % 4 AS STRING) || '","container_definitions":"v' ||
   CAST(d + q % 2 AS STRING) || '","policy":{{"a":[' || CAST(2 + l_linenumber % 2 AS STRING) ||
   '],"b":1}}}},"after_unknown":{{"id":' || CASE WHEN d = 3 THEN 'true' ELSE 'false' END ||
-  ',"environment":' || CASE WHEN d = 5 THEN '{{"x":true}}' ELSE '{{}}' END || '}}}}}}]}}' AS doc
+  ',"environment":' || CASE WHEN d = 5 THEN '{{"x":true}}' ELSE '{{}}' END || '}}}}}}]}}' END AS doc
 FROM ("""
     + _FACTS
     + ")"
@@ -48,7 +50,7 @@ _LIST = lambda values: ", ".join(f"'{v}'" for v in values)
 _RECORDS_SQL = f"""
 facts AS ({to_duckdb(_FACTS)}),
 named AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS run_id, coalesce(kind, 'unknown') AS kind,
+  SELECT CAST(l_orderkey AS VARCHAR) AS run_id, broken, coalesce(kind, 'unknown') AS kind,
     'r.' || CAST(l_partkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) AS resource,
     string_split(replace(actions, '"', ''), ',') AS actions,
     list_filter([CASE WHEN d % 2 = 1 THEN 'allocated_storage' END, CASE WHEN q % 2 = 1 THEN 'container_definitions' END,
@@ -72,7 +74,7 @@ judged AS (
       ELSE attrs[1] END END AS attribute,
     NOT (kind = 'aws_ecs_task_definition' AND attrs = ['container_definitions']) AS terraform_owned
   FROM hit),
-records AS (SELECT * FROM judged WHERE classification <> 'ok')
+records AS (SELECT * FROM judged WHERE classification <> 'ok' AND NOT broken)
 """
 
 
@@ -80,17 +82,14 @@ def _docs(t: Tables) -> DataFrame:
     return t.sql(CHANGE_DOCS, heavy=True)
 
 
-def _runs(t: Tables) -> DataFrame:
-    return t("lineitem").select(F.col("l_orderkey").cast("string").alias("run_id")).distinct()
-
-
 def _coverage(t: Tables) -> DataFrame:
-    full = F.when(F.col("run_id").cast("bigint") % 3 == 0, F.lit(0.5)).otherwise(F.lit(1.0))
-    return _runs(t).withColumn("coverage", full)
+    """One row per order, which is a run."""
+    full = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0.5)).otherwise(F.lit(1.0))
+    return t("orders").select(F.col("o_orderkey").cast("string").alias("run_id"), full.alias("coverage"))
 
 
 def _records(t: Tables) -> DataFrame:
-    return changes.classify_changes(explode_changes(_docs(t)))
+    return changes.classify_changes(explode_changes(_docs(t))[0])
 
 
 @query(
@@ -101,7 +100,7 @@ def change_classify(t: Tables) -> DataFrame:
     return _records(t).drop("_reason")
 
 
-_WORST = "CASE max(CASE classification {} END) {} ELSE 'ok' END".format(
+_WORST = "CASE WHEN bool_or(broken) THEN 'error' ELSE CASE max(CASE classification {} END) {} ELSE 'ok' END END".format(
     " ".join(f"WHEN '{name}' THEN {rank}" for name, rank in fv.SEVERITY.items()),
     " ".join(f"WHEN {rank} THEN '{name}'" for name, rank in fv.SEVERITY.items()),
 )
@@ -112,7 +111,16 @@ _WORST = "CASE max(CASE classification {} END) {} ELSE 'ok' END".format(
     f"WITH {_RECORDS_SQL} SELECT run_id, {_WORST} AS worst FROM judged GROUP BY run_id",
 )
 def worst_change_per_run(t: Tables) -> DataFrame:
-    return changes.worst_per_run(_records(t), _runs(t))
+    return changes.worst_per_run(read_changes(_docs(t)))
+
+
+@query(
+    "change_errors",
+    f"WITH {_RECORDS_SQL} SELECT run_id, 'unreadable document' AS error, count(*) AS documents FROM named WHERE broken GROUP BY run_id",
+)
+def change_errors(t: Tables) -> DataFrame:
+    errors = explode_changes(_docs(t))[1]
+    return errors.groupBy("run_id", "error").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query(
@@ -128,12 +136,11 @@ def drift_summary(t: Tables) -> DataFrame:
 @query(
     "drift_batches",
     f"""WITH {_RECORDS_SQL}, one AS (SELECT CAST(CAST(run_id AS BIGINT) % 5 AS VARCHAR) AS run_id, resource, kind,
-      attribute, classification, terraform_owned FROM records)
-    SELECT run_id, batch_id, count(*) AS records FROM (SELECT run_id, (row_number() OVER (PARTITION BY run_id
-      ORDER BY resource) - 1) // 500 AS batch_id FROM one) GROUP BY ALL""",
+      attribute, classification, terraform_owned, run_id AS origin FROM records)
+    SELECT run_id, resource, origin, (row_number() OVER (PARTITION BY run_id ORDER BY resource, kind,
+      attribute NULLS FIRST, classification, terraform_owned, origin) - 1) // 500 AS batch_id FROM one""",
 )
 def drift_batches(t: Tables) -> DataFrame:
     """Batches of 500 over five merged runs, so that runs need several batches."""
-    merged = _records(t).withColumn("run_id", (F.col("run_id").cast("bigint") % 5).cast("string"))
-    batches = changes.scrub_payload(merged, _coverage(t), batch_rows=500)
-    return batches.groupBy("run_id", "batch_id").agg(F.count(F.lit(1)).alias("records"))
+    merged = _records(t).withColumn("origin", F.col("run_id")).withColumn("run_id", (F.col("run_id").cast("bigint") % 5).cast("string"))
+    return changes.scrub_payload(merged, _coverage(t), batch_rows=500).select("run_id", "resource", "origin", "batch_id")

@@ -237,7 +237,8 @@ def exposition_rows(t: Tables) -> DataFrame:
 
 #: Disk-usage listings told from events: two JSON lines, a blank one, or nothing.
 LISTINGS = """
-SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' ELSE '{{"objects":1,"size":1}}' || chr(10) || '{{"objects":' ||
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' WHEN event_id % 10 = 7 THEN '{{"objects":1}}' || chr(10) || '{{"objects":3'
+  ELSE '{{"objects":1,"size":1}}' || chr(10) || '{{"objects":' ||
   CAST(event_id % 90 AS STRING) || ',"size":' || CAST(event_id * 7 AS STRING) || '}}' || chr(10) || chr(10) END AS listing
 FROM {events}
 """
@@ -245,8 +246,8 @@ FROM {events}
 
 @query(
     "bucket_root",
-    """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id % 90 END AS objects,
-    CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id * 7 END AS size_bytes FROM events""",
+    """SELECT event_id, CASE event_id % 10 WHEN 0 THEN 0 WHEN 7 THEN NULL ELSE event_id % 90 END AS objects,
+    CASE event_id % 10 WHEN 0 THEN 0 WHEN 7 THEN NULL ELSE event_id * 7 END AS size_bytes FROM events""",
 )
 def bucket_root_query(t: Tables) -> DataFrame:
     return t.sql(LISTINGS, heavy=True).select("event_id", bucket_root(F.col("listing")).alias("_r")).select("event_id", "_r.*")

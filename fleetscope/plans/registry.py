@@ -55,6 +55,22 @@ class Tables:
         return reader.parquet(self.folder)
 
 
+def utc_session(spark: SparkSession) -> SparkSession:
+    """``spark``, or where its time zone is another, a sister session with its settings in UTC.
+
+    Given times are UTC, and casts, truncation and literals follow the session's zone.
+    """
+    zone = "spark.sql.session.timeZone"
+    if spark.conf.get(zone) in ("UTC", "Etc/UTC"):
+        return spark
+    sister = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            sister.conf.set(key, value)
+    sister.conf.set(zone, "UTC")
+    return sister
+
+
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -64,7 +80,7 @@ def query(name: str, oracle: str | None = None):
 
     def register(function: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            out = function(Tables(spark, folder))
+            out = function(Tables(utc_session(spark), folder))
             stamps = [c for c, kind in out.dtypes if kind == "timestamp"]
             return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps}) if stamps else out
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -37,21 +40,35 @@ def build_session(app: str = "fleetscope", master: str | None = None, **conf: st
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    ``spark.checkpoint.dir`` names it. A local session without that setting
-    gets a temporary folder; a cluster session without it is an error, because
-    a folder only one machine sees would lose data with its executor.
+    ``spark.checkpoint.dir`` names it. Where it is unset, a session on one machine
+    (``local[...]``) gets a folder that goes with the process; on a cluster that is
+    an error, because a folder only one machine sees would lose data with its executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="fleetscope-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/fleetscope/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/fleetscope/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables this application has written so far.
+
+    Results are lazy and read these tables: call it when they were written or collected.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_step(df: DataFrame, label: str = "step") -> str:

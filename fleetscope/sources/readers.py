@@ -12,8 +12,10 @@ from fleetscope.functions import keys
 
 CHANGE_SCHEMA = (
     "resource_changes ARRAY<STRUCT<address STRING, type STRING, change STRUCT<actions ARRAY<STRING>, "
-    "before MAP<STRING,VARIANT>, after MAP<STRING,VARIANT>, after_unknown MAP<STRING,VARIANT>>>>"
+    "before MAP<STRING,VARIANT>, after MAP<STRING,VARIANT>, after_unknown MAP<STRING,VARIANT>>>>, _bad STRING"
 )
+#: The action of a change whose actions cannot be read; no rule knows it, so it is never taken for clean.
+UNREADABLE = "unreadable"
 LOG_SCHEMA = "log_group STRING, ts TIMESTAMP, message STRING"
 METRIC_SCHEMA = "namespace STRING, metric STRING, dims MAP<STRING,STRING>, ts TIMESTAMP, value DOUBLE"
 
@@ -51,31 +53,44 @@ def scan_plan_docs(spark: SparkSession, active: str, archive: str | None = None)
         return docs
 
 
-def explode_changes(docs: DataFrame) -> DataFrame:
-    """One row per change of ``docs`` (run_id, doc STRING holding JSON).
+def read_changes(docs: DataFrame) -> DataFrame:
+    """A row per change of ``docs`` (run_id, doc STRING holding JSON), and one for a run without changes.
 
-    A missing or null list is an empty run; a missing type is ``unknown``.
+    ``error`` says why a document cannot be read: it is no JSON object, or its
+    change list is no list. A missing or null list is an empty run, whose row has
+    actions NULL. A missing type is ``unknown``. Actions that are no list of names
+    become ``UNREADABLE``. The document is parsed once.
     """
-    parsed = docs.select("run_id", F.from_json("doc", CHANGE_SCHEMA)["resource_changes"].alias("_list"))
-    one = F.col("_c.change")
+    read = F.from_json("doc", CHANGE_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
+    parsed = docs.select("run_id", read.alias("_d"), (F.trim(F.coalesce("doc", F.lit(""))) == "").alias("_blank"))
+    parsed = parsed.select("run_id", "_blank", F.col("_d._bad").isNotNull().alias("_odd"), F.col("_d.resource_changes").alias("_list"))
+    error = F.when(F.col("_blank") | (F.col("_odd") & F.col("_list").isNull()), F.lit("unreadable document"))
     # the outer form, because a plain explode makes Spark infer a filter that parses the document again
-    listed = parsed.select("run_id", F.explode_outer("_list").alias("_c")).where(F.col("_c").isNotNull())
+    listed = parsed.select("run_id", error.alias("error"), "_odd", F.explode_outer("_list").alias("_c"))
+    one = F.col("_c.change")
+    missing = F.when(F.col("_odd"), F.array(F.lit(UNREADABLE))).otherwise(F.array().cast("array<string>"))
     return listed.select(
         "run_id",
+        "error",
         F.col("_c.address").alias("address"),
         F.coalesce(F.nullif(F.col("_c.type"), F.lit("")), F.lit("unknown")).alias("type"),
-        F.coalesce(one["actions"], F.array().cast("array<string>")).alias("actions"),
+        F.when(F.col("_c").isNotNull(), F.coalesce(one["actions"], missing)).alias("actions"),
         one["before"].alias("before"),
         one["after"].alias("after"),
         one["after_unknown"].alias("after_unknown"),
     )
 
 
-def scan_change_docs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(changes, runs): one JSON document per file, the file name is the run."""
+def explode_changes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes, errors) of ``docs``; errors has run_id and error for each document that cannot be read."""
+    rows = read_changes(docs)
+    return rows.where(F.col("actions").isNotNull()).drop("error"), rows.where(F.col("error").isNotNull()).select("run_id", "error")
+
+
+def scan_change_docs(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, doc): one JSON document per file, the file name is the run."""
     text = spark.read.text(path, wholetext=True)
-    docs = text.select(_file_stem(F.col("_metadata.file_path")).alias("run_id"), F.col("value").alias("doc"))
-    return explode_changes(docs), docs.select("run_id")
+    return text.select(_file_stem(F.col("_metadata.file_path")).alias("run_id"), F.col("value").alias("doc"))
 
 
 def explode_claims(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -193,10 +208,14 @@ def scan_cache_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bucket_root(listing):
-    """``STRUCT<objects, size_bytes>`` from disk-usage JSON lines: the last non-empty line, else zeros."""
+    """``STRUCT<objects, size_bytes>`` from disk-usage JSON lines: the last non-empty line's, zeros if there is no line.
+
+    NULL for a listing with a line that is no JSON, as nothing is known then.
+    """
     lines = F.filter(F.split(listing, r"\R"), lambda line: F.trim(line) != "")
+    broken = F.exists(lines, lambda line: F.try_parse_json(line).isNull())
     root = F.try_parse_json(F.try_element_at(lines, F.lit(-1)))
     number = lambda name: F.coalesce(
         F.try_variant_get(root, f"$.{name}", "bigint"), F.lit(0).cast("bigint")
     )
-    return F.struct(number("objects").alias("objects"), number("size").alias("size_bytes"))
+    return F.when(~broken, F.struct(number("objects").alias("objects"), number("size").alias("size_bytes")))

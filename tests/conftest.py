@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from fleetscope.session import build_session  # noqa: E402
+from fleetscope.session import build_session, clear_scratch, scratch_root  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -25,6 +25,16 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def no_leftovers(request):
+    """Intermediate tables go when a test is over."""
+    yield
+    if "spark" in request.fixturenames:
+        session = request.getfixturevalue("spark")
+        clear_scratch(session)
+        assert not any(files for _, _, files in os.walk(scratch_root(session) + "/fleetscope"))
+
+
 @pytest.fixture
 def rows():
     """Rows of a DataFrame as sorted tuples."""

@@ -19,7 +19,7 @@ def change(address, kind, actions, before=None, after=None, unknown=None):
 
 def classify(spark, *items):
     docs = spark.createDataFrame([("run", json.dumps({"resource_changes": list(items)}))], "run_id string, doc string")
-    return changes.classify_changes(readers.explode_changes(docs))
+    return changes.classify_changes(readers.explode_changes(docs)[0])
 
 
 def updated(**names):
@@ -133,8 +133,8 @@ def test_mixed_run_and_missing_fields(spark, rows):
         ],
         "run_id string, doc string",
     )
-    records = changes.classify_changes(readers.explode_changes(docs))
-    assert dict(rows(changes.worst_per_run(records, docs))) == {
+    records = changes.classify_changes(readers.explode_changes(docs)[0])
+    assert dict(rows(changes.worst_per_run(readers.read_changes(docs)))) == {
         "mixed": "active_negation", "none": "ok", "null": "ok", "bare": "unknown",
     }
     got = [tuple(r) for r in records.where("run_id = 'mixed'").collect()]
@@ -144,26 +144,45 @@ def test_mixed_run_and_missing_fields(spark, rows):
     assert summary.agg(F.sum("records")).first()[0] == 5
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 60])
-def test_batches_hold_everything_and_stay_under_the_limit(spark, tmp_path, max_rows):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_batches_are_consecutive_rows_of_a_run(spark, tmp_path, parts):
     records = spark.range(505).selectExpr(
-        "if(id < 450, 'big', 'small') AS run_id", "concat('r', id) AS resource", "'secret' AS _reason"
+        "if(id < 450, 'big', 'small') AS run_id", "concat('r', lpad(id, 4, '0')) AS resource", "'secret' AS _reason"
     )
     coverage = spark.createDataFrame([("big", 1.0), ("small", 0.5)], "run_id string, coverage double")
-    out = changes.scrub_payload(records, coverage, batch_rows=20, max_rows=max_rows)
-    assert out.columns == ["run_id", "resource", "batch_id", "coverage"]
-    sizes = {(r.run_id, r.batch_id): r["count"] for r in out.groupBy("run_id", "batch_id").count().collect()}
-    assert sum(sizes.values()) == 505 and max(sizes.values()) <= 20
-    assert sorted(b for run, b in sizes if run == "small") == [0, 1, 2]
-    big = sorted(b for run, b in sizes if run == "big")
-    assert big == list(range(len(big)))
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        out = changes.scrub_payload(records.repartition(3), coverage, batch_rows=20)
+        assert out.columns == ["run_id", "resource", "batch_id", "coverage"]
+        got = {(r.run_id, r.resource): r.batch_id for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want = {("big", f"r{i:04d}"): i // 20 for i in range(450)} | {("small", f"r{i:04d}"): (i - 450) // 20 for i in range(450, 505)}
+    assert got == want
     writers.write_payload(out, str(tmp_path / "payload"))
     assert spark.read.json(str(tmp_path / "payload")).count() == 505
 
 
+def test_unreadable_documents_are_never_ok(spark, rows):
+    good = json.dumps({"resource_changes": [change("x", DB, ["no-op"])]})
+    odd = json.dumps({"resource_changes": [change("x", DB, "update"), change("y", DB, [])]})
+    docs = [
+        ("cut", good[:40]), ("text", "terraform crashed"), ("object", '{"resource_changes": {"a": 1}}'), ("null", None),
+        ("blank", " "), ("list", "[1]"), ("odd", odd), ("fine", good), ("half", good), ("half", "oops"),
+    ]
+    table = spark.createDataFrame(docs, "run_id string, doc string")
+    assert dict(rows(changes.worst_per_run(readers.read_changes(table)))) == {
+        "cut": "error", "text": "error", "object": "error", "null": "error", "blank": "error", "list": "error",
+        "odd": "unknown", "fine": "ok", "half": "error",
+    }
+    found, errors = readers.explode_changes(table)
+    assert sorted(r[0] for r in rows(errors)) == ["blank", "cut", "half", "list", "null", "object", "text"]
+    assert sorted(r[0] for r in rows(found)) == ["fine", "half", "odd", "odd"]
+
+
 def test_change_files(spark, rows, tmp_path):
     (tmp_path / "run-1.json").write_text(json.dumps({"resource_changes": [change("x", ECS, ["delete"])]}, indent=2))
     (tmp_path / "run-2.json").write_text("{}")
-    found, runs = readers.scan_change_docs(spark, str(tmp_path))
-    worst = changes.worst_per_run(changes.classify_changes(found), runs)
-    assert rows(worst) == [("run-1", "active_negation"), ("run-2", "ok")]
+    (tmp_path / "run-3.json").write_text("{")
+    worst = changes.worst_per_run(readers.read_changes(readers.scan_change_docs(spark, str(tmp_path))))
+    assert rows(worst) == [("run-1", "active_negation"), ("run-2", "ok"), ("run-3", "error")]

@@ -178,14 +178,21 @@ def rings(df):
 def test_cycles(spark):
     edges = [("x", "a"), ("b", "a"), ("a", "b"), ("b", "c"), ("c", "b"), ("s", "s"), ("d", "e")]
     table = spark.createDataFrame(edges, "src string, dst string")
-    assert rings(components.cycles(table)) == [["a", "b", "a"], ["b", "c", "b"], ["s", "s"]]
-    assert rings(components.cycles(table, dfs_edges=0)) == [["a", "b", "a"], ["s", "s"]]
+    assert rings(components.cycles(table)) == [["a", "b", "a"], ["s", "s"]]
+    assert {r.stem for r in components.cyclic_nodes(table).collect()} == set("abcs")
+    assert components.cycles(table.where("src = 'd'")).count() == 0
 
 
-def test_large_component_search_finds_a_shortest_ring(spark):
+def test_two_rings_in_a_component_give_the_shortest(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("b", "e"), ("e", "a"), ("m", "n"), ("n", "m")]
     table = spark.createDataFrame(edges, "src string, dst string")
-    assert rings(components.cycles(table, dfs_edges=0)) == [["a", "b", "e", "a"], ["m", "n", "m"]]
+    assert rings(components.cycles(table)) == [["a", "b", "e", "a"], ["m", "n", "m"]]
+
+
+def test_a_long_ring_is_whole(spark):
+    edges = [(f"n{i:02d}", f"n{(i + 1) % 40:02d}") for i in range(40)]
+    table = spark.createDataFrame(edges, "src string, dst string")
+    assert rings(components.cycles(table)) == [[*(a for a, _ in edges), "n00"]]
 
 
 def test_files(spark, rows, tmp_path):
