@@ -194,3 +194,9 @@ SCALAR_COUNTERS = (
     "compile_fails",
 )
 MAP_COUNTERS = ("cache_hits", "cache_misses", "cache_errors")
+
+# Gauges of a bucket in the exposition, with their help texts.
+BUCKET_GAUGES = {
+    "objects": ("sccache_bucket_objects", "Object count in the shared sccache MinIO bucket."),
+    "size_bytes": ("sccache_bucket_size_bytes", "Total byte size of the shared sccache MinIO bucket."),
+}

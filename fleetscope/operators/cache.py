@@ -36,12 +36,7 @@ def exposition_rows(counters: DataFrame, buckets: DataFrame) -> DataFrame:
         return [F.when(F.col(value).isNotNull(), F.struct(F.lit(rank + i), line)) for i, line in enumerate(lines)]
 
     gauges = []
-    for rank, (value, metric, text) in enumerate(
-        (
-            ("objects", "sccache_bucket_objects", "Object count in the shared cache bucket."),
-            ("size_bytes", "sccache_bucket_size_bytes", "Total byte size of the shared cache bucket."),
-        )
-    ):
+    for rank, (value, (metric, text)) in enumerate(fv.BUCKET_GAUGES.items()):
         gauges += block(
             rank * 10,
             value,

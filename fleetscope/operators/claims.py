@@ -69,12 +69,19 @@ def conflict_summary(conflicts: DataFrame, errors: DataFrame) -> DataFrame:
     )
 
 
-def lookup_tree_claim(calls: DataFrame, claims: DataFrame) -> DataFrame:
-    """Calls with the newest live claim on the tree they touch, if any."""
+def lookup_tree_claim(calls: DataFrame, claims: DataFrame, now: Column | None = None) -> DataFrame:
+    """Calls with the newest claim on the tree they touch, if any; with ``now``, of the claims live then.
+
+    Of claims seen at one time the largest machine and session holds.
+    """
+    if now is not None:
+        claims = live_claims(claims, now)
     newest = (
         claims.where(F.col("kind") == "worktree")
         .groupBy(F.col("resource_key").alias("key"))
-        .agg(F.max_by(F.struct("machine_id", "session_id"), F.struct("observed_at", "machine_id")).alias("holder"))
+        .agg(
+            F.max_by(F.struct("machine_id", "session_id"), F.struct("observed_at", "machine_id", "session_id")).alias("holder")
+        )
     )
     return calls.withColumn("key", keys.normalize_resource_key(F.col("path"))).join(newest, "key", "left")
 

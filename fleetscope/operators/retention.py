@@ -14,9 +14,9 @@ def fifo_keep(chunks: DataFrame, cap_bytes: int = fv.WARM_SESSION_BYTES, max_row
     """Marks the newest chunks of each session that fit ``cap_bytes``.
 
     ``chunks``: session_id, seq, size and any other columns. The chunk that
-    straddles the cap, and all older ones, get ``kept = false``.
+    straddles the cap, and all older ones, get ``kept = false``. Chunks of one ``seq`` are taken by size.
     """
-    scan = OrderedScan(chunks, ["session_id"], "seq", descending=True, max_rows=max_rows)
+    scan = OrderedScan(chunks, ["session_id"], "seq", ("size",), descending=True, max_rows=max_rows)
     return scan.running_sum(F.col("size"), "bytes_so_far").frame.withColumn("kept", F.col("bytes_so_far") <= cap_bytes)
 
 

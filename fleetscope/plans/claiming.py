@@ -110,18 +110,22 @@ TREE_CLAIMS = """
 SELECT 'worktree' AS kind, 'd:/trees/c' || CAST(c_custkey AS STRING) AS resource_key,
   CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'm' || CAST(c_custkey % 3 AS STRING) END AS machine_id,
   CASE WHEN c_custkey % 2 = 0 THEN 's' || CAST(c_custkey % 4 AS STRING) END AS session_id,
-  timestamp_micros(1704067200000000) AS observed_at
+  timestamp_micros(1704067200000000) AS observed_at, CASE WHEN c_custkey % 7 = 0 THEN 600 ELSE 86400 END AS ttl_seconds
 FROM {customer} WHERE c_nationkey <> 7
 UNION ALL
-SELECT 'worktree', 'd:/trees/c' || CAST(s_suppkey * 2 AS STRING), 'm1', 's1', timestamp_micros(1704067260000000)
+SELECT 'worktree', 'd:/trees/c' || CAST(s_suppkey * 2 AS STRING), 'm1', 's1', timestamp_micros(1704067260000000),
+  CASE WHEN s_suppkey % 3 = 0 THEN 540 ELSE 541 END
 FROM {supplier}
 """
+#: The moment claims are looked up, in microseconds: some have just run out.
+LOOKUP_US = 1704067800000000
 
 _GUARD_SQL = f"""
 calls AS ({to_duckdb(CALLS)}),
 newest AS (
-  SELECT * FROM ({to_duckdb(TREE_CLAIMS)}) QUALIFY row_number() OVER (
-    PARTITION BY resource_key ORDER BY observed_at DESC, machine_id DESC) = 1),
+  SELECT * FROM ({to_duckdb(TREE_CLAIMS)}) WHERE epoch_us(observed_at) + CAST(ttl_seconds AS BIGINT) * 1000000 > {LOOKUP_US}
+  QUALIFY row_number() OVER (
+    PARTITION BY resource_key ORDER BY observed_at DESC, machine_id DESC, session_id DESC NULLS LAST) = 1),
 looked AS (
   SELECT c.*, n.resource_key AS found, n.machine_id AS holder, n.session_id AS holder_session FROM calls c
   LEFT JOIN newest n ON n.resource_key =
@@ -140,7 +144,9 @@ decided AS (
 
 
 def _decided(t: Tables) -> DataFrame:
-    return claims.guard_decision(claims.lookup_tree_claim(t.sql(CALLS), t.sql(TREE_CLAIMS)))
+    return claims.guard_decision(
+        claims.lookup_tree_claim(t.sql(CALLS), t.sql(TREE_CLAIMS), F.timestamp_micros(F.lit(LOOKUP_US)))
+    )
 
 
 @query("tree_guard", f"WITH {_GUARD_SQL} SELECT call_id, decision, reason FROM decided")

@@ -220,7 +220,7 @@ def cache_hit_rate(t: Tables) -> DataFrame:
       SELECT owner, unnest([0, 10]) AS rank, unnest(['objects', 'size_bytes']) AS name,
         unnest(['Object count in', 'Total byte size of']) AS help, unnest([n, total]) AS v FROM buckets)
     SELECT owner, CAST(rank AS INTEGER) AS line_no, '# HELP sccache_bucket_' || name || ' ' || help ||
-      ' the shared cache bucket.' AS line FROM gauges
+      ' the shared sccache MinIO bucket.' AS line FROM gauges
     UNION ALL SELECT owner, rank + 1, '# TYPE sccache_bucket_' || name || ' gauge' FROM gauges
     UNION ALL SELECT owner, rank + 2, 'sccache_bucket_' || name || '{{bucket="' || owner || '"}} ' || v FROM gauges
     UNION ALL SELECT owner, rank, '# TYPE sccache_local_' || name || '_total counter' FROM counted

@@ -20,19 +20,21 @@ def write_graph(graph: Graph, cycles: DataFrame, path: str) -> None:
 
 
 def write_payload(batches: DataFrame, path: str) -> None:
-    """Scrubbed drift records, one folder per run; rows keep the batch they are sent in."""
-    batches.repartitionByRange("run_id", "batch_id").write.partitionBy("run_id").json(path)
+    """Scrubbed drift records sorted by run and batch; rows keep the batch they are sent in."""
+    order = ("run_id", "batch_id")
+    batches.repartitionByRange(*order).sortWithinPartitions(*order).write.json(path)
 
 
 def write_exposition(rows: DataFrame, path: str) -> None:
-    """Exposition text, the lines of one owner in order in one folder."""
+    """Exposition lines with their owner and number, in that order; not a folder for every host."""
     ordered = rows.repartitionByRange("owner", "line_no").sortWithinPartitions("owner", "line_no")
-    ordered.select("owner", F.col("line").alias("value")).write.partitionBy("owner").text(path)
+    ordered.select("owner", "line_no", "line").write.parquet(path)
 
 
 def write_cold_objects(chunks: DataFrame, path: str, **sizes: int) -> None:
     """Append the bodies of closed sessions not yet at ``path``; a written session is never touched.
 
+    What is there is looked up before writing: one writer per path, as two at a time could both append a session.
     ``chunks``: tenant_id, session_id, seq, bytes, closed_at. Rows are spread by
     range, so a busy tenant is written by many tasks and a quiet one by few.
     """

@@ -98,6 +98,8 @@ class AlarmProcessor(StatefulProcessor):
                     "period_s": row.period_s, "n": row.n, "op": row.op, "threshold": row.threshold,
                     "missing": row.missing, "notify_ok": bool(row.notify_ok),
                 }
+            if row.start_s <= s["last_s"]:  # repeated, or later than its turn: already counted
+                continue
             for gap in range(s["last_s"] + s["period_s"], row.start_s, s["period_s"]):
                 self._step(s, gap, None, out)
             self._step(s, row.start_s, None if pd.isna(row.value) else float(row.value), out)

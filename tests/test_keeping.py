@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetscope import fixed_values as fv
+from fleetscope.functions import counter_rules
 from fleetscope.operators import cache, retention, vectors, verify
 from fleetscope.sources import readers, writers
 
@@ -129,7 +130,7 @@ def test_exposition(spark, tmp_path):
     buckets = spark.createDataFrame([("h", "store", 3, None)], "owner string, bucket string, objects long, size_bytes long")
     out = cache.exposition_rows(counters, buckets)
     want = [
-        "# HELP sccache_bucket_objects Object count in the shared cache bucket.",
+        "# HELP sccache_bucket_objects Object count in the shared sccache MinIO bucket.",
         "# TYPE sccache_bucket_objects gauge",
         'sccache_bucket_objects{bucket="store"} 3',
         "# TYPE sccache_local_cache_hits_total counter",
@@ -137,7 +138,7 @@ def test_exposition(spark, tmp_path):
     ]
     assert [r.line for r in out.orderBy("line_no").collect()] == want
     writers.write_exposition(out, str(tmp_path / "text"))
-    assert spark.read.text(str(tmp_path / "text")).count() == 5
+    assert [r.line for r in spark.read.parquet(str(tmp_path / "text")).orderBy("owner", "line_no").collect()] == want
 
 
 @pytest.mark.parametrize("text, want", [("", (0, 0)), ('{"objects":1,"size":2}\n\n{"objects":3,"size":4}\n \n', (3, 4)), ('{"size":4}', (0, 4))])
@@ -145,6 +146,19 @@ def test_bucket_root(spark, text, want):
     assert tuple(spark.range(1).select(readers.bucket_root(F.lit(text))).first()[0]) == want
 
 
+@pytest.mark.parametrize("text", ['{"objects":1,"size":2}\n{"objects":3', "mc: error", '{"objects":1\n{"objects":2,"size":3}'])
+def test_a_broken_listing_is_unknown_not_empty(spark, text):
+    assert spark.range(1).select(readers.bucket_root(F.lit(text))).first()[0] is None
+
+
+def test_counters_keep_every_digit(spark):
+    doc = '{"a":{"counts":{"x":9007199254740993,"y":2.5,"z":"4"}},"b":{"counts":[1,2]},"c":{},"d":{"counts":null},"n":9007199254740993}'
+    flat = counter_rules.flat_counters(F.try_parse_json(F.lit(doc)))
+    totals = [counter_rules.counter_total(flat, name) for name in "abcde"]
+    got = spark.range(1).select(*totals, counter_rules.scalar_counter(flat, "n")).first()
+    assert tuple(got) == (9007199254740995, None, 0, 0, None, 9007199254740993)
+
+
 def test_reconcile(spark, rows):
     left = spark.createDataFrame([("same", 2), ("less", 2), ("gone", 2), ("both", None)], "table_name string, n long")
     right = spark.createDataFrame([("same", 2), ("less", 1), ("both", None)], "table_name string, n long")
