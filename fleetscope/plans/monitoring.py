@@ -201,17 +201,17 @@ def budget_alerts(t: Tables) -> DataFrame:
 
 
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-_PASSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+#: Where the heartbeat has moved the watermark.
+_PASSED = "(SELECT max(ts) + INTERVAL 2 HOUR FROM events)"
 
 
 @query(
     "stream_log_metric",
     f"""WITH lines AS ({to_duckdb(LOG_LINES)}), counted AS ({_LOG_SQL})
-    SELECT log_group, period_start, value FROM counted
-    WHERE metric = 'worker_panic' AND period_start + INTERVAL 1 HOUR <= {_PASSED}""",
+    SELECT log_group, period_start, value FROM counted WHERE metric = 'worker_panic'""",
 )
 def stream_log_metric(t: Tables) -> DataFrame:
-    lines = t.spark.sql(LOG_LINES, events=t.stream("events", EVENT_SCHEMA))
+    lines = t.spark.sql(LOG_LINES, events=t.stream_to_the_end("events", EVENT_SCHEMA))
     counted = metrics.log_metric(lines, fv.LOG_METRIC_TERMS["worker_panic"], 3600, watermark="1 hour")
     return flows.run_available(counted.drop("period_end"), "log-metric")
 
@@ -225,7 +225,7 @@ def stream_log_metric(t: Tables) -> DataFrame:
     GROUP BY ALL""",
 )
 def stream_metric_windows(t: Tables) -> DataFrame:
-    windows = flows.metric_windows(t.stream("events", EVENT_SCHEMA), ["event_type"], 300, "min", "1 hour")
+    windows = flows.metric_windows(t.stream_to_the_end("events", EVENT_SCHEMA), ["event_type"], 300, "min", "1 hour")
     out = flows.run_available(windows.select("event_type", "period_start", "value"), "metric-windows")
     return out.withColumn("value", F.round("value", 6))
 
@@ -242,7 +242,7 @@ _STREAM_EVAL_SQL = _EVAL_SQL.replace(
     WHERE state <> previous AND alarm = 'view-min'""",
 )
 def stream_alarm_transitions(t: Tables) -> DataFrame:
-    views = t.stream("events", EVENT_SCHEMA).where("event_type = 'view'")
+    views = t.stream_to_the_end("events", EVENT_SCHEMA).where("event_type = 'view' OR event_type IS NULL")
     keyed = views.select(
         "ts", "value", F.lit("view-min").alias("alarm"), F.concat(F.lit("shard="), F.col("user_id") % 8).alias("series")
     )
@@ -256,8 +256,13 @@ def stream_alarm_transitions(t: Tables) -> DataFrame:
     f"SELECT event_id, target, ok, state FROM ({_PROBE_SQL}) JOIN events USING (event_id) WHERE ts < {_PASSED}",
 )
 def stream_probe_health(t: Tables) -> DataFrame:
-    probes = _probes(t.stream("events", EVENT_SCHEMA))
-    keyed = probes.select(F.col("target").cast("string").alias("target"), "ts", F.col("event_id").alias("id"), "ok")
+    probes = _probes(t.stream_to_the_end("events", EVENT_SCHEMA))
+    keyed = probes.select(
+        F.coalesce(F.col("target").cast("string"), F.lit("heartbeat")).alias("target"),
+        "ts",
+        F.coalesce("event_id", F.lit(-1)).alias("id"),
+        F.coalesce("ok", F.lit(True)).alias("ok"),
+    )
     out = flows.run_available(stateful.probe_health_stream(keyed, "1 hour"), "probe-health")
     return out.select(F.col("id").alias("event_id"), F.col("target").cast("bigint").alias("target"), "ok", "state")
 

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetscope.session import spread
+from fleetscope.session import spread, write_step
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -54,6 +55,19 @@ class Tables:
         reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
         return reader.parquet(self.folder)
 
+    def stream_to_the_end(self, name: str, schema: str) -> DataFrame:
+        """The table as a stream, with a heartbeat three hours after its last ``ts``.
+
+        A source that ends holds its watermark back, and with it the last results;
+        the heartbeat, a row with nothing but a time, moves it past all given rows.
+        """
+        rows = self(name)
+        end = rows.agg((F.max("ts") + F.expr("INTERVAL 3 HOURS")).alias("ts"))
+        kinds = {field.name: field.dataType for field in T.StructType.fromDDL(schema)}
+        beat = end.select(*[F.col("ts") if c == "ts" else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+        path = write_step(beat, "heartbeat")
+        return self.stream(name, schema).unionByName(self.spark.readStream.schema(schema).parquet(path))
+
 
 def utc_session(spark: SparkSession) -> SparkSession:
     """``spark``, or where its time zone is another, a sister session with its settings in UTC.
