@@ -40,19 +40,67 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("src", "dst", down), turned)).alias("e")).select("e.*")
 
 
+def _through_nodes(edges: DataFrame) -> DataFrame:
+    """(stem): nodes that one edge enters and one edge leaves."""
+    ends = edges.select(F.explode(F.array(_end("src", False), _end("dst", True))).alias("e")).select("e.*")
+    degrees = ends.groupBy("stem").agg(F.count_if("entered").alias("into"), F.count_if(~F.col("entered")).alias("out"))
+    return degrees.where("into = 1 AND out = 1").select("stem")
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(core, paths, rings) of ``edges`` without repeats and self-edges.
+
+    Paths of nodes with one edge in and one out become one edge: ``core`` holds what
+    is left, ``paths`` (stem, src, dst) the nodes on them with the ends, which are
+    ``src`` and ``dst``. Nodes of a ring of nothing but such nodes are in ``rings``
+    (stem, scc). Ends are found by doubling the distance, so rounds grow with the
+    logarithm of the longest path.
+    """
+    through = materialize(_through_nodes(edges), "through")
+    ways = both_ways(edges).select(F.col("src").alias("stem"), "way", F.col("dst").alias("to"))
+    inside = through.withColumnRenamed("stem", "to").withColumn("open", F.lit(True))
+    jumps = ways.join(through, "stem", "left_semi").join(inside, "to", "left")
+    jumps = materialize(jumps.select("stem", "way", "to", F.least("stem", "to").alias("low"), F.coalesce("open", F.lit(False)).alias("open")), "jump")
+    reach, size = 1, through.count()
+    while reach <= size and not jumps.where("open").isEmpty():
+        ahead = jumps.select(F.col("stem").alias("to"), "way", F.col("to").alias("_to"), F.col("low").alias("_low"), F.col("open").alias("_open"))
+        onward = F.col("open") & F.col("_to").isNotNull()
+        jumps = materialize(
+            jumps.join(ahead, ["to", "way"], "left").select(
+                "stem",
+                "way",
+                F.when(onward, F.col("_to")).otherwise(F.col("to")).alias("to"),
+                F.when(onward, F.least("low", "_low")).otherwise(F.col("low")).alias("low"),
+                F.when(onward, F.col("_open")).otherwise(F.col("open")).alias("open"),
+            ),
+            "jump",
+        )
+        reach *= 2
+    at_end = lambda way: F.max(F.when(F.col("way") == way, F.col("to")))
+    paths = jumps.where("NOT open").groupBy("stem").agg(at_end("up").alias("src"), at_end("down").alias("dst"))
+    paths = materialize(paths, "paths")
+    rings = jumps.where("open AND way = 'down'").select("stem", F.col("low").alias("scc"))
+    plain = edges.join(through.withColumnRenamed("stem", "src"), "src", "left_anti").join(
+        through.withColumnRenamed("stem", "dst"), "dst", "left_anti"
+    )
+    core = plain.select("src", "dst").unionByName(paths.select("src", "dst")).distinct()
+    return materialize(core, "core"), paths, rings
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(stem, scc) of every node that reaches itself; scc is its component's smallest stem.
 
-    Trims what cannot be cyclic, then repeats: find for every node the smallest
-    stem that reaches it and the smallest it reaches. Where both are one stem,
-    that stem names the node's component. Nodes where either differs are in
-    different components, so edges between them go, and the rest is searched
-    again, all parts at once. State is two labels per node, never pairs of nodes.
+    Trims what cannot be cyclic and contracts paths, then repeats on what is left:
+    find for every node the smallest stem that reaches it and the smallest it
+    reaches. Where both are one stem, that stem names the node's component. Nodes
+    where either differs are in different components, so edges between them go, and
+    the rest is searched again, all parts at once. State is two labels per node,
+    never pairs of nodes. A node on a path is in the component of both its ends.
     """
     edges = materialize(edges.select("src", "dst").distinct(), "edges")
-    loops = edges.where("src = dst").select(F.col("src").alias("stem"))
-    rest = edges.where("src <> dst")
-    found = None
+    core, paths, rings = _contracted(_trim(edges.where("src <> dst")))
+    loops = edges.where("src = dst").unionByName(core.where("src = dst")).select(F.col("src").alias("stem")).distinct()
+    rest, found = core.where("src <> dst"), None
     while not (rest := _trim(rest)).isEmpty():
         ways = both_ways(rest)
         start = ways.select(F.col("src").alias("stem"), "way", F.col("src").alias("label")).distinct()
@@ -67,12 +115,17 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
             .join(unnamed.toDF("dst", "above", "below"), ["dst", "above", "below"])
             .select("src", "dst")
         )
-    if found is None:
-        return loops.withColumn("scc", F.col("stem"))
-    # a stem alone under its name is a bridge between cycles, not a cycle
-    real = found.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = found.join(real, "scc", "left_semi").select("stem", "scc")
-    return found.unionByName(loops.join(found, "stem", "left_anti").withColumn("scc", F.col("stem")))
+    alone = loops.withColumn("scc", F.col("stem"))
+    if found is not None:
+        # a stem alone under its name is a bridge between cycles, not a cycle
+        real = found.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = found.join(real, "scc", "left_semi").select("stem", "scc")
+        alone = found.unionByName(alone.join(found, "stem", "left_anti"))
+    known = materialize(alone, "known")
+    ends = paths.join(known.toDF("src", "scc"), "src").join(known.toDF("dst", "_to"), "dst").where("scc = _to")
+    members = known.unionByName(ends.select("stem", "scc")).unionByName(rings).dropDuplicates(["stem"])
+    lowest = members.groupBy("scc").agg(F.min("stem").alias("low"))
+    return members.join(lowest, "scc").select("stem", F.col("low").alias("scc"))
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
