@@ -70,7 +70,7 @@ def contaminated(
     Words are lower-cased runs without ASCII white space, shingles are five words;
     a match has weighted Jaccard similarity of at least 0.8. Of several windows of a
     document for an item the best, then first, is given. Items of fewer than five
-    words match nothing, nor do null or empty texts. Rows with one id count as one
+    words or without an id match nothing, nor do null or empty texts. Rows with one id count as one
     document, a null id included. Other columns are not read; an empty table gives no rows.
     """
     profiles = materialize(item_profiles(items, item_col, item_text_col), "decon-items")
@@ -86,13 +86,14 @@ def contaminated(
     distinct = windows.select("n", "window").distinct().withColumn("fingerprint", simhash("window"))
     asked = distinct.select("n", "window", "fingerprint", F.explode(_blocks("fingerprint")).alias("b"))
     masks = F.array(*[F.lit(mask) for mask in _near_masks()])
-    near = profiles.select("item_id", "n", "item_hashes", F.col("fingerprint").alias("item_print"), F.explode(_blocks("fingerprint")).alias("b"))
-    near = near.select("item_id", "n", "item_hashes", "item_print", "b.block", F.explode(masks).alias("mask"), F.col("b.value").alias("own"))
-    index = near.select("item_id", "n", "item_hashes", "item_print", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+    near = profiles.select("item_id", "n", F.explode(_blocks("fingerprint")).alias("b"))
+    near = near.select("item_id", "n", "b.block", F.explode(masks).alias("mask"), F.col("b.value").alias("own"))
+    index = near.select("item_id", "n", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
     asked = asked.select("n", "window", "fingerprint", "b.block", "b.value")
-    pairs = asked.join(index, ["n", "block", "value"])
+    pairs = asked.join(index, ["n", "block", "value"]).select("n", "window", "fingerprint", "item_id").distinct()
+    prints = profiles.select("item_id", "item_hashes", F.col("fingerprint").alias("item_print"))
+    pairs = pairs.join(prints, "item_id")
     pairs = pairs.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    pairs = pairs.select("n", "window", "item_id", "item_hashes").distinct()
     shared = shared_weight("item_hashes", "window")
     scored = pairs.withColumn("shared", shared)
     similarity = F.col("shared") / (F.col("n") + F.size("window") - F.col("shared"))
