@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join by filters under several global token orders.
 
 Under any global order of tokens, two sets that are similar enough share a token
-in their prefixes. The first order finds candidates, an inverted index over its
+in their prefixes, and k tokens if the prefixes are k - 1 tokens longer. The first order finds candidates, an inverted index over its
 prefixes; each further order has to find the same pair, as does a bound from
 parity bitmaps, before the sets are compared.
 
@@ -30,6 +30,8 @@ BITS = 512
 #: Frequent shingles that every order puts last: at most so many, found in one of SAMPLE documents.
 FREQUENT = 200_000
 SAMPLE = 32
+#: Prefixes of the further orders are longer by one in so many tokens, and have to share as many more.
+DEEP = 40
 #: Members of a posting list that meet in one block.
 BLOCK = 1024
 _NO_ID = -(1 << 62)
@@ -43,11 +45,13 @@ def _id(id_col: str):
 
 def _sets(batch, size: int):
     """Sorted distinct shingle hashes of every row of a batch (id, text)."""
-    for part in by_bytes(batch, 1):
-        hashes, counts = shingle_hashes(*word_hashes(part.column(1)), size)
-        ends = np.cumsum(counts)
-        for end, count in zip(ends, counts):
-            yield np.unique(hashes[end - count : end])
+    hashes, counts = shingle_hashes(*word_hashes(batch.column(1)), size)
+    for end, count in zip(np.cumsum(counts), counts):
+        yield np.unique(hashes[end - count : end])
+
+
+def _parts(batches):
+    return (part for batch in batches for part in by_bytes(batch, 1, 4 << 20))
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -57,7 +61,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """
 
     def count(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             found = [own for own in _sets(batch, size)]
             tokens, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_pydict({"token": tokens.view(np.int64), "n": n.astype(np.int64)})
@@ -79,46 +83,64 @@ def _orders(tokens: np.ndarray, sorted_frequent: np.ndarray, rank: np.ndarray) -
     return [np.where(often, last, mix(tokens ^ seed) >> np.uint64(1)) for seed in _SEEDS]
 
 
+def _parity(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmap of the tokens' low bits; a bit is set if an odd number of tokens falls on it."""
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, digest, first, others, bits) per row: set size, digest, prefixes under each order, parity bitmap.
+    """(id, n, digest, first, others, bits, wide) per row: set size, digest, prefixes under each order, parity bitmaps.
 
-    Prefixes of the further orders only confirm pairs, so half of each hash is enough.
+    ``wide`` has at least a bit per token, where that is more than ``bits`` has.
     """
     frequent = frequent_shingles(docs, size)
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64)))
 
     def profile(batches):
-        names = ["id", "n", "digest", "first", "others", "bits"]
-        for batch in batches:
-            sizes, digests, first, others, bits = [], [], [], [], []
+        names = ["id", "n", "digest", "first", "others", "bits", "wide"]
+        for batch in _parts(batches):
+            sizes, digests, first, others, bits, wide = [], [], [], [], [], []
             for own in _sets(batch, size):
                 n = len(own)
-                length = n - -(-percent * n // 100) + 1 if n else 0
+                lacking = n - -(-percent * n // 100)
                 prefixes = []
-                for key in _orders(own, *shared.value) if n else [own] * len(_SEEDS):
+                for number, key in enumerate(_orders(own, *shared.value) if n else [own] * len(_SEEDS)):
+                    length = min(n, lacking + (max(1, n // DEEP) if number else 1))
                     some = np.argpartition(key, length - 1)[:length] if n else []
                     prefixes.append(own[some].view(np.int64))
-                parity = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
                 sizes.append(n)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
                 first.append(prefixes[0])
-                others.append([(x & 0x7FFFFFFF).astype(np.int32) for x in prefixes[1:]])
-                bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-            longs, ints = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))
+                others.append(prefixes[1:])
+                bits.append(_parity(own, BITS))
+                wide.append(_parity(own, 1 << (n - 1).bit_length()) if n > BITS else [])
+            longs = pa.list_(pa.int64())
             columns = [pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(first, longs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(others, ints), pa.array(bits, longs)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(others, pa.list_(longs)), pa.array(bits, longs), pa.array(wide, longs)], names)
 
-    kinds = "id bigint, n int, digest binary, first array<bigint>, others array<array<int>>, bits array<bigint>"
+    kinds = "id bigint, n int, digest binary, first array<bigint>, others array<array<bigint>>, bits array<bigint>, wide array<bigint>"
     return docs.mapInArrow(profile, kinds)
 
 
-def _close(percent: int):
-    """Whether the parity bitmaps of a pair allow it to be similar enough."""
+def _folded(column: str, other: str):
+    """A bitmap as short as the other: bits that fall on one another are added, which keeps parity."""
+    half = F.size(other)
+    both = F.zip_with(F.slice(column, F.lit(1), half), F.slice(column, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(column) > half, both).otherwise(F.col(column))
+
+
+def _close(percent: int, column: str = "bits"):
+    """Whether the parity bitmaps of a pair allow it to be similar enough; an empty one tells nothing."""
+    a, b = f"{column}a", f"{column}b"
+    shorter = F.least(F.size(a), F.size(b)) > 0
     apart = F.aggregate(
-        F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("bigint"), lambda s, x: s + x
+        F.zip_with(_folded(a, b), _folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0).cast("bigint"),
+        lambda s, x: s + x,
     )
-    return apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return ~shorter | (apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
 def _with_both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
@@ -133,15 +155,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
     pairs = materialize(pairs, "jaccard-pairs")
     near = _with_both(pairs, nodes, "bits").where(_close(percent)).select("a", "b", "na", "nb")
     near = materialize(near, "jaccard-near")
-    # the pair has to be found under every further order as well
-    shared = F.forall(F.zip_with("othersa", "othersb", lambda x, y: F.arrays_overlap(x, y)), lambda x: x)
+    near = _with_both(near, nodes, "wide").where(_close(percent, "wide")).select("a", "b", "na", "nb")
+    near = materialize(near, "jaccard-near")
+    # the pair has to be found under every further order as well, by the depth of the smaller prefix
+    depth = F.greatest(F.lit(1), F.floor(F.least("na", "nb") / DEEP))
+    shared = F.forall(
+        F.zip_with("othersa", "othersb", lambda x, y: F.size(F.array_intersect(x, y)) >= depth), lambda x: x
+    )
     left = _with_both(near, nodes, "others").where(shared).select("a", "b", "na", "nb")
     left = materialize(left, "jaccard-left")
     wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", "id"), "node")
     wanted = materialize(wanted, "jaccard-wanted")
 
     def sets(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             own = list(_sets(batch, size))
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in own]
             tokens = pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))
