@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetscope.llm.words import mix
+from fleetscope.llm.words import by_bytes, mix
 
 SIZES = (3, 4, 5)
 #: n-grams kept for each language.
@@ -29,6 +29,8 @@ PROBES = 3
 #: Slots for each kept n-gram.
 ROOM = 24
 PIECE = 1 << 20
+#: Bytes of text that a task works on at once; a longer text is alone.
+HELD = 4 << 20
 UNKNOWN = "und"
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -124,7 +126,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n): n-grams of labelled(lang, text), with the top ``TOP`` of each language."""
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1, HELD)):
             langs = np.array(batch.column(0).to_pylist(), object)
             texts = batch.column(1).to_pylist()
             for lang in dict.fromkeys(langs):
@@ -177,7 +179,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> D
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, at, HELD)):
             letters = batch.column(batch.num_columns - 1).to_pylist()
             best, share = own.score(batch.column(at).to_pylist()) if known else ([0] * len(letters), [0.0] * len(letters))
             pred = [own.langs[b] if has and known else UNKNOWN for b, has in zip(best, letters)]
