@@ -17,6 +17,9 @@ from fleetscope.llm.ngram_model import train as train_ngrams
 from fleetscope.llm.warc import round_trip
 from fleetscope.session import scratch_path
 
+#: Words in a run of the scoring model: a word is judged by the two before it.
+ORDER = 3
+
 LLM_RUNS = {}
 LLM_ORACLES = {}
 
@@ -42,7 +45,7 @@ def id_checksum(remainder_of: int):
 @llm_query("op1_lm_scoring")
 def op1(table):
     docs = table("documents").select("doc_id", "text")
-    model = train_ngrams(docs.where(id_checksum(10) != 0))
+    model = train_ngrams(docs.where(id_checksum(10) != 0), order=ORDER)
     columns = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     return score(docs, model).select("doc_id", (id_checksum(10) == 0).alias("held_out"), *columns)
 

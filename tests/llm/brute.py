@@ -83,6 +83,36 @@ def bigram_scores(train, texts):
     return out
 
 
+def run_scores(train, texts, order):
+    """Interpolated modified Kneser-Ney over runs of ``order`` words: the score of each text."""
+    split = lambda text: [*["<s>"] * (order - 1), *(text or "").encode().lower().split(), None]
+    runs = lambda w: [tuple(w[i : i + order]) for i in range(len(w) - order + 1)]
+    level = {order: Counter(run for text in train for run in runs(split(text)))}
+    vocabulary = len({run[-1] for run in level[order]})
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(run[1:] for run in level[k + 1])
+    off, totals = {}, {}
+    for k, counts in level.items():
+        n = [sum(1 for v in counts.values() if v == i) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if min(n) else None
+        off[k] = [0, *(min(max(i - (i + 1) * y * n[i] / n[i - 1], 0), i) for i in (1, 2, 3))] if y else [0, 0.5, 1.0, 1.5]
+        totals[k] = defaultdict(lambda: [0, 0])
+        for run, c in counts.items():
+            totals[k][run[:-1]][0] += c
+            totals[k][run[:-1]][1] += off[k][min(c, 3)]
+
+    def chance(run):
+        k = len(run)
+        below = chance(run[1:]) if k > 1 else 1 / (vocabulary + 1)
+        if run[:-1] not in totals[k]:
+            return below
+        total, left = totals[k][run[:-1]]
+        c = level[k][run]
+        return (max(c - off[k][min(c, 3)], 0) + left * below) / total
+
+    return [sum(math.log10(chance(run)) for run in runs(split(text))) for text in texts]
+
+
 def leaks(docs, items, size=5, least=0.8):
     """{(id, item): best similarity of any window as long as the item that is aligned with a shared shingle}"""
     runs = lambda text: [tuple(w[i : i + size]) for w in [words(text)] for i in range(len(w) - size + 1)]

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from fleetscope.llm import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, ngram_model, words
+from fleetscope.llm import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, ngram_model, queries, words
 from fleetscope.llm.components import connected_components
 from fleetscope.llm.cuckoo import CuckooFilter, buckets_for
 from fleetscope.llm.decontamination import RADIUS, contaminated
@@ -175,6 +175,14 @@ def test_ngram_model(spark, odd_docs, no_docs, small_docs):
     assert ngram_model.score(no_docs, model).count() == 0
 
 
+def test_registered_model_takes_two_words_before(spark, small_docs):
+    _, rows = small_docs
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    want = brute.run_scores([t for i, t in rows if not held[i]], [t for _, t in rows], 3)
+    got = {r.doc_id: r for r in queries.LLM_RUNS["op1_lm_scoring"](spark, "/root/testdata/sf0.001").collect()}
+    assert {i: (r.held_out, r.score) for i, r in got.items()} == {i: (held[i], pytest.approx(w)) for (i, _), w in zip(rows, want)}
+
+
 def test_probabilities_sum_to_one(spark):
     texts = ["a b a c", "b a d a", "c c a b e", "f g a b", "a b", "a b a b a c"]
     for order in (2, 3):
