@@ -16,6 +16,10 @@ from fleetscope.llm.line_dedup import line_dedup
 from fleetscope.llm.mixing import mix_sources
 from fleetscope.session import broadcast_if_small, materialize
 
+#: Near duplicates share at least so many percent of their runs of so many words. op7 has its own.
+SHINGLE = 5
+PERCENT = 80
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents and drops those in no language: null, without letters, or
@@ -33,9 +37,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, once.
+    """Documents with a Jaccard similarity of at least 0.8 over runs of five words are linked;
+    of each group of linked documents the one with the smallest id stays, once.
     Empty documents are linked with nothing and stay, as do rows without an id."""
-    groups = materialize(jaccard_groups(docs), "pipeline-groups")
+    groups = materialize(jaccard_groups(docs, size=SHINGLE, percent=PERCENT), "pipeline-groups")
     first = groups.where("doc_id = component_id").select("doc_id")
     others = groups.where("doc_id <> component_id").select("doc_id").distinct().join(first, "doc_id", "left_anti")
     out = docs.join(broadcast_if_small(materialize(others, "pipeline-others")), "doc_id", "left_anti").select(*docs.columns)

@@ -38,6 +38,22 @@ def test_stages_against_plain_versions(spark):
         assert stage.dtypes == docs.dtypes
 
 
+def test_near_duplicates_are_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(words))]
+    for name, edits in ((2, (20, 60)), (3, (10, 40, 70)), (4, range(0, 100, 9))):
+        rows.append((name, " ".join(f"{name}x{i}" if i in edits else w for i, w in enumerate(words))))
+    # 10 and 11 share 32 of 40 runs of five words, 10 and 12 share 31 of 41
+    short = [f"s{i}" for i in range(40)]
+    rows += [(10, " ".join(short)), (11, " ".join([*short[:36], "a", "b", "c", "d"])), (12, " ".join([*short[:35], "e", "f", "g", "h", "i"]))]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, FOLDER)
+    groups, narrow = brute.groups(rows, size=5, percent=80), brute.groups(rows)
+    want = {i for i, (_, c) in groups.items() if i == c}
+    assert want != {i for i, (_, c) in narrow.items() if i == c}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0 and len(WHITE) == 6
 
