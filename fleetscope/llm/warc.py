@@ -31,13 +31,14 @@ LEAST = 100
 HELD = 4 << 20
 _END = "\r\n\r\n"
 _MARK = "WARC/1.1\r\n"
-_CHUNKS = "record_id string, chunk int, chunks int, page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload string"
+_CHUNKS = "record_id string, chunk int, chunks int, page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, same_as string, payload string"
 _FOLD = "record_id string, page_id bigint, record_type string, refers_to bigint, declared_bytes bigint, payload_bytes bigint, payload_digest string, chunks bigint, damaged boolean"
 
 
 def first_of_equals(pages: DataFrame, id_col: str, payload_col: str, least: int = LEAST) -> DataFrame:
-    """(page_id, url, payload, record_type, refers_to): of equal payloads the smallest id is the response.
+    """(page_id, url, payload, record_type, refers_to, same_as): of equal payloads the smallest id is the response.
 
+    ``same_as`` is the payload digest of a revisit, which names its response where an id is repeated.
     Payloads are compared by SHA-256. Only digests that occur more than once come
     back to the pages; where they are few they are broadcast by the planner.
     """
@@ -54,6 +55,7 @@ def first_of_equals(pages: DataFrame, id_col: str, payload_col: str, least: int
         "payload",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(revisit, F.lower(F.hex("digest"))).alias("same_as"),
     )
 
 
@@ -81,13 +83,13 @@ def chunk_table(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     def split(batches):
         rows, held = [], 0
         for batch in batches:
-            for page_id, url, payload, kind, refers in zip(*batch.columns):
+            for page_id, url, payload, kind, refers, same in zip(*batch.columns):
                 data = memoryview(payload.as_buffer() or b"")
                 total, record = len(data), str(uuid.uuid4())
                 cuts = _cuts(data if kind.as_py() == "response" else data[:0], chunk)
                 for number, (at, end) in enumerate(cuts, 1):
                     part = bytes(data[at:end])
-                    row = (record, number, len(cuts), page_id.as_py(), url.as_py(), kind.as_py(), refers.as_py(), total)
+                    row = (record, number, len(cuts), page_id.as_py(), url.as_py(), kind.as_py(), refers.as_py(), total, same.as_py())
                     rows.append((*row, part))
                     held += len(part)
                     if held > HELD or len(rows) == 10_000:
@@ -96,12 +98,12 @@ def chunk_table(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    return records.select("page_id", "url", "payload", "record_type", "refers_to").mapInArrow(split, _CHUNKS)
+    return records.select("page_id", "url", "payload", "record_type", "refers_to", "same_as").mapInArrow(split, _CHUNKS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [part.strip().split(" ")[0] for part in _CHUNKS.split(",")]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names)
 
 
@@ -133,6 +135,7 @@ def write_warc(chunks: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z
         header("WARC-Target-URI", clean_url),
         header("WARC-Page-ID", F.col("page_id")),
         header("WARC-Refers-To-Page-ID", F.col("refers_to")),
+        header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("same_as"))),
         header("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         header("WARC-Segment-Number", F.when(F.col("chunks") > 1, F.col("chunk"))),
         header("WARC-Segment-Origin-ID", F.when(later, F.concat(F.lit("<"), urn, F.col("record_id"), F.lit(">")))),
@@ -149,7 +152,7 @@ def write_warc(chunks: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments of archives: (record_id, chunk, page_id, record_type, refers_to, declared_bytes, payload, damaged).
+    """Segments of archives: (record_id, chunk, page_id, record_type, refers_to, declared_bytes, same_as, payload, damaged).
 
     A segment whose block differs from its digest or length is marked damaged.
     """
@@ -179,6 +182,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         field("WARC-Type").alias("record_type"),
         field("WARC-Refers-To-Page-ID").cast("bigint").alias("refers_to"),
         field("WARC-Payload-Bytes").cast("bigint").alias("declared_bytes"),
+        F.regexp_replace(field("WARC-Payload-Digest"), "^sha256:", "").alias("same_as"),
         field("WARC-Segment-Number").isNotNull().alias("segmented"),
         body.alias("payload"),
         F.coalesce(damaged, F.lit(True)).alias("damaged"),
@@ -201,6 +205,7 @@ def fold_records(segments: DataFrame) -> DataFrame:
         F.sha2("payload", 256).alias("payload_digest"),
         F.lit(1).cast("bigint").alias("chunks"),
         "damaged",
+        "same_as",
     )
 
     def fold(batches):
@@ -232,19 +237,27 @@ def fold_records(segments: DataFrame) -> DataFrame:
         "record_id", "chunk", "page_id", "record_type", "refers_to", "declared_bytes", "payload", "damaged"
     )
     parts = parts.repartition("record_id").sortWithinPartitions("record_id", "chunk")
-    return single.unionByName(parts.mapInArrow(fold, _FOLD))
+    # revisits have no payload and so one segment
+    return single.unionByName(parts.mapInArrow(fold, _FOLD).withColumn("same_as", F.lit(None).cast("string")))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Gives revisits the length and digest of the response they refer to."""
+    """Gives revisits the length and digest of the response they refer to, by its id and payload digest.
+
+    However often a response is repeated, a revisit stays one row.
+    """
+    answer = ["refers_to", "same_as"]
     responses = records.where("record_type = 'response'").select(
-        F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")
+        F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("same_as"), F.col("payload_bytes").alias("_bytes")
     )
     revisits = records.where("record_type = 'revisit'")
-    wanted = revisits.select("refers_to").distinct()
-    responses = responses.join(wanted, "refers_to", "left_semi")
-    resolved = revisits.join(responses, "refers_to", "left").withColumns({"payload_bytes": F.col("_bytes"), "payload_digest": F.col("_digest")})
-    return records.where("record_type <> 'revisit'").unionByName(resolved.drop("_bytes", "_digest"))
+    wanted = revisits.select(*answer).distinct()
+    responses = responses.join(wanted, answer, "left_semi").groupBy(*answer).agg(F.max("_bytes").alias("_bytes"))
+    responses = materialize(responses, "warc-responses")
+    resolved = revisits.join(responses, answer, "left").withColumns(
+        {"payload_bytes": F.col("_bytes"), "payload_digest": F.when(F.col("_bytes").isNotNull(), F.col("same_as"))}
+    )
+    return records.where("record_type <> 'revisit'").unionByName(resolved.drop("_bytes")).drop("same_as")
 
 
 def round_trip(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", chunk: int = CHUNK) -> DataFrame:

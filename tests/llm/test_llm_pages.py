@@ -87,6 +87,19 @@ def test_warc_round_trip(spark, tmp_path, chunk):
     assert warc.round_trip(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_repeated_responses_that_others_revisit(spark, tmp_path):
+    a, b = "a" * 150, "b" * 250
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, b), (3, b), (None, a), (4, "short")]
+    pages = spark.createDataFrame([(i, "http://x/", p) for i, p in rows], "page_id bigint, url string, html string")
+    got = warc.round_trip(pages, str(tmp_path / "w")).collect()
+    want = []
+    for i, p in rows:
+        revisit = i != 1 and len(p) >= 100
+        want.append((i, len(p), hashlib.sha256(p.encode()).hexdigest(), "revisit" if revisit else "response", 1 if revisit else None))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_damage_is_seen(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://x/", "a" * 1000)], "page_id bigint, url string, html string")
     chunks = warc.chunk_table(warc.first_of_equals(pages, "page_id", "html"), 300)
