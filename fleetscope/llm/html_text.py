@@ -233,22 +233,22 @@ def neighbours(keys: DataFrame) -> DataFrame:
 def _shared_open(batches):
     """For pages with their nearest neighbours: which lines are open and shared."""
     for batch in batches:
-        rows, gone = [], []
+        variants, gone = [], []
         for r in batch.to_pylist():
             sides = [x for x in (r["before"], r["after"]) if x is not None and x["host"] == r["host"]]
             sides.sort(key=lambda x: -len(os.path.commonprefix([x["path"], r["path"]])))
-            flags = [False] * len(r["marks"])
-            whole = sum(n for n, is_open in zip(r["sizes"], r["open"]) if is_open)
-            for other in sides:
-                places = [i for i in common_places(r["marks"], other["marks"]) if r["open"][i]]
-                if 2 * sum(r["sizes"][i] for i in places) <= whole:  # more would be two copies of one article
-                    for i in places:
-                        flags[i] = True
-                    break
-            if any(flags):
-                rows.append(r["row"])
-                gone.append(flags)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(gone, pa.list_(pa.bool_()))], ["row", "gone"])
+            own = {i for i, is_open in enumerate(r["open"]) if is_open}
+            shared = [own.intersection(common_places(r["marks"], other["marks"])) for other in sides]
+            shared = [places for places in shared if places != own]  # a page with all open lines of this one is a copy
+            if not shared:
+                continue
+            places = shared[0]
+            if len(shared) > 1 and 2 * sum(r["sizes"][i] for i in places) > sum(r["sizes"][i] for i in own):
+                places = places & shared[1]  # much of an article may be in a near copy, but not on the other side too
+            if places:
+                variants.append(r["variant"])
+                gone.append([i in places for i in range(len(r["marks"]))])
+        yield pa.RecordBatch.from_arrays([pa.array(variants, pa.binary()), pa.array(gone, pa.list_(pa.bool_()))], ["variant", "gone"])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -256,24 +256,34 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     Blocks are joined by a line feed; a null or empty page gives an empty text. A
     page whose host has no other page, or a null url with no other null url, keeps
-    its open lines. Where shared lines make more than half of a page's open text,
-    the neighbour is a copy of the page, and the one on the other side is taken. Pages without text are nobody's neighbour. Other columns are not read.
+    its open lines. Pages of a host with equal lines are copies: one stands for all, so
+    neighbours differ and copies get the same text. A neighbour that leaves no open line
+    is a copy too, and the one on the other side is taken. Where shared lines make more than
+    half of a page's open text and both sides are no copies, lines have to be on both.
+    Pages without text are nobody's neighbour. Other columns are not read.
     """
     path = scratch_path(pages.sparkSession, "page-lines")
     _extract(pages, html_col).write.option("compression", "zstd").parquet(path)
-    lines = pages.sparkSession.read.parquet(path)
-    sizes = F.transform("lines", lambda x: F.length(x)).alias("sizes")
-    has_open = F.exists("open", lambda x: x)
-    placed = neighbours(lines.where(F.size("marks") > 0).select("row", "host", "path", "marks", F.when(has_open, F.col("open")).alias("open"), F.when(has_open, sizes).alias("sizes")))
+    joined = lambda name: F.array_join(F.col(name).cast("array<string>"), ",")
+    digest = F.unhex(F.sha2(joined("marks"), 256))
+    variant = F.unhex(F.sha2(F.concat_ws("\n", "host", joined("marks"), joined("open")), 256))
+    lines = pages.sparkSession.read.parquet(path).withColumn("variant", variant)
+    stored = lines.where(F.size("marks") > 0).withColumn("digest", digest)
+    first = F.min(F.struct("path", "row")).alias("first")
+    alone = stored.groupBy("host", "digest").agg(first, F.first("marks").alias("marks"))
+    placed = neighbours(alone.select("first.row", "host", "first.path", "digest", "marks"))
     placed = materialize(placed, "url-places")
-    seeking = placed.where(F.col("open").isNotNull())
+    sizes = F.transform("lines", lambda x: F.length(x)).alias("sizes")
+    seeking = stored.where(F.exists("open", lambda x: x)).select("variant", "host", "digest", "marks", "open", sizes)
+    same = [F.first(name).alias(name) for name in ("host", "digest", "marks", "open", "sizes")]
+    seeking = seeking.groupBy("variant").agg(*same).join(placed.select("host", "digest", "path", "place"), ["host", "digest"])
     side = F.struct("host", "path", "marks")
     before = placed.select((F.col("place") + 1).alias("place"), side.alias("before"))
     after = placed.select((F.col("place") - 1).alias("place"), side.alias("after"))
     paired = seeking.join(before, "place", "left").join(after, "place", "left")
-    paired = paired.select("row", "host", "path", "marks", "open", "sizes", "before", "after")
-    gone = materialize(paired.mapInArrow(_shared_open, "row bigint, gone array<boolean>"), "page-gone")
+    paired = paired.select("variant", "host", "path", "marks", "open", "sizes", "before", "after")
+    gone = materialize(paired.mapInArrow(_shared_open, "variant binary, gone array<boolean>"), "page-gone")
     kept = F.expr("transform(filter(arrays_zip(lines, gone), x -> NOT coalesce(x.gone, false)), x -> x.lines)")
     text = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n")
-    out = lines.join(gone, "row", "left").select("page_id", "url", text.alias("text"))
+    out = lines.join(gone, "variant", "left").select("page_id", "url", text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -55,6 +55,15 @@ def test_pages_of_a_host_are_differenced(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_short_articles_and_copies_are_differenced(spark):
+    page = lambda own: "<div>" + "Menu of the site " * 10 + "</div><p>" + own + "</p><div>" + "Write to us " * 12 + "</div>"
+    own = {f"http://a.com/{i}": f"short text {i}" for i in range(4)}
+    own |= {f"http://b.com/{i}": "copied article" for i in range(1, 6)} | {"http://b.com/0": "before", "http://b.com/6": "after"}
+    own |= {"http://c.com/1": "one", "http://c.com/2": "two"}
+    pages = spark.createDataFrame([(i, url, page(text)) for i, (url, text) in enumerate(own.items())], "page_id bigint, url string, html string")
+    assert {r.url: r.text for r in html_text.extract_text(pages).collect()} == own
+
+
 def test_given_pages(spark):
     got = html_text.extract_text(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
     for r in got.join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), "page_id").collect():
