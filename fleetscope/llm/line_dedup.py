@@ -196,12 +196,16 @@ class LineIndex:
         return rest.mapInArrow(clean, schema)
 
     def _drop_by_join(self, docs: DataFrame, text_col: str, held: DataFrame) -> DataFrame:
-        """Each shard's keys are tried on its filter, those that pass are joined with the counts, all by shuffle."""
+        """Each shard's keys are tried on its filter in batches, those that pass are joined with the counts, all by shuffle."""
         rest, _ = self._schema(docs)
         rows = materialize(rest.withColumn("_row", F.monotonically_increasing_id()), "line-rows")
         lines = _exploded(rows, text_col)
-        keys = lines.select("key").distinct().select("key", _shard(self.shards))
-        passed = keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_try_keys, "key binary")
+        filters = self.filters.select("shard", F.struct("buckets", "fingerprints", "stash").alias("filter"))
+        keys = lines.select("key").distinct().select("key", _shard(self.shards), F.lit(None).cast(filters.schema["filter"].dataType).alias("filter"))
+        both = keys.unionByName(filters.select(F.lit(None).cast("binary").alias("key"), "shard", "filter"))
+        # a shard's filter comes before its keys, which follow in batches; no task holds them all
+        both = both.repartition("shard").sortWithinPartitions("shard", F.col("filter").isNull())
+        passed = both.select("key", "shard", "filter").mapInArrow(_try_keys, "key binary")
         gone = materialize(passed.join(held, "key", "left_semi").withColumn("_gone", F.lit(True)), "line-gone")
         marked = lines.join(gone, "key", "left").groupBy("_row").agg(
             F.array_join(
@@ -243,11 +247,22 @@ def _exploded(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.select("_row", text_col).mapInArrow(split, "_row bigint, pos bigint, line string, key binary")
 
 
-def _try_keys(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    if keys.empty or filters.empty:
-        return keys[["key"]].head(0)
-    made = CuckooFilter(*filters.loc[0, ["buckets", "fingerprints", "stash"]])
-    return keys.loc[made.contains(_as_words(list(keys["key"]))), ["key"]]
+def _try_keys(batches):
+    """Keys that pass their shard's filter, from rows (key, shard, filter) in which the filter of a shard comes first."""
+    number, made = None, None
+    for batch in batches:
+        shards = batch.column(1).to_numpy()
+        bounds = np.flatnonzero(np.diff(shards, prepend=-1)) if len(shards) else []
+        for first, last in zip(bounds, [*bounds[1:], len(shards)]):
+            if shards[first] != number:
+                number, made = shards[first], None
+            own = batch.slice(first, last - first)
+            if own.column(2)[0].is_valid:
+                made = CuckooFilter(*own.column(2)[0].as_py().values())
+                own = own.slice(1)
+            if made is not None and len(own):
+                words = _as_words(own.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([own.column(0).filter(pa.array(made.contains(words)))], ["key"])
 
 
 def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:

@@ -94,6 +94,31 @@ def test_line_dedup_and_its_reversal(spark, odd_docs, no_docs, small_docs):
     assert out.count() == odd_docs.count() and line_dedup.line_dedup(no_docs).count() == 0
 
 
+def test_keys_are_tried_in_batches():
+    digests = [hashlib.blake2b(bytes([i]), digest_size=16).digest() for i in range(90)]
+    parts = {}
+    for shard in (0, 2):
+        made = CuckooFilter(buckets_for(40))
+        made.insert(line_dedup._as_words(digests[shard * 30 : shard * 30 + 10]))
+        parts[shard] = dict(zip(("buckets", "fingerprints", "stash"), made.parts()))
+    kind = pa.struct([("buckets", pa.int64()), ("fingerprints", pa.binary()), ("stash", pa.binary())])
+    rows = [row for shard in range(3) for row in ([(None, shard, parts[shard])] if shard in parts else []) + [(d, shard, None) for d in digests[shard * 30 : shard * 30 + 30]]]
+    pulled = []
+
+    def batches():
+        for at in range(0, len(rows), 7):
+            pulled.append(at)
+            key, shard, filter_ = zip(*rows[at : at + 7])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(shard, pa.int32()), pa.array(filter_, kind)], ["key", "shard", "filter"])
+
+    out, before = [], []
+    for batch in line_dedup._try_keys(batches()):
+        before.append(len(pulled))
+        out += batch.column(0).to_pylist()
+    want = {*digests[:10], *digests[60:70]}
+    assert before[0] == 1 and want <= set(out) and len(out) == len(set(out)) <= len(want) + 2
+
+
 def test_language_id(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
