@@ -14,6 +14,9 @@ from fleetscope.llm.line_dedup import line_dedup
 from fleetscope.llm.mixing import mix_sources
 from fleetscope.llm.ngram_model import score
 from fleetscope.llm.ngram_model import train as train_ngrams
+from fleetscope.llm.packing import pack
+from fleetscope.llm.spelling import lettered_words, misspelt, spelling_variants, word_counts
+from fleetscope.llm.vector_codes import vector_codes
 from fleetscope.llm.warc import round_trip
 from fleetscope.session import scratch_path
 
@@ -145,3 +148,68 @@ def op9(table):
 @llm_query("op10_mix_sources")
 def op10(table):
     return mix_sources(table("documents")).select("doc_id", "size", "source_size", "target", "taken", F.col("copies"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The quantiser in DuckDB: one table of assignments and one of codebooks for each round."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+          SELECT row_number() OVER () AS rid, vec_id, label, [CAST(floor(1024 * x) AS BIGINT) for x in embedding] AS v
+          FROM embeddings WHERE embedding IS NOT NULL
+          AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0)""",
+        f"""parts AS MATERIALIZED (
+          SELECT rid, vec_id, p, list_slice(v, p * (len(v) // {parts}) + 1, (p + 1) * (len(v) // {parts})) AS part
+          FROM kept, range({parts}) AS t(p))""",
+        f"""book0 AS MATERIALIZED (
+          SELECT p, dense_rank() OVER (ORDER BY vec_id, rid) - 1 AS e, part FROM parts
+          QUALIFY e < {entries})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""near{i} AS MATERIALIZED (
+              SELECT rid, p, any_value(a.part) AS part, min(struct_pack(d := list_sum(
+                [(t[1] - t[2]) * (t[1] - t[2]) for t in list_zip(a.part, b.part)]), e := b.e)) AS best
+              FROM parts a JOIN book{i} b USING (p) GROUP BY rid, p)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""mean{i} AS MATERIALIZED (
+                  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS part FROM (
+                    SELECT p, best.e AS e, j, sum(x) AS s, count(*) AS n FROM (
+                      SELECT p, best, unnest(part) AS x, unnest(range(len(part))) AS j FROM near{i}) GROUP BY ALL)
+                  GROUP BY p, e)"""
+            )
+            steps.append(
+                f"""book{i + 1} AS MATERIALIZED (
+                  SELECT p, e, coalesce(m.part, b.part) AS part FROM book{i} b LEFT JOIN mean{i} m USING (p, e))"""
+            )
+    return f"""
+    WITH {", ".join(steps)}, coded AS (
+      SELECT rid, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+      FROM near{rounds} GROUP BY rid
+    ), digest AS (
+      SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (
+        SELECT p, e, unnest(part) AS x, unnest(range(len(part))) AS j FROM book{rounds})
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM kept JOIN coded USING (rid), digest
+    """
+
+
+@llm_query("op11_vector_codes", _codes_sql())
+def op11(table):
+    return vector_codes(table("embeddings"))
+
+
+@llm_query("op12_spelling_variants")
+def op12(table):
+    words = misspelt(lettered_words(table("documents"), "doc_id", "text"), 97)
+    return spelling_variants(word_counts(words, min_length=5, min_count=3))
+
+
+@llm_query("op13_best_fit_packing")
+def op13(table):
+    import public_tokenizers
+
+    out = pack(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.drop("ids")
