@@ -3,14 +3,18 @@
 The words make a trie with unbranched chains folded into one edge, held as an edge table
 (node, label, child). All words walk it at once, one edge a level, as rows of
 (word, position, node, edits). While a word has no edit it follows its own edge, and from
-each node on its way it leaves by every other edge with its one edit, a replaced, missing or
-additional character just there; after that only the edge that fits exactly is taken. A state
-that has an edit and used its word up at the end of another word has found a neighbour.
+each node on its way it leaves by other edges with its one edit just there; after that only
+the edge that fits exactly is taken. A state that has an edit and used its word up at the end
+of another word has found a neighbour.
 
 A trie word leaves another one's way at a node of the folded trie and nowhere else, so no
-edit is ever needed inside an edge that fits, and each neighbour is reached in one way only.
-Nodes are named by 64-bit hashes of prefixes; two prefixes of one hash would merge two
-nodes, which adds ways and takes none, and neighbours are compared themselves at the end.
+edit is ever needed inside an edge that fits. Of two words one edit apart, the beginning they
+share or the end they share is at least half of the longer one. So there are two tries, of the
+words and of the reversed words, and in each a word walks its second half only, where nodes
+have few edges; no node is shared by more than the words with one half in common. A pair is
+found from its longer word, which lacks a character in the other, or from the word with the
+smaller character. Nodes are named by 64-bit hashes of prefixes; two prefixes of one hash would
+merge two nodes, which adds ways and takes none, and neighbours are compared themselves at the end.
 """
 
 from __future__ import annotations
@@ -29,8 +33,6 @@ SALT_WORDS = 4096
 LETTERS = "[A-Za-z\\u00C0-\\u00FF]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: The node of the empty prefix, as the hash of no character.
-ROOT = 0
 
 
 def lettered_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,68 +57,64 @@ def word_counts(words: DataFrame, min_length: int, min_count: int) -> DataFrame:
 
 
 def _prefixes(batches):
-    """(number, at, node, child) of every prefix of every word, from empty to whole; the whole word has no child."""
+    """(number, at, node, next) of every prefix in the second half of every word; the whole word has no next character."""
     for batch in batches:
+        columns = [[], [], [], []]
         for number, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             points = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
             powers = np.multiply.accumulate(np.full(len(points), _BASE, np.uint64))
             nodes = np.zeros(len(points) + 1, np.uint64)
             np.cumsum(mix(points + np.uint64(1)) * powers, out=nodes[1:])
-            nodes = mix(nodes).view(np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "number": np.full(len(nodes), number, np.int64),
-                    "at": np.arange(len(nodes), dtype=np.int32),
-                    "node": nodes,
-                    "child": pa.array(np.append(nodes[1:], 0), mask=np.arange(len(nodes)) == len(points)),
-                }
-            )
-
-
-def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, ends) of words(number, word): the edge table of the folded trie, and the node each word ends at.
-
-    edges: node, label, child, ``ends`` if a word ends at the child, ``copies`` and
-    ``child_copies``, how often the edges of either node are copied (0: it has none).
+            first = (len(points) - 1) // 2  # where words that are longer by one begin to look
+            at = np.arange(first, len(nodes), dtype=np.int32)
+            following = np.append(points[first:], 0).astype(np.int32)
+            for column, values in zip(columns, (np.full(len(at), number, np.int64), at, nodes[first:].view(np.int64), following)):
+                column.append(values)
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["number", "at", "node", "next"])
+
+
+def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, begins, ends) of words(number, word): the folded trie, where each word begins to walk, and where it ends.
+
+    edges: node, label, child, ``ends`` if a word ends at the child, ``copies`` and ``child_copies``,
+    how often the edges of either node are copied (0: it has none). begins: number, pos, node, copies, ends.
     """
-    steps = materialize(
-        words.select("number", "word").mapInArrow(_prefixes, "number bigint, at int, node bigint, child bigint"), "trie-steps"
-    )
+    steps = words.select("number", "word").mapInArrow(_prefixes, "number bigint, at int, node bigint, next int")
+    steps = materialize(steps, "trie-steps")
     nodes = steps.groupBy("node").agg(
-        F.min("child").alias("low"),
-        F.max("child").alias("high"),
-        F.max(F.col("child").isNull()).alias("ends"),
-        F.count("child").alias("below"),
-        F.min("at").alias("depth"),
+        F.min(F.nullif("next", F.lit(0))).alias("low"),
+        F.max("next").alias("high"),
+        F.max(F.col("next") == 0).alias("ends"),
+        F.count(F.nullif("next", F.lit(0))).alias("below"),
     )
-    stays = F.col("ends") | (F.col("low") < F.col("high")) | (F.col("depth") == 0)
     copies = F.ceil(F.col("below") / SALT_WORDS).cast("int").alias("copies")
-    nodes = materialize(nodes.where(stays).select("node", "ends", copies), "trie-nodes")
-    on_path = steps.select("number", "at", "node").join(nodes, "node")
+    nodes = nodes.where(F.col("ends") | (F.col("low") < F.col("high"))).select("node", "ends", copies)
+    # a word's way over the nodes that stay, with one edge from each of them to the next
     before = W.partitionBy("number").orderBy("at")
-    hops = on_path.select(
-        *[F.lag(c).over(before).alias(c) for c in ("node", "copies")],
-        F.lag("at").over(before).alias("since"),
-        F.col("node").alias("child"),
-        F.col("copies").alias("child_copies"),
-        "ends",
-        "at",
-        "number",
-    ).where("since IS NOT NULL")
-    one = F.min(F.struct("number", "since", "at")).alias("one")
-    edges = hops.groupBy("node", "child").agg(one, *[F.first(c).alias(c) for c in ("copies", "child_copies", "ends")])
+    way = steps.select("number", "at", "node").join(nodes, "node")
+    way = way.withColumns({f"from_{c}": F.lag(c).over(before) for c in ("node", "copies", "at")})
+    way = materialize(way, "trie-way")
+    one = F.min(F.struct("number", "from_at", "at")).alias("one")
+    hops = way.where("from_node IS NOT NULL").groupBy("from_node", "node")
+    edges = hops.agg(one, *[F.max(c).alias(c) for c in ("from_copies", "copies", "ends")])
     edges = edges.join(words.select(F.col("number").alias("_number"), "word"), F.col("one.number") == F.col("_number"))
-    label = F.substring("word", F.col("one.since") + 1, F.col("one.at") - F.col("one.since"))
-    edges = edges.select("node", label.alias("label"), "child", "ends", "copies", "child_copies")
-    return materialize(edges, "trie-edges"), steps.where("child IS NULL").select(F.col("number").alias("near"), "node")
+    label = F.substring("word", F.col("one.from_at") + 1, F.col("one.at") - F.col("one.from_at"))
+    edges = edges.select(
+        F.col("from_node").alias("node"), label.alias("label"), F.col("node").alias("child"), "ends",
+        F.col("from_copies").alias("copies"), F.col("copies").alias("child_copies"),
+    )
+    half = way.join(words.select("number", F.floor(F.length("word") / 2).alias("half")), "number").where("at >= half")
+    begins = half.groupBy("number").agg(F.min_by(F.struct(F.col("at").alias("pos"), "node", "copies", "ends"), "at").alias("b"))
+    ends = steps.where("next = 0").select(F.col("number").alias("near"), "node")
+    return materialize(edges, "trie-edges"), begins.select("number", "b.*"), ends
 
 
 def _keyed(edges: DataFrame) -> DataFrame:
     """Every edge under its node alone, for words without an edit, and under node and first character, for the others."""
     keys = F.explode(F.array(F.lit(""), F.substring("label", 1, 1))).alias("key")
     copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
-    keyed = edges.select("*", keys).select("node", "key", copy, "label", "child", "ends", "child_copies")
-    return materialize(keyed, "trie-keyed")
+    return edges.select("*", keys).select("node", "key", copy, "label", "child", "ends", "child_copies")
 
 
 def _advance(states: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -126,51 +124,57 @@ def _advance(states: DataFrame, keyed: DataFrame) -> DataFrame:
     joined = at.join(keyed, ["node", "key", "copy"])
     size, pos = F.length("label"), F.col("pos")
     rest = lambda skip, length: F.substring("word", pos + 1 + skip, length)
-    own = rest(0, F.lit(1)) == F.substring("label", 1, 1)
-    tail, more = F.substring("label", F.lit(2), size), F.length("word") > pos
+    own, first = rest(0, F.lit(1)), F.substring("label", 1, 1)
+    tail = F.substring("label", F.lit(2), size)
     step = lambda fits, new, edits: F.when(fits, F.struct((pos + new).alias("pos"), F.lit(edits).alias("edits")))
     fits = rest(0, size) == F.col("label")
-    moves = F.when(F.col("edits") == 1, F.array(step(fits, size, 1))).when(own, F.array(step(fits, size, 0))).otherwise(
+    moves = F.when(F.col("edits") == 1, F.array(step(fits, size, 1))).when(own == first, F.array(step(fits, size, 0))).otherwise(
         F.array(
-            step(more & (rest(1, size - 1) == tail), size, 1),
-            step(rest(0, size - 1) == tail, size - 1, 1),
-            step(more & (rest(1, size) == F.col("label")), size + 1, 1),
+            step((own != "") & (own < first) & (rest(1, size - 1) == tail), size, 1),
+            step((own != "") & (rest(1, size) == F.col("label")), size + 1, 1),
         )
     )
     moved = joined.withColumn("move", F.explode(F.array_compact(moves)))
     left = F.length("word") - F.col("move.pos")
     found = F.col("ends") & (left == 1 - F.col("move.edits"))  # a word without an edit may lack its last character
-    # a word with an edit goes on only as long as it has characters
-    lives = (F.col("child_copies") > 0) & ((F.col("move.edits") == 0) | (left > 0))
+    # there is nothing to leave a way for, or to replace, where a word is used up
+    lives = (F.col("child_copies") > 0) & (left > 0)
     return moved.select(
         "number", "word", F.col("move.pos").alias("pos"), F.col("child").alias("node"),
         F.col("move.edits").alias("edits"), F.when(lives, F.col("child_copies")).otherwise(0).alias("copies"), found.alias("found"),
     ).where("found OR copies > 0")
 
 
-def one_edit_pairs(words: DataFrame) -> DataFrame:
-    """(number, near) of words(number, word) that differ by one inserted, deleted or replaced code point, in both directions.
-
-    Words are distinct and not empty. A level for each edge on the way of the word with the most.
-    """
-    edges, ends = trie(words)
-    if edges.isEmpty():
-        return words.select("number", F.col("number").alias("near")).limit(0)
-    keyed = _keyed(edges)
-    top = edges.where(F.col("node") == ROOT).agg(F.max("copies")).first()[0]
-    start = {"pos": F.lit(0), "node": F.lit(ROOT).cast("bigint"), "edits": F.lit(0), "copies": F.lit(top)}
-    states = words.select("number", "word", *[value.alias(name) for name, value in start.items()])
-    levels, spark = [], words.sparkSession
+def _walked(words: DataFrame) -> DataFrame:
+    """(number, near) of the pairs one trie finds: a level for each edge in the second half of the word with the most."""
+    edges, begins, ends = trie(words)
+    keyed, spark, levels = _keyed(edges), words.sparkSession, []
+    begins = begins.join(words, "number").withColumn("edits", F.lit(0))
+    # a word may begin at another one's end, one character before its own
+    begins = begins.withColumn("found", F.col("ends") & (F.length("word") == F.col("pos") + 1))
+    states = begins.select("number", "word", "pos", "node", "edits", "copies", "found")
+    path = write_step(states, "trie-level")
     while True:
-        path = write_step(_advance(states, keyed), "trie-level")
-        level = spark.read.parquet(path)
         levels.append(path)
-        states = level.where("copies > 0").drop("found")
+        states = spark.read.parquet(path).where("copies > 0").drop("found")
         if states.isEmpty():
             break
-    found = spark.read.parquet(*levels).where("found").select("number", "word", "node")
-    pairs = found.join(ends, "node").join(words.select(F.col("number").alias("near"), F.col("word").alias("other")), "near")
-    return pairs.where((F.col("number") != F.col("near")) & (F.levenshtein("word", "other", 1) == 1)).select("number", "near").distinct()
+        path = write_step(_advance(states, keyed), "trie-level")
+    found = spark.read.parquet(*levels).where("found").select("number", "node")
+    return found.join(ends, "node").select("number", "near")
+
+
+def one_edit_pairs(words: DataFrame) -> DataFrame:
+    """(number, near) of words(number, word) that differ by one inserted, deleted or replaced code point, in both directions.
+
+    Words are distinct and not empty.
+    """
+    backward = words.select("number", F.reverse("word").alias("word"))
+    pairs = _walked(words).unionByName(_walked(backward)).where("number <> near").distinct()
+    texts = words.select("number", "word"), words.select(F.col("number").alias("near"), F.col("word").alias("other"))
+    near = pairs.join(texts[0], "number").join(texts[1], "near").where(F.levenshtein("word", "other", 1) == 1)
+    both = F.explode(F.array(F.struct("number", "near"), F.struct(F.col("near").alias("number"), F.col("number").alias("near"))))
+    return near.select(both.alias("pair")).select("pair.*")
 
 
 def _roots(forms: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ class Encoder:
         words = pc.split_pattern(texts, " ")
         bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        number, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        number, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()  # 32 bits are enough for a slice
         leads = np.zeros(len(number), bool)
         leads[bounds[:-1]] = True  # a row has one word at least, the empty one
         fits = lambda pattern: pc.match_substring_regex(coded.dictionary, pattern).to_numpy(zero_copy_only=False)
@@ -101,14 +101,15 @@ class Encoder:
         found = self._tokens_of(parts, lettered[present >> 1].tolist())
         if collecting:
             gc.enable()
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        place = (np.cumsum(used) - 1)[code]
+        place = (np.cumsum(used, dtype=np.int32) - 1)[code]
         lengths = sizes[place]
         total = np.cumsum(lengths)
-        ids = flat[np.repeat(starts[place] - (total - lengths), lengths) + np.arange(int(lengths.sum()))]
-        counts = np.diff(np.concatenate([[0], total])[bounds]) if len(number) else np.zeros(0, np.int64)
+        at = np.repeat((np.cumsum(sizes) - sizes)[place] - (total - lengths), lengths)
+        at += np.arange(len(at))
+        ids = flat[at]
+        counts = np.diff(np.append(0, total)[bounds])
         return self._with_whole(texts, odd, ids, counts) if len(odd) else (ids, counts)
 
     def _with_whole(self, texts, odd, ids, counts):

@@ -74,12 +74,12 @@ def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
             total += apart * apart
         guess = known[total.argmin(1)]
         bound = ((own - guess) * (own - guess)).sum(1)
-        row, entry = np.nonzero(total <= bound[:, None])
+        row, entry = np.nonzero((total <= bound[:, None]).astype(bool))
         left = total[row, entry]
         for c in range(head, width):
             apart = own[row, c] - known[entry, c]
             left = left + apart * apart
-            in_play = left <= bound[row]
+            in_play = (left <= bound[row]).astype(bool)
             row, entry, left = row[in_play], entry[in_play], left[in_play]
         starts = np.searchsorted(row, np.arange(len(own)))
         least = np.minimum.reduceat(left, starts)

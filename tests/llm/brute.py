@@ -1,8 +1,14 @@
 """Plain, slow versions of the operators."""
 
+import hashlib
 import math
 import re
+import string
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def words(text):
@@ -163,3 +169,68 @@ def line_dedup(docs, min_docs=10):
         kept = [line for line in lines if not key(line) or found[key(line)] < min_docs]
         out.append((name, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
+
+
+def vector_codes(rows, entries, parts=4, rounds=4):
+    """Rows (vec_id, code, error, label_error, digest) of rows (vec_id, finite vector, label)."""
+    whole = [(i, [math.floor(1024 * Fraction(x)) for x in v], label) for i, v, label in rows]
+    by_id = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, rows[r][1]))
+    size = next(len(rows[r][1]) for r in by_id if len(rows[r][1]) % parts == 0)
+    usable = [r for r in by_id if len(rows[r][1]) == size]
+    width = size // parts
+    cut = {r: [whole[r][1][p * width : (p + 1) * width] for p in range(parts)] for r in usable}
+    books = [[cut[r][p] for r in usable[:entries]] for p in range(parts)]
+
+    def best(part, book):
+        return min((sum((a - b) ** 2 for a, b in zip(part, entry)), e) for e, entry in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            near = [(best(cut[r][p], books[p])[1], cut[r][p]) for r in usable]
+            for e in range(len(books[p])):
+                own = [part for at, part in near if at == e]
+                if own:
+                    books[p][e] = [sum(x) // len(own) for x in zip(*own)]
+    digest = hashlib.sha256(",".join(str(x) for book in books for entry in book for x in entry).encode()).hexdigest()
+    coded = []
+    for r, (vec_id, _, label) in enumerate(whole):
+        found = [best(cut[r][p], books[p]) for p in range(parts)] if r in cut else None
+        error = sum(d for d, _ in found) if found else None
+        coded.append((vec_id, label, "".join(f"{e:02x}" for _, e in found) if found else None, error if found and error < 2**63 else None))
+    sums = {label: [e for _, other, _, e in coded if other == label and e is not None] for _, label, _, _ in coded}
+    return [(i, code, error, sum(sums[label]) if sums[label] else None, digest) for i, label, code, error in coded]
+
+
+def letter_runs(text):
+    return [run.translate(LOWER) for run in re.findall("[A-Za-zÀ-ÿ]+", text or "")]
+
+
+def misspelt(doc_id, run, one_in=97):
+    h = zlib.crc32(f"{doc_id}:{run}".encode())
+    return run if h % one_in else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+
+def spelling(counts):
+    """word: (word, form, root, n, n_near, form_n), by the holes each word leaves."""
+    holes = defaultdict(set)
+    for word in counts:
+        holes[word].add(word)
+        for i in range(len(word)):
+            holes[word[:i] + word[i + 1 :]].add(word)
+    near = {word: set() for word in counts}
+    for group in holes.values():
+        for a in group:
+            near[a] |= group
+    one_edit = lambda a, b: a != b and (len(a) != len(b) or sum(x != y for x, y in zip(a, b)) == 1)
+    form = {}
+    for word, others in near.items():
+        near[word] = {b for b in others if one_edit(word, b)}
+        best = min(near[word], key=lambda b: (-counts[b], b), default=None)
+        form[word] = best if best is not None and counts[best] >= 2 * counts[word] else None
+    out = {}
+    for word, n in counts.items():
+        root = word
+        while form[root]:
+            root = form[root]
+        out[word] = (word, form[word], root, n, len(near[word]), counts[form[word]] if form[word] else None)
+    return out
