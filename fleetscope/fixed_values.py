@@ -200,3 +200,6 @@ BUCKET_GAUGES = {
     "objects": ("sccache_bucket_objects", "Object count in the shared sccache MinIO bucket."),
     "size_bytes": ("sccache_bucket_size_bytes", "Total byte size of the shared sccache MinIO bucket."),
 }
+
+#: Lengths of the periods that declared alarms use, in seconds.
+PERIODS_S = (60, 300, 3600)

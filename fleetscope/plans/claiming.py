@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.operators import claims, identity
-from fleetscope.plans.registry import Tables, query, to_duckdb
+from fleetscope.plans.registry import EVENT_SCHEMA, Tables, query, to_duckdb
 from fleetscope.sources.readers import attribute_map
+from fleetscope.streaming import flows, stateful
 
 #: Symbol claims told from parts; a third of them fall on one file.
 CLAIMS = """
@@ -83,6 +84,34 @@ def live_claims(t: Tables) -> DataFrame:
     return live.select("resource_key", "machine_id", "ttl_seconds")
 
 
+#: Claims told from events: a machine observes a symbol again and again, and each observation lives for a while.
+OBSERVED = """
+SELECT 'repo' || CAST(user_id % 3 AS STRING) || ':src/' || event_type || '.rs:Type::m' || CAST(user_id % 40 AS STRING)
+    AS resource_key, 'm' || CAST(event_id % 5 AS STRING) AS machine_id, ts AS observed_at,
+  CAST(300 + event_id % 9 * 400 AS INT) AS ttl_seconds
+FROM {events}
+"""
+
+
+@query(
+    "stream_live_claims",
+    f"""WITH seen AS (
+      SELECT *, observed_at + INTERVAL 1 SECOND * ttl_seconds AS ends FROM ({to_duckdb(OBSERVED)})),
+    looked AS (
+      SELECT *, max(ends) OVER (PARTITION BY resource_key, machine_id ORDER BY observed_at, ends
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM seen),
+    spans AS (
+      SELECT *, count(*) FILTER (before IS NULL OR observed_at >= before) OVER (
+        PARTITION BY resource_key, machine_id ORDER BY observed_at, ends ROWS UNBOUNDED PRECEDING) AS span FROM looked)
+    SELECT resource_key, machine_id, unnest(['claimed', 'expired']) AS change, unnest([min(observed_at), max(ends)]) AS at
+    FROM spans GROUP BY resource_key, machine_id, span""",
+)
+def stream_live_claims(t: Tables) -> DataFrame:
+    """When each claim begins and ends to be live."""
+    seen = t.spark.sql(OBSERVED, events=t.stream_to_the_end("events", EVENT_SCHEMA))
+    return flows.run_available(stateful.live_claims_stream(seen, "1 hour", bucket_s=3600), "live-claims")
+
+
 @query(
     "dedup_in_order",
     """SELECT user_id, event_type, event_id FROM events

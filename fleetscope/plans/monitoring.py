@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import fixed_values as fv
 from fleetscope.operators import budget, health, metrics
-from fleetscope.plans.registry import Tables, query, to_duckdb
+from fleetscope.plans.registry import EVENT_SCHEMA, Tables, query, to_duckdb
 from fleetscope.session import small_table
 from fleetscope.streaming import flows, stateful
 
@@ -200,7 +202,6 @@ def budget_alerts(t: Tables) -> DataFrame:
     return budget.budget_alerts(costs, "47000000").withColumn("forecast", F.round("forecast", 4))
 
 
-EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 #: Where the heartbeat has moved the watermark.
 _PASSED = "(SELECT max(ts) + INTERVAL 2 HOUR FROM events)"
 
@@ -216,39 +217,74 @@ def stream_log_metric(t: Tables) -> DataFrame:
     return flows.run_available(counted.drop("period_end"), "log-metric")
 
 
+_STREAM_STATS = ("min", "sum", "avg", "p90")
+
+_WINDOWS_SQL = " UNION ALL ".join(
+    f"""SELECT event_type, {period}::INTEGER AS period_s, period_start,
+      min(value) AS "min", sum(value) AS "sum", avg(value) AS "avg", quantile_cont(value, 0.9) AS p90
+    FROM (SELECT *, make_timestamp(CAST(floor(epoch_us(ts) / {period}000000) * {period}000000 AS BIGINT)) AS period_start
+      FROM events) WHERE period_start + INTERVAL {period} SECOND <= {_PASSED} GROUP BY event_type, period_start"""
+    for period in fv.PERIODS_S
+)
+
+
 @query(
     "stream_metric_windows",
-    f"""SELECT event_type, make_timestamp(CAST(floor(epoch_us(ts) / 300000000) * 300000000 AS BIGINT)) AS period_start,
-    round(max(value), 6) AS value FROM (SELECT event_type, ts, min(value) OVER (
-      PARTITION BY event_type, floor(epoch_us(ts) / 300000000)) AS value FROM events)
-    WHERE make_timestamp(CAST((floor(epoch_us(ts) / 300000000) + 1) * 300000000 AS BIGINT)) <= {_PASSED}
-    GROUP BY ALL""",
+    "SELECT event_type, period_s, period_start, "
+    + ", ".join(f'round("{stat}", 6) AS "{stat}"' for stat in _STREAM_STATS)
+    + f" FROM ({_WINDOWS_SQL})",
 )
 def stream_metric_windows(t: Tables) -> DataFrame:
-    windows = flows.metric_windows(t.stream_to_the_end("events", EVENT_SCHEMA), ["event_type"], 300, "min", "1 hour")
-    out = flows.run_available(windows.select("event_type", "period_start", "value"), "metric-windows")
-    return out.withColumn("value", F.round("value", 6))
-
+    """All statistics at all declared periods, in one stream."""
+    windows = [
+        flows.statistic_windows(
+            t.stream_to_the_end("events", EVENT_SCHEMA).where("event_type IS NOT NULL OR event_id IS NULL"),
+            ["event_type"], period, _STREAM_STATS, "1 hour",
+        ).withColumn("period_s", F.lit(period))
+        for period in fv.PERIODS_S
+    ]
+    whole = reduce(DataFrame.unionByName, windows).drop("period_end")
+    out = flows.run_available(whole, "metric-windows").where("event_type IS NOT NULL")
+    return out.withColumns({stat: F.round(stat, 6) for stat in _STREAM_STATS})
+
+
+#: Shards that never publish, and from when on they are expected; their alarms treat silence each in its own way.
+_SILENT = ("shard=8", "shard=9")
+_SINCE = "2024-01-01 00:00:00"
 
 _STREAM_EVAL_SQL = _EVAL_SQL.replace(
     "max(period_start) OVER (PARTITION BY alarm)",
     f"""make_timestamp(CAST((floor(epoch_us({_PASSED}) / {PERIOD_S}000000) - 1) * {PERIOD_S}000000 AS BIGINT))""",
+).replace(
+    "FROM stats),\ngrid",
+    f"""FROM stats UNION ALL SELECT alarm, unnest({list(_SILENT)}), TIMESTAMP '{_SINCE}',
+      make_timestamp(CAST((floor(epoch_us({_PASSED}) / {PERIOD_S}000000) - 1) * {PERIOD_S}000000 AS BIGINT)) FROM specs),
+grid""",
 )
 
 
 @query(
     "stream_alarm_transitions",
-    f"""WITH {_STREAM_EVAL_SQL} SELECT alarm, series, period_start, state, previous FROM evaluated
-    WHERE state <> previous AND alarm = 'view-min'""",
+    f"""WITH {_STREAM_EVAL_SQL} SELECT alarm, series, period_start, round(value, 6) AS value, state, previous
+    FROM evaluated WHERE state <> previous""",
 )
 def stream_alarm_transitions(t: Tables) -> DataFrame:
-    views = t.stream_to_the_end("events", EVENT_SCHEMA).where("event_type = 'view' OR event_type IS NULL")
-    keyed = views.select(
-        "ts", "value", F.lit("view-min").alias("alarm"), F.concat(F.lit("shard="), F.col("user_id") % 8).alias("series")
-    )
-    periods = flows.metric_windows(keyed, ["alarm", "series"], PERIOD_S, "min", "1 hour")
-    changes = flows.run_available(stateful.alarm_stream(periods, _specs(t)), "alarm-stream")
-    return changes.select("alarm", "series", "period_start", "state", "previous")
+    """All declared alarms in one stream, with series that never publish."""
+    specs = _specs(t)
+    points = t.stream_to_the_end("events", EVENT_SCHEMA)
+    kind = F.coalesce("event_type", F.lit("heartbeat")).alias("event_type")  # the join would drop a null below the watermark
+    keyed = points.select("ts", "value", kind, F.concat(F.lit("shard="), F.col("user_id") % 8).alias("series"))
+    stats = flows.statistic_windows(keyed, ["event_type", "series"], PERIOD_S, _STREAM_STATS, "1 hour")
+    chosen = F.when(F.lit(False), F.lit(0.0))
+    for stat in _STREAM_STATS:
+        chosen = chosen.when(F.col("stat") == stat, F.col(stat))
+    watched = specs.select("alarm", F.col("metric").alias("event_type"), "stat")
+    periods = stats.join(F.broadcast(watched), "event_type").withColumn("value", chosen)
+    periods = periods.select("alarm", "series", "period_start", "period_end", "value")
+    silent = specs.select("alarm", F.explode(F.array(*map(F.lit, _SILENT))).alias("series"))
+    changes = stateful.alarm_stream(periods, specs, expected=silent, since=F.lit(_SINCE).cast("timestamp"))
+    out = flows.run_available(changes, "alarm-stream").withColumn("value", F.round("value", 6))
+    return out.select("alarm", "series", "period_start", "value", "state", "previous")
 
 
 @query(
@@ -263,7 +299,7 @@ def stream_probe_health(t: Tables) -> DataFrame:
         F.coalesce("event_id", F.lit(-1)).alias("id"),
         F.coalesce("ok", F.lit(True)).alias("ok"),
     )
-    out = flows.run_available(stateful.probe_health_stream(keyed, "1 hour"), "probe-health")
+    out = flows.run_available(stateful.probe_health_stream(keyed, "1 hour", bucket_s=3600), "probe-health")
     return out.select(F.col("id").alias("event_id"), F.col("target").cast("bigint").alias("target"), "ok", "state")
 
 

@@ -1,15 +1,17 @@
-"""Streaming operators with custom state: alarms, probe health, hot tail.
+"""Streaming operators with custom state: alarms, probe health, live claims, hot tail.
 
-State is one small record per key (for the tail, at most its byte cap). Rows of
-a key arrive in Arrow batches and are folded in; groups are never gathered.
+Each key keeps a small record, and rows that wait for their turn in buckets of time, one
+state entry a bucket. A key has one timer, for its earliest bucket or end; when it fires,
+the buckets the watermark has passed are read, no others, and folded in with numpy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,242 +26,406 @@ TRANSITION_COLUMNS = (
     "alarm string, series string, period_start timestamp, value double, state string, previous string, notify_ok boolean"
 )
 HEALTH_COLUMNS = "target string, ts timestamp, id long, ok boolean, state string"
-TAIL_COLUMNS = "session_id string, first_seq long, last_seq long, bytes_kept long"
+CLAIM_COLUMNS = "resource_key string, machine_id string, change string, at timestamp"
+TAIL_COLUMNS = "session_id string, first_seq long, last_seq long, bytes_kept long, tail binary"
+
+#: Length of the buckets in which rows wait for the watermark.
+BUCKET_S = 60
 
 
 def _use_rocksdb(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _stamp(micros: list[int]) -> pd.Series:
+def _stamp(micros) -> pd.Series:
     return pd.to_datetime(pd.Series(micros, dtype="int64"), unit="us")
 
 
+def alarm_runs(breach: np.ndarray, at: np.ndarray, last: int, missing: bool, run: int, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Runs of breaching periods among the periods 1 to ``last``: (first, end, breaching periods at the end).
+
+    ``at``: numbers of the published periods, rising; ``breach``: which of them breach. All others
+    breach if ``missing``. ``run`` periods before the first breached. A run is listed from the period
+    where it has ``n`` breaches to the one after its last; runs that don't get so far are left out.
+    """
+    if missing:
+        calm = at[~breach]
+        first, end = np.append(1, calm + 1), np.append(calm, last + 1)
+    else:
+        hit = at[breach]
+        begins = np.flatnonzero(np.diff(hit, prepend=-1) != 1)
+        first, end = hit[begins], hit[np.append(begins[1:], len(hit)) - 1] + 1 if len(hit) else hit
+    before = np.where(first == 1, run, 0)
+    tail = int((end[-1] - first[-1] + before[-1]) if len(end) and end[-1] == last + 1 else 0)
+    alarm = first + np.maximum(n - before - 1, 0)
+    some = alarm < end
+    return alarm[some], end[some], tail
+
+
 class AlarmProcessor(StatefulProcessor):
     """Folds period values of one (alarm, series) into OK / ALARM transitions.
 
-    A period the watermark passed without a value is missing and follows the
-    alarm's policy; an event-time timer sees to it when no row arrives at all.
+    A period the watermark passed without a value is missing and follows the alarm's policy;
+    an event-time timer sees to it when no row arrives at all. Declared series begin with the
+    period before ``start_s``, so they are judged even if nothing is ever published. With
+    ``retire_after``, a series is forgotten after so many missing periods in a row.
     """
 
+    _NAMES = ("last_s", "run", "state", "period_s", "n", "op", "threshold", "missing", "notify_ok", "seen_s")
+
+    def __init__(self, retire_after: int | None = None) -> None:
+        self._retire_after = retire_after
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState(
             "alarm",
             "last_s long, run int, state string, period_s int, n int, op string, threshold double, "
-            "missing string, notify_ok boolean",
+            "missing string, notify_ok boolean, seen_s long",
         )
 
-    def _step(self, s: dict, start_s: int, value: float | None, out: list) -> None:
-        if value is None:
-            breach = s["missing"] == "breaching"
-        else:
-            limit = s["threshold"]
-            breach = {"<": value < limit, ">": value > limit}.get(s["op"], value >= limit)
-        s["run"] = s["run"] + 1 if breach else 0
-        state = "ALARM" if s["run"] >= s["n"] else "OK"
-        if state != s["state"]:
-            out.append((start_s, value, state, s["state"], s["notify_ok"]))
-        s["state"], s["last_s"] = state, start_s
-
-    def _save(self, key, s: dict, out: list) -> Iterator[pd.DataFrame]:
+    def _begin(self, row, before_s: int) -> dict:
+        return {
+            "last_s": before_s, "run": 0, "state": "OK", "period_s": int(row.period_s), "n": int(row.n), "op": row.op,
+            "threshold": float(row.threshold), "missing": row.missing, "notify_ok": bool(row.notify_ok), "seen_s": before_s,
+        }
+
+    def _fold(self, key, s: dict, starts: np.ndarray, values: np.ndarray, last_s: int) -> Iterator[pd.DataFrame]:
+        """Judges every period after the last judged one up to ``last_s``."""
+        last = (last_s - s["last_s"]) // s["period_s"]
+        if last <= 0:
+            return
+        at, limit = (starts - s["last_s"]) // s["period_s"], s["threshold"]
+        known = ~np.isnan(values)
+        breach = {"<": values < limit, ">": values > limit}.get(s["op"], values >= limit)
+        on, off, run = alarm_runs(breach[known], at[known], last, s["missing"] == "breaching", s["run"], s["n"])
+        if s["state"] == "ALARM":  # it goes on, or ends with the first period that is calm
+            on, off = (on[1:], off) if len(on) and on[0] == 1 else (on, np.append(1, off))
+        off = off[off <= last]
+        turns = np.concatenate([on, off])
+        order = np.argsort(turns, kind="stable")
+        states = np.array(["ALARM"] * len(on) + ["OK"] * len(off), object)[order]
+        turns = turns[order]
+        s["run"], s["last_s"] = run, s["last_s"] + last * s["period_s"]
+        if len(turns):
+            value = dict(zip(at[known].tolist(), values[known].tolist()))
+            start_s = (s["last_s"] - (last - turns) * s["period_s"]) * 1_000_000
+            yield pd.DataFrame(
+                {
+                    "alarm": key[0],
+                    "series": key[1],
+                    "period_start": _stamp(start_s),
+                    "value": pd.Series([value.get(t) for t in turns.tolist()], dtype="float64"),
+                    "state": states,
+                    "previous": np.where(states == "OK", "ALARM", "OK"),
+                    "notify_ok": s["notify_ok"],
+                }
+            )
+            s["state"] = str(states[-1])
+
+    def _save(self, s: dict) -> None:
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
-        self._handle.registerTimer((s["last_s"] + 2 * s["period_s"]) * 1000)
-        names = ("last_s", "run", "state", "period_s", "n", "op", "threshold", "missing", "notify_ok")
-        self._state.update(tuple(s[name] for name in names))
-        if not out:
+        silent = (s["last_s"] - s["seen_s"]) // s["period_s"]
+        if self._retire_after is not None and silent >= self._retire_after:
+            self._state.clear()
             return
-        yield pd.DataFrame(
-            {
-                "alarm": [key[0]] * len(out),
-                "series": [key[1]] * len(out),
-                "period_start": _stamp([row[0] * 1_000_000 for row in out]),
-                "value": pd.Series([row[1] for row in out], dtype="float64"),
-                "state": [row[2] for row in out],
-                "previous": [row[3] for row in out],
-                "notify_ok": pd.Series([row[4] for row in out], dtype="bool"),
-            }
-        )
+        self._handle.registerTimer((s["last_s"] + 2 * s["period_s"]) * 1000)
+        self._state.update(tuple(s[name] for name in self._NAMES))
 
     def _load(self) -> dict | None:
-        if not self._state.exists():
-            return None
-        names = ("last_s", "run", "state", "period_s", "n", "op", "threshold", "missing", "notify_ok")
-        return dict(zip(names, self._state.get()))
+        return dict(zip(self._NAMES, self._state.get())) if self._state.exists() else None
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = next(initialState.itertuples())
+        self._save(self._begin(row, int(row.start_s) - int(row.period_s)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s, out = self._load(), []
+        s = self._load()
         # one row per period: a key's share of a micro-batch is as long as its time span
-        for row in pd.concat(list(rows)).sort_values("start_s").itertuples():
-            if s is None:
-                s = {
-                    "last_s": row.start_s - row.period_s, "run": 0, "state": "OK",
-                    "period_s": row.period_s, "n": row.n, "op": row.op, "threshold": row.threshold,
-                    "missing": row.missing, "notify_ok": bool(row.notify_ok),
-                }
-            if row.start_s <= s["last_s"]:  # repeated, or later than its turn: already counted
-                continue
-            for gap in range(s["last_s"] + s["period_s"], row.start_s, s["period_s"]):
-                self._step(s, gap, None, out)
-            self._step(s, row.start_s, None if pd.isna(row.value) else float(row.value), out)
-        yield from self._save(key, s, out)
+        pdf = pd.concat(list(rows)).drop_duplicates("start_s").sort_values("start_s")
+        if s is None:
+            first = next(pdf.itertuples())
+            s = self._begin(first, int(first.start_s) - int(first.period_s))
+        pdf = pdf[pdf["start_s"] > s["last_s"]]  # others are repeated, or later than their turn
+        if len(pdf):
+            starts = pdf["start_s"].to_numpy(np.int64)
+            s["seen_s"] = int(starts[-1])
+            yield from self._fold(key, s, starts, pdf["value"].to_numpy(np.float64, na_value=np.nan), int(starts[-1]))
+        self._save(s)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s, out = self._load(), []
-        passed_s = timerValues.getCurrentWatermarkInMs() // 1000
-        while s["last_s"] + 2 * s["period_s"] <= passed_s:
-            self._step(s, s["last_s"] + s["period_s"], None, out)
-        yield from self._save(key, s, out)
+        s = self._load()
+        if s is None:
+            return
+        passed = timerValues.getCurrentWatermarkInMs() // 1000 - s["last_s"]
+        nothing = np.zeros(0, np.int64)
+        yield from self._fold(key, s, nothing, nothing.astype(np.float64), s["last_s"] + (passed // s["period_s"] - 1) * s["period_s"])
+        self._save(s)
 
     def close(self) -> None:
         pass
 
 
-def alarm_stream(periods: DataFrame, specs: DataFrame) -> DataFrame:
+def alarm_stream(
+    periods: DataFrame,
+    specs: DataFrame,
+    expected: DataFrame | None = None,
+    since: Column | None = None,
+    retire_after: int | None = None,
+) -> DataFrame:
     """Alarm transitions of streaming period values.
 
-    ``periods``: alarm, series, period_start, period_end (event time), value, as
-    ``metric_windows`` emits them; ``specs``: the alarm table.
+    ``periods``: alarm, series, period_start, period_end (event time), value, as ``metric_windows``
+    emits them; ``specs``: the alarm table. ``expected`` (alarm, series; not a stream) declares series
+    that are judged from the period of ``since`` on, also if they never publish; all others begin with
+    their first period. ``retire_after``: see the processor; without it a series is never forgotten.
     """
     _use_rocksdb(periods)
     rules = specs.select("alarm", "period_s", "n", "op", "threshold", "missing", "notify_ok")
     keyed = periods.join(broadcast_if_small(rules), "alarm").withColumn("start_s", F.unix_seconds("period_start"))
+    declared = None
+    if expected is not None:
+        start = (F.floor(F.unix_seconds(since) / F.col("period_s")) * F.col("period_s")).cast("bigint")
+        declared = expected.select("alarm", "series").distinct().join(rules, "alarm").withColumn("start_s", start)
+        declared = declared.groupBy("alarm", "series")
     return keyed.groupBy("alarm", "series").transformWithStateInPandas(
-        AlarmProcessor(), TRANSITION_COLUMNS, "append", "eventtime"
+        AlarmProcessor(retire_after), TRANSITION_COLUMNS, "append", "eventtime", declared
     )
 
 
-class ProbeHealthProcessor(StatefulProcessor):
-    """Run lengths and held state of one target.
+class InOrderProcessor(StatefulProcessor):
+    """Gives the rows of a key to ``fold`` in the order of time, once the watermark has passed their bucket.
 
-    Probes wait until the watermark passes them, so late ones still count in
-    event-time order.
+    ``columns`` are what a row keeps, ``us`` first. ``fold`` gets the due rows sorted by them and the
+    time up to which all rows are known; ``next_end`` may name a time at which it wants to be
+    called without rows.
     """
 
-    up, down = fv.HEALTHY_AFTER, fv.UNHEALTHY_AFTER
+    columns: dict[str, str]
 
-    def __init__(self, up: int, down: int) -> None:
-        self.up, self.down = up, down
+    def __init__(self, bucket_s: int = BUCKET_S) -> None:
+        self._bucket_us = bucket_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._runs = handle.getValueState("runs", "good int, bad int, state string")
-        self._waiting = handle.getListState("waiting", "us long, id long, ok boolean")
-
-    def _wake(self, us: int, pending: list[int]) -> None:
-        """One timer, for the earliest waiting probe; an expired timer is gone after its call."""
-        for timer in pending:
-            self._handle.deleteTimer(timer)
-        self._handle.registerTimer(min([us // 1000 + 1, *pending]))
+        kinds = ", ".join(f"{name} array<{kind}>" for name, kind in self.columns.items())
+        self._waiting = handle.getMapState("waiting", "bucket long", kinds)
+        self._open = handle.getValueState("open", "buckets array<long>, wake_ms long")
+
+    def fold(self, key, rows: pd.DataFrame, known_us: int) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def next_end(self) -> int | None:
+        return None
+
+    def _wake(self, buckets: list[int], known: int | None) -> None:
+        """One timer, at the end of the earliest bucket that waits or is wanted."""
+        end = self.next_end()
+        ends = [b + 1 for b in buckets[:1]] + ([-(-end // self._bucket_us)] if end is not None else [])
+        wake = min(ends) * self._bucket_us // 1000 if ends else None
+        if known is not None and known != wake:
+            self._handle.deleteTimer(known)
+        if wake is not None and wake != known:
+            self._handle.registerTimer(wake)
+        if wake is None:
+            self._open.clear()
+        else:
+            self._open.update((buckets, wake))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        buckets, known = self._open.get() if self._open.exists() else ([], None)
+        held = set(buckets)
         for pdf in rows:
-            self._waiting.appendList([(int(r.us), int(r.id), bool(r.ok)) for r in pdf.itertuples()])
-            low = int(pdf["us"].min())
-            first = low if first is None else min(first, low)
-        self._wake(first, list(self._handle.listTimers()))
+            for bucket, part in pdf.groupby(pdf["us"] // self._bucket_us):
+                bucket = int(bucket)
+                new = [part[name].tolist() for name in self.columns]
+                if bucket in held:
+                    new = [list(old) + more for old, more in zip(self._waiting.getValue((bucket,)), new)]
+                self._waiting.updateValue((bucket,), tuple(new))
+                held.add(bucket)
+        self._wake(sorted(held), known)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = timerValues.getCurrentWatermarkInMs() * 1000
-        probes = sorted(self._waiting.get())
-        due = [p for p in probes if p[0] < limit]
-        later = probes[len(due) :]
-        good, bad, state = self._runs.get() if self._runs.exists() else (0, 0, "initial")
-        states = []
-        for _, _, ok in due:
-            good, bad = (good + 1, 0) if ok else (0, bad + 1)
-            state = "healthy" if good >= self.up else "unhealthy" if bad >= self.down else state
-            states.append(state)
-        self._runs.update((good, bad, state))
-        if later:
-            self._waiting.put(later)
-            self._wake(later[0][0], [])
-        else:
-            self._waiting.clear()
-        if not due:
-            return
-        yield pd.DataFrame(
-            {
-                "target": [key[0]] * len(due),
-                "ts": _stamp([p[0] for p in due]),
-                "id": pd.Series([p[1] for p in due], dtype="int64"),
-                "ok": pd.Series([p[2] for p in due], dtype="bool"),
-                "state": states,
-            }
-        )
+        buckets, _ = self._open.get() if self._open.exists() else ([], None)
+        first_open = timerValues.getCurrentWatermarkInMs() * 1000 // self._bucket_us
+        due = [b for b in buckets if b < first_open]
+        columns = [[] for _ in self.columns]
+        for bucket in due:
+            for column, values in zip(columns, self._waiting.getValue((bucket,))):
+                column.extend(values)
+            self._waiting.removeKey((bucket,))
+        table = pd.DataFrame(dict(zip(self.columns, columns))).sort_values(list(self.columns), kind="stable", ignore_index=True)
+        yield from self.fold(key, table, first_open * self._bucket_us)
+        self._wake([int(b) for b in buckets[len(due) :]], None)  # an expired timer is gone after its call
 
     def close(self) -> None:
         pass
 
 
+def held_states(ok: np.ndarray, good: int, bad: int, state: str, up: int, down: int) -> tuple[np.ndarray, int, int]:
+    """(state after each probe, successes in a row at the end, failures in a row at the end)."""
+    place = np.arange(len(ok))
+    last_bad, last_good = (np.maximum.accumulate(np.where(x, place, -1)) for x in (~ok, ok))
+    good_run = np.where(ok, place - last_bad + np.where(last_bad < 0, good, 0), 0)
+    bad_run = np.where(~ok, place - last_good + np.where(last_good < 0, bad, 0), 0)
+    switch = np.where(good_run >= up, 1, np.where(bad_run >= down, 2, 0))
+    last = np.maximum.accumulate(np.where(switch > 0, place, -1))
+    names = np.array([state, "healthy", "unhealthy"], object)
+    return names[np.where(last < 0, 0, switch[last])], int(good_run[-1]), int(bad_run[-1])
+
+
+class ProbeHealthProcessor(InOrderProcessor):
+    """Run lengths and held state of one target."""
+
+    columns = {"us": "long", "id": "long", "ok": "boolean"}
+
+    def __init__(self, up: int, down: int, bucket_s: int = BUCKET_S) -> None:
+        super().__init__(bucket_s)
+        self._up, self._down = up, down
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._runs = handle.getValueState("runs", "good int, bad int, state string")
+
+    def fold(self, key, rows: pd.DataFrame, known_us: int) -> Iterator[pd.DataFrame]:
+        if rows.empty:
+            return
+        good, bad, state = self._runs.get() if self._runs.exists() else (0, 0, "initial")
+        ok = rows["ok"].to_numpy(bool)
+        states, good, bad = held_states(ok, good, bad, state, self._up, self._down)
+        self._runs.update((good, bad, str(states[-1])))
+        yield pd.DataFrame({"target": key[0], "ts": _stamp(rows["us"]), "id": rows["id"], "ok": ok, "state": states})
+
+
 def probe_health_stream(
-    probes: DataFrame, watermark: str, up: int = fv.HEALTHY_AFTER, down: int = fv.UNHEALTHY_AFTER
+    probes: DataFrame, watermark: str, up: int = fv.HEALTHY_AFTER, down: int = fv.UNHEALTHY_AFTER, bucket_s: int = BUCKET_S
 ) -> DataFrame:
-    """Health after each probe; ``probes``: target, ts, id, ok."""
+    """Health after each probe, once the watermark has passed its bucket of time; ``probes``: target, ts, id, ok.
+
+    A late probe still counts at its time. Probes of one time go by id.
+    """
     _use_rocksdb(probes)
     keyed = probes.withWatermark("ts", watermark).withColumn("us", F.unix_micros("ts"))
     return keyed.groupBy("target").transformWithStateInPandas(
-        ProbeHealthProcessor(up, down), HEALTH_COLUMNS, "append", "eventtime"
+        ProbeHealthProcessor(up, down, bucket_s), HEALTH_COLUMNS, "append", "eventtime"
     )
 
 
+class LiveClaimsProcessor(InOrderProcessor):
+    """The span in which one machine's claim on one resource is live; an observation extends it."""
+
+    columns = {"us": "long", "end_us": "long"}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._span = handle.getValueState("span", "end_us long")
+
+    def next_end(self) -> int | None:
+        return self._span.get()[0] if self._span.exists() else None
+
+    def fold(self, key, rows: pd.DataFrame, known_us: int) -> Iterator[pd.DataFrame]:
+        held, rows = self.next_end(), rows[rows["end_us"] > rows["us"]]
+        begins, ends = rows["us"].to_numpy(np.int64), rows["end_us"].to_numpy(np.int64)
+        latest = np.maximum.accumulate(np.append(np.iinfo(np.int64).min if held is None else held, ends))
+        new = np.flatnonzero(begins >= latest[:-1])  # nothing was live any more, or yet
+        claimed, closed = begins[new], latest[new]
+        if held is None:
+            closed = closed[1:]
+        if latest[-1] <= known_us and (held is not None or len(ends)):
+            closed = np.append(closed, latest[-1])
+            self._span.clear()
+        elif len(ends):
+            self._span.update((int(latest[-1]),))
+        if len(claimed) + len(closed):
+            changes = ["claimed"] * len(claimed) + ["expired"] * len(closed)
+            at = _stamp(np.concatenate([claimed, closed]))
+            yield pd.DataFrame({"resource_key": key[0], "machine_id": key[1], "change": changes, "at": at})
+
+
+def live_claims_stream(claims: DataFrame, watermark: str, bucket_s: int = BUCKET_S) -> DataFrame:
+    """When a machine's claim on a resource begins and ends to be live: (resource_key, machine_id, change, at).
+
+    ``claims``: resource_key, machine_id, observed_at, ttl_seconds. A claim lives from an observation
+    until the latest of its observations has run out; it then expires by a timer, without a later row.
+    Observations without a time to live are never live. Changes come out in event time, once the
+    watermark has passed their bucket; a late observation still counts at its time.
+    """
+    _use_rocksdb(claims)
+    us = F.unix_micros("observed_at")
+    # no filter here: it would be pushed below the watermark, which such observations move too
+    lives = F.greatest(F.coalesce(F.col("ttl_seconds").cast("bigint"), F.lit(0)), F.lit(0)) * 1_000_000
+    keyed = claims.withWatermark("observed_at", watermark).withColumns({"us": us, "end_us": us + lives})
+    return keyed.groupBy("resource_key", "machine_id").transformWithStateInPandas(
+        LiveClaimsProcessor(bucket_s), CLAIM_COLUMNS, "append", "eventtime"
+    )
+
+
+def live_at(changes: DataFrame, as_of: Column) -> DataFrame:
+    """(resource_key, machine_id) of what is live at a time, from the changes of ``live_claims_stream``."""
+    last = F.max_by("change", F.struct("at", F.col("change") == "claimed"))
+    held = changes.where(F.col("at") <= as_of).groupBy("resource_key", "machine_id").agg(last.alias("last"))
+    return held.where("last = 'claimed'").drop("last")
+
+
 class HotTailProcessor(StatefulProcessor):
-    """The newest chunks of one open session that fit the cap.
+    """The newest chunks of one open session that fit the cap, a state entry each.
 
-    ``floor`` is the newest chunk dropped so far: once one is dropped, no older
-    chunk may come back, also when it arrives late.
+    A new chunk is one write, and what no longer fits is removed from the old end, so an update
+    does not rewrite the tail. ``floor`` is the newest chunk dropped so far: once one is dropped, no
+    older chunk may come back, also when it arrives late.
     """
 
     def __init__(self, cap_bytes: int) -> None:
-        self.cap = cap_bytes
+        self._cap = cap_bytes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._chunks = handle.getListState("chunks", "seq long, size long")
-        self._floor = handle.getValueState("floor", "seq long")
+        self._chunks = handle.getMapState("chunks", "seq long", "size long, body binary")
+        self._ends = handle.getValueState("ends", "floor long, low long, high long, total long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        floor = self._floor.get()[0] if self._floor.exists() else -1
-        held, closed = list(self._chunks.get()) if self._chunks.exists() else [], False
+        floor, low, high, total = self._ends.get() if self._ends.exists() else (-1, 0, -1, 0)
+        closed = False
         for pdf in rows:
             closed = closed or bool(pdf["closed"].any())
-            fresh = [(int(r.seq), int(r.size)) for r in pdf.itertuples() if r.seq > floor]
-            held, floor = self._fit(held + fresh, floor)
-        self._chunks.clear()
+            fresh = pdf[pdf["seq"] > floor]
+            for seq, size, body in zip(fresh["seq"].tolist(), fresh["size"].tolist(), fresh["body"]):
+                if seq <= floor or (low <= seq <= high and self._chunks.containsKey((seq,))):
+                    continue  # older than what was dropped, or sent again
+                self._chunks.updateValue((seq,), (size, bytes(body)))
+                low, high, total = (seq, seq, size) if high < low else (min(low, seq), max(high, seq), total + size)
+                while total > self._cap:
+                    total -= self._chunks.getValue((low,))[0]
+                    self._chunks.removeKey((low,))
+                    floor = low
+                    low = self._above(low, high)
+                    if low > high:
+                        low, high, total = 0, -1, 0
         if closed:
-            self._floor.clear()
+            self._chunks.clear()
+            self._ends.clear()
             return
-        self._floor.update((floor,))
-        if held:
-            self._chunks.put(held)
-            yield pd.DataFrame(
-                {
-                    "session_id": [key[0]],
-                    "first_seq": [held[-1][0]],
-                    "last_seq": [held[0][0]],
-                    "bytes_kept": [sum(size for _, size in held)],
-                }
-            )
-
-    def _fit(self, chunks: list, floor: int) -> tuple[list, int]:
-        kept, total = [], 0
-        for seq, size in sorted(chunks, reverse=True):
-            total += size
-            if total > self.cap:
-                return kept, seq
-            kept.append((seq, size))
-        return kept, floor
+        self._ends.update((floor, low, high, total))
+        if low <= high:
+            held = sorted((seq, body) for (seq,), (_, body) in self._chunks.iterator())
+            tail = b"".join(bytes(body) for _, body in held)
+            yield pd.DataFrame({"session_id": [key[0]], "first_seq": [low], "last_seq": [high], "bytes_kept": [total], "tail": [tail]})
+
+    def _above(self, low: int, high: int) -> int:
+        """The oldest chunk after ``low``: mostly the next one; with a gap, all numbers are looked at."""
+        if low >= high or self._chunks.containsKey((low + 1,)):
+            return low + 1
+        return min(seq for (seq,) in self._chunks.keys())
 
     def close(self) -> None:
         pass
 
 
 def hot_tail(chunks: DataFrame, cap_bytes: int = fv.HOT_TAIL_BYTES) -> DataFrame:
-    """Per micro-batch the tail each touched open session keeps; a closed session drops its state.
+    """Per micro-batch the tail each touched open session keeps, with its bytes; a closed session drops its state.
 
-    ``chunks``: session_id, seq, size, closed.
+    ``chunks``: session_id, seq, size, body (the chunk's bytes), closed. A chunk sent again counts once.
     """
     _use_rocksdb(chunks)
     return chunks.groupBy("session_id").transformWithStateInPandas(
