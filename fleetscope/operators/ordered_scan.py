@@ -4,7 +4,8 @@ A plain window sends every row of a key through one task. Here keys with more
 than ``max_rows`` rows are cut into consecutive blocks of the ordering column
 first: the rows are windowed per (key, block), and what a block inherits from
 the blocks before it comes from a small per-block table. A block that is still
-too full, as in a burst, is cut again in the same way.
+too full, as in a burst, is cut again in the same way. Rows of one ordering value
+that are too many are cut by range of the ties, and then of their place in the table.
 
 The rows are shuffled once, by (key, block). The side tables are small: a key or
 block is listed only if it has more than ``max_rows`` rows, so there are at most
@@ -35,8 +36,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, names: Sequence[str]) ->
 class OrderedScan:
     """Rows of ``df`` grouped by ``keys`` and ordered by ``order`` then ``ties``.
 
-    ``order`` is one numeric or timestamp column; rows that share its value stay
-    in one block. ``position`` is a number that never falls as ``order`` rises,
+    ``order`` is one numeric or timestamp column. ``position`` is a number that never falls as ``order`` rises,
     by which blocks are cut; by default ``order`` itself. Methods return a new
     scan; ``frame`` is the result.
     """
@@ -64,6 +64,7 @@ class OrderedScan:
         self._position = F.when(position.isNull(), F.lit(-1e300)).otherwise(number)
         while self._cut(max_rows):
             pass
+        self._cut_ties(max_rows)
 
     def _cut(self, max_rows: int) -> bool:
         """Cut the keys, or the last blocks, that hold more than ``max_rows`` rows."""
@@ -86,6 +87,28 @@ class OrderedScan:
         self._blocks.append(block)
         return True
 
+    def _cut_ties(self, max_rows: int) -> None:
+        """Cut what is still too full, rows of one value of ``order``: range partitions become blocks.
+
+        Only these rows are sorted and written again; a partition holds about half of ``max_rows``.
+        """
+        by = self._keys + self._blocks
+        rows = self._df.where(F.col(self._blocks[-1]).isNotNull()) if self._blocks else self._df
+        full = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+        full = materialize(full, "full-ties")
+        total = full.agg(F.sum("_n")).first()[0]
+        if not total:
+            return
+        block = f"_block{len(self._blocks)}"
+        marked = _null_safe_join(self._df, broadcast_if_small(full), by)
+        tied = marked.where(F.col("_n").isNotNull()).withColumn("_seq", F.monotonically_increasing_id())
+        tied = tied.repartitionByRange(-(-2 * total // max_rows), *by, *self._order, "_seq")
+        number = F.spark_partition_id() * (-1 if self._descending else 1)
+        tied = materialize(tied.withColumn(block, number.cast("bigint")).drop("_n", "_seq"), "cut-ties")
+        rest = marked.where(F.col("_n").isNull()).withColumn(block, F.lit(None).cast("bigint")).drop("_n")
+        self._df = rest.unionByName(tied)
+        self._blocks.append(block)
+
     def _window(self):
         by = Window.partitionBy(*self._keys, *self._blocks)
         return by.orderBy(*self._order).rowsBetween(Window.unboundedPreceding, 0)

@@ -180,6 +180,20 @@ def test_ordered_scan_against_brute_force(spark, max_rows, descending):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_ordered_scan_splits_one_time_of_one_key(spark, descending):
+    """Most rows share key and time, many of them all ties too; no block is large, and sums are as in one window."""
+    random.seed(6)
+    data = [("hot", 5, random.choice("abc"), 1) for _ in range(1200)] + [("hot", t, "x", 1) for t in range(9)] + [("b", 5, "y", 1)]
+    scan = OrderedScan(spark.createDataFrame(data, "k string, o long, tie string, v long"), ["k"], "o", ("tie",), descending=descending, max_rows=100)
+    blocks = scan._df.groupBy(*scan._keys, *scan._blocks).count()
+    assert blocks.agg(F.max("count")).first()[0] <= 150
+    out = scan.running_sum(F.col("v"), "run").total(F.col("v"), "all").carry_last(last=F.col("tie")).frame
+    got = sorted((r.run, r.o, r.tie, r["all"], r["last"]) for r in out.where("k = 'hot'").collect())
+    order = sorted((row[1:3] for row in data if row[0] == "hot"), reverse=descending)
+    assert got == [(i + 1, o, tie, 1209, tie) for i, (o, tie) in enumerate(order)]
+
+
 @pytest.mark.parametrize("max_rows, descending", [(5, False), (5, True)])
 def test_ordered_scan_with_null_nan_and_infinite_order(spark, max_rows, descending):
     odd = [None, float("-inf"), -1e12, 0.5, 3.0, 1e9, float("inf"), float("nan")]
