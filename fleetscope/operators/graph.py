@@ -46,6 +46,25 @@ def reachable_from(graph: Graph, root: str) -> DataFrame:
     return found.select("stem", F.coalesce("status", F.lit(fv.MISSING)).alias("status"), "location")
 
 
+def reachable_subgraph(graph: Graph, root: str) -> Graph:
+    """The part of the graph ``root`` reaches: its nodes, the edges they have, and which of them are missing.
+
+    What a node inside depends on is inside, so an edge belongs when its source does. An unknown
+    root is one MISSING node without edges.
+    """
+    nodes = materialize(reachable_from(graph, root), "reached")
+    edges = graph.edges.join(nodes.select(F.col("stem").alias("src")), "src", "left_semi")
+    return Graph(nodes, edges.select("src", "dst"), nodes.where(F.col("status") == fv.MISSING).select("stem"))
+
+
+def contained_cycles(cycles: DataFrame, part: Graph) -> DataFrame:
+    """Cycles of the whole graph that lie in a part closed under dependencies.
+
+    Such a part holds a cyclic component whole or not at all, so its smallest stem decides.
+    """
+    return cycles.join(part.nodes.select(F.col("stem").alias("scc")), "scc", "left_semi")
+
+
 def visible(graph: Graph, include_shipped: bool = False) -> DataFrame:
     """Stems to show: unfinished ones, all they depend on, and all that depend on them."""
     if include_shipped:

@@ -140,6 +140,31 @@ def graph_reach(t: Tables) -> DataFrame:
     return graph.reachable_from(whole, last)
 
 
+_REACH_SQL = f"""
+{_PARSED_SQL},
+found AS (SELECT max(src) AS stem FROM edges UNION SELECT dst FROM found JOIN edges ON src = found.stem)
+"""
+
+
+def _reached(t: Tables) -> tuple[graph.Graph, graph.Graph]:
+    """(whole graph, what its last source reaches)."""
+    whole = graph.build_graph(_plans(t))
+    return whole, graph.reachable_subgraph(whole, whole.edges.agg(F.max("src")).first()[0])
+
+
+@query("graph_reach_edges", f"WITH RECURSIVE {_REACH_SQL} SELECT src, dst FROM edges WHERE src IN (SELECT stem FROM found)")
+def graph_reach_edges(t: Tables) -> DataFrame:
+    return _reached(t)[1].edges
+
+
+@query(
+    "graph_reach_missing",
+    f"WITH RECURSIVE {_REACH_SQL} SELECT stem FROM found JOIN nodes USING (stem) WHERE status = 'MISSING'",
+)
+def graph_reach_missing(t: Tables) -> DataFrame:
+    return _reached(t)[1].missing
+
+
 _VISIBLE_SQL = f"""
 {_PARSED_SQL},
 anchors AS (SELECT stem FROM nodes WHERE status NOT IN ('SHIPPED', 'SUPERSEDED', 'OBSOLETE')),
@@ -166,21 +191,32 @@ def graph_cyclic(t: Tables) -> DataFrame:
     return components.strongly_connected(graph.build_graph(_plans(t)).edges)
 
 
-@query(
-    "graph_cycles",
-    f"""WITH RECURSIVE {_PARSED_SQL}, {_COMPONENT_SQL},
+_WALK_SQL = f"""
+    {_COMPONENT_SQL},
     inner_edges AS (
       SELECT s.scc, src, dst FROM edges JOIN component s ON s.stem = src JOIN component d ON d.stem = dst AND d.scc = s.scc),
     walk AS (
       SELECT DISTINCT scc, scc AS stem, 0 AS position FROM inner_edges
       UNION SELECT w.scc, e.dst, position + 1 FROM walk w JOIN inner_edges e ON e.scc = w.scc AND e.src = w.stem
         WHERE position = 0 OR w.stem <> w.scc)
-    SELECT scc, CAST(0 AS INTEGER) AS cycle_no, CAST(position AS BIGINT) AS position, stem FROM walk""",
-)
+"""
+_CYCLE_COLUMNS = "scc, CAST(0 AS INTEGER) AS cycle_no, CAST(position AS BIGINT) AS position, stem"
+
+
+@query("graph_cycles", f"WITH RECURSIVE {_PARSED_SQL}, {_WALK_SQL} SELECT {_CYCLE_COLUMNS} FROM walk")
 def graph_cycles(t: Tables) -> DataFrame:
     return components.cycles(graph.build_graph(_plans(t)).edges)
 
 
+@query(
+    "graph_reach_cycles",
+    f"WITH RECURSIVE {_REACH_SQL}, {_WALK_SQL} SELECT {_CYCLE_COLUMNS} FROM walk WHERE scc IN (SELECT stem FROM found)",
+)
+def graph_reach_cycles(t: Tables) -> DataFrame:
+    whole, part = _reached(t)
+    return graph.contained_cycles(components.cycles(whole.edges), part)
+
+
 @query(
     "graph_roots",
     f"""WITH RECURSIVE {_VISIBLE_SQL}, {_COMPONENT_SQL},

@@ -114,6 +114,19 @@ def test_reach(spark, rows):
     assert rows(graph.reachable_from(diamond, "a"), "stem") == [("a",), ("b",), ("c",), ("d",)]
 
 
+def test_reached_part_has_edges_missing_and_whole_cycles(spark, rows):
+    edges = [("a", "b"), ("b", "c"), ("c", "b"), ("c", "gone"), ("up", "a"), ("x", "y"), ("y", "x"), ("x", "b")]
+    whole = make(spark, edges, {"gone": "MISSING", "alone": "DRAFT"})
+    part = graph.reachable_subgraph(whole, "a")
+    assert rows(part.nodes, "stem") == [("a",), ("b",), ("c",), ("gone",)]
+    assert rows(part.edges) == [("a", "b"), ("b", "c"), ("c", "b"), ("c", "gone")] and rows(part.missing) == [("gone",)]
+    found = components.cycles(whole.edges)
+    assert {r.scc for r in found.collect()} == {"b", "x"}
+    assert rows(graph.contained_cycles(found, part), "position", "stem") == [(0, "b"), (1, "c"), (2, "b")]
+    ghost = graph.reachable_subgraph(whole, "nowhere")
+    assert rows(ghost.missing) == [("nowhere",)] and rows(ghost.edges) == [] and rows(graph.contained_cycles(found, ghost)) == []
+
+
 def test_visibility(spark, rows):
     status = {"done": "SHIPPED", "top": "SHIPPED", "mid": "DRAFT", "low": "SHIPPED", "leaf": "OBSOLETE", "far": "SHIPPED"}
     whole = make(spark, [("top", "mid"), ("mid", "low"), ("low", "leaf"), ("top", "far"), ("done", "far")], status)
