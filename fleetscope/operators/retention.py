@@ -85,11 +85,15 @@ def deletable_tags(tags: DataFrame, live: DataFrame, n: int = fv.KEEP_TAGS) -> D
     return tags.join(kept, ["image", "tag"], "left_anti").join(live.select("image_id"), "image_id", "left_anti")
 
 
-def cold_manifest(chunks: DataFrame) -> DataFrame:
-    """One row per session with its object key and size, merged on the map side."""
+def cold_manifest(parts: DataFrame) -> DataFrame:
+    """One row per session with its object key, chunks, size and number of parts; ``parts`` as ``cold_objects`` gives them."""
     return (
-        chunks.groupBy("tenant_id", "session_id")
-        .agg(F.count(F.lit(1)).alias("chunks"), F.sum("size").alias("size_bytes"))
+        parts.groupBy("tenant_id", "session_id")
+        .agg(
+            F.sum("chunks").alias("chunks"),
+            F.sum(F.octet_length("body").cast("bigint")).alias("size_bytes"),
+            F.count(F.lit(1)).alias("parts"),
+        )
         .withColumn("object_key", keys.cold_key(F.col("tenant_id"), F.col("session_id")))
     )
 
@@ -107,6 +111,6 @@ def cold_objects(chunks: DataFrame, part_bytes: int = 8 * 1024 * 1024, max_rows:
     pieces = F.array_sort(F.collect_list(F.struct("seq", F.hex("bytes").alias("hex"))))
     return (
         starts.groupBy("tenant_id", "session_id", "part_no")
-        .agg(F.unhex(F.array_join(pieces["hex"], "")).alias("body"))
+        .agg(F.count(F.lit(1)).alias("chunks"), F.unhex(F.array_join(pieces["hex"], "")).alias("body"))
         .withColumn("object_key", keys.cold_key(F.col("tenant_id"), F.col("session_id")))
     )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fleetscope import fixed_values as fv
 from fleetscope.operators import cache, retention
 from fleetscope.plans.registry import Tables, query, to_duckdb
+from fleetscope.session import scratch_path
+from fleetscope.sources import cold_store
 from fleetscope.sources.readers import bucket_root, with_object_owner
 from fleetscope.streaming import flows, stateful
 
@@ -48,32 +50,45 @@ def tenant_quota_refuse(t: Tables) -> DataFrame:
     return out.select("tenant_id", "session_id", "seq", "action")
 
 
+_PARTS_SQL = f"""
+SELECT *, CAST((sum(size) OVER (PARTITION BY session_id ORDER BY seq) - size) // 1500 AS BIGINT) AS part_no
+FROM ({to_duckdb(CHUNKS)})
+"""
+
+
+def _cold_store(t: Tables) -> str:
+    """All sessions, closed with their last turn, written to a new store."""
+    chunks = t.sql(CHUNKS).withColumns({"bytes": F.col("text").cast("binary"), "closed_at": F.col("ts")}).drop("text")
+    path = scratch_path(t.spark, "cold-store")
+    cold_store.write(chunks, path, part_bytes=1500)
+    return path
+
+
 @query(
     "cold_manifest",
     f"""SELECT tenant_id, session_id, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS size_bytes,
-    'tenant/' || tenant_id || '/session/' || session_id || '.log' AS object_key FROM ({to_duckdb(CHUNKS)}) GROUP BY ALL""",
+    count(DISTINCT part_no) AS parts, 'tenant/' || tenant_id || '/session/' || session_id || '.log' AS object_key
+    FROM ({_PARTS_SQL}) GROUP BY tenant_id, session_id""",
 )
 def cold_manifest(t: Tables) -> DataFrame:
-    return retention.cold_manifest(t.sql(CHUNKS))
+    return cold_store.read_manifest(t.spark, _cold_store(t))
 
 
 @query(
     "cold_objects",
     f"""SELECT session_id, part_no, md5(string_agg(text, '' ORDER BY seq)) AS body_md5,
-      CAST(sum(size) AS BIGINT) AS body_bytes
-    FROM (SELECT *, CAST((sum(size) OVER (PARTITION BY session_id ORDER BY seq) - size) // 1500 AS BIGINT) AS part_no
-      FROM ({to_duckdb(CHUNKS)})) GROUP BY ALL""",
+      CAST(sum(size) AS BIGINT) AS body_bytes FROM ({_PARTS_SQL}) GROUP BY session_id, part_no""",
 )
 def cold_objects(t: Tables) -> DataFrame:
-    chunks = t.sql(CHUNKS).withColumn("bytes", F.col("text").cast("binary")).drop("text")
-    parts = retention.cold_objects(chunks, part_bytes=1500)
+    parts = cold_store.read_objects(t.spark, _cold_store(t))
     size = F.octet_length("body").cast("bigint").alias("body_bytes")
     return parts.select("session_id", "part_no", F.md5("body").alias("body_md5"), size)
 
 
 @query(
     "stream_hot_tail",
-    f"""SELECT session_id, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(size) AS BIGINT) AS bytes_kept FROM (
+    f"""SELECT session_id, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(size) AS BIGINT) AS bytes_kept,
+      md5(string_agg(text, '' ORDER BY seq)) AS tail_md5 FROM (
       SELECT *, sum(size) OVER (PARTITION BY session_id ORDER BY seq DESC) AS so_far FROM ({to_duckdb(CHUNKS)})
       WHERE CAST(session_id AS BIGINT) % 9 <> 8) WHERE so_far <= 3000 GROUP BY session_id""",
 )
@@ -84,9 +99,11 @@ def stream_hot_tail(t: Tables) -> DataFrame:
         F.col("conv_id").cast("string").alias("session_id"),
         F.col("turn").alias("seq"),
         F.octet_length("text").cast("bigint").alias("size"),
+        F.col("text").cast("binary").alias("body"),
         (F.col("conv_id") % 9 == 8).alias("closed"),
     )
-    return flows.run_available(stateful.hot_tail(chunks, 3000), "hot-tail")
+    out = flows.run_available(stateful.hot_tail(chunks, 3000), "hot-tail")
+    return out.withColumn("tail_md5", F.md5("tail")).drop("tail")
 
 
 #: An object inventory told from events.

@@ -1,12 +1,10 @@
-"""Sinks. All write distributed tables; nothing is gathered on the driver."""
+"""Sinks. All write distributed tables; nothing is gathered on the driver. Cold objects: ``cold_store``."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from fleetscope.operators import metrics, retention
+from fleetscope.operators import metrics
 from fleetscope.operators.graph import Graph, ordered_graph
 
 
@@ -31,27 +29,6 @@ def write_exposition(rows: DataFrame, path: str) -> None:
     ordered.select("owner", "line_no", "line").write.parquet(path)
 
 
-def write_cold_objects(chunks: DataFrame, path: str, **sizes: int) -> None:
-    """Append the bodies of closed sessions not yet at ``path``; a written session is never touched.
-
-    What is there is looked up before writing: one writer per path, as two at a time could both append a session.
-    ``chunks``: tenant_id, session_id, seq, bytes, closed_at. Rows are spread by
-    range, so a busy tenant is written by many tasks and a quiet one by few.
-    """
-    closed = chunks.where(F.col("closed_at").isNotNull())
-    try:
-        present = chunks.sparkSession.read.parquet(path).select("tenant_id", "session_id").distinct()
-        present = present.select(F.col("tenant_id").cast("string").alias("tenant_id"), "session_id")
-        closed = closed.join(present, ["tenant_id", "session_id"], "left_anti")
-    except AnalysisException as problem:
-        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    bodies = retention.cold_objects(closed, **sizes)
-    bodies.repartitionByRange("tenant_id", "session_id", "part_no").write.mode("append").partitionBy(
-        "tenant_id"
-    ).parquet(path)
-
-
 def write_alarm_actions(transitions: DataFrame, path: str) -> None:
     """Append the notifications that are due."""
     metrics.alarm_actions(transitions).write.mode("append").parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetscope import fixed_values as fv
 from fleetscope.functions import counter_rules
 from fleetscope.operators import cache, retention, vectors, verify
-from fleetscope.sources import readers, writers
+from fleetscope.sources import cold_store, readers, writers
 
 T0 = datetime(2024, 1, 1)
 
@@ -86,17 +86,35 @@ def test_cold_objects_are_whole_and_written_once(spark, tmp_path, max_rows):
     schema = "tenant_id string, session_id string, seq long, bytes binary, closed_at timestamp"
     path = str(tmp_path / "cold")
     chunks = spark.createDataFrame(data, schema)
-    writers.write_cold_objects(chunks, path, part_bytes=64, max_rows=max_rows)
+    assert cold_store.read_objects(spark, path).collect() == [] and cold_store.write(chunks, path, part_bytes=64, max_rows=max_rows) == 3
     late = spark.createDataFrame([("t1", "s2", 9, b"late", T0), ("t3", "new", 0, b"new", T0)], schema)
-    writers.write_cold_objects(late, path, part_bytes=64)
+    assert cold_store.write(late, path, part_bytes=64) == 1
     got = {}
-    for r in spark.read.parquet(path).orderBy("part_no").collect():
+    for r in cold_store.read_objects(spark, path).orderBy("part_no").collect():
         got.setdefault((r.tenant_id, r.session_id), []).append(bytes(r.body))
         assert len(r.body) < 64 + 30 and r.object_key == f"tenant/{r.tenant_id}/session/{r.session_id}.log"
     want = {key: b"".join(row[3] for row in sorted(data, key=lambda r: r[2]) if row[:2] == key) for key in bodies}
     assert {k: b"".join(v) for k, v in got.items()} == want | {("t3", "new"): b"new"}
-    manifest = retention.cold_manifest(chunks.withColumn("size", F.octet_length("bytes")))
-    assert {(r.tenant_id, r.session_id): r.chunks for r in manifest.collect()}[("t1", "s1")] == 40
+    manifest = {(r.tenant_id, r.session_id): r for r in cold_store.read_manifest(spark, path).collect()}
+    assert manifest["t1", "s1"].chunks == 40 and set(manifest) == set(got)
+    assert all(r.parts == len(got[k]) and r.size_bytes == sum(map(len, got[k])) for k, r in manifest.items())
+
+
+def test_cold_objects_of_two_writers_at_once(spark, tmp_path):
+    """Both stage before either commits: each session comes from the one that commits first, with all its parts."""
+    path, schema = str(tmp_path / "cold"), "tenant_id string, session_id string, seq long, bytes binary, closed_at timestamp"
+    rows = lambda names, byte: spark.createDataFrame([("t", n, i, byte * 10, T0) for n in names for i in range(3)], schema)
+    first, second = (cold_store.stage(rows(n, b), path, part_bytes=15) for n, b in (("ab", b"1"), ("bc", b"2")))
+    lost = cold_store.stage(rows("d", b"3"), path)  # its writer dies
+    assert cold_store.read_manifest(spark, path).collect() == []
+    assert cold_store.commit(spark, path, second) == 2 and cold_store.commit(spark, path, first) == 1
+    assert cold_store.commit(spark, path, first) == 0 and cold_store.commit(spark, path, second) == 0
+    objects = {}
+    for r in cold_store.read_objects(spark, path).orderBy("part_no").collect():
+        objects[r.session_id] = objects.get(r.session_id, b"") + bytes(r.body)
+    assert objects == {"a": b"1" * 30, "b": b"2" * 30, "c": b"2" * 30}
+    assert {r.session_id: r.parts for r in cold_store.read_manifest(spark, path).collect()} == {"a": 2, "b": 2, "c": 2}
+    assert not cold_store._put_record(spark, path, 1, lost) and cold_store._put_record(spark, path, 2, f"{lost}-2")
 
 
 DOCS = {
