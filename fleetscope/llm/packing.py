@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.llm.shared import share
 from fleetscope.llm.tokens import Encoder
 from fleetscope.llm.words import by_bytes
 from fleetscope.session import materialize, write_step
@@ -29,6 +30,8 @@ CAPACITY = 1024
 END = 2
 #: Documents that meet in one group.
 GROUP = 16_384
+#: The search in a group ends when so many of its emptiest bins in a row cannot be improved.
+PATIENCE = 24
 #: Bytes of text that are tokenised at once, about.
 SLICE = 6 << 20
 
@@ -39,7 +42,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
     Of a cut document the first piece holds what is over, all others are whole.
     """
     with open(tokenizer, encoding="utf-8") as file:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())  # a file of a few MB
+        vocabulary = share(docs.sparkSession, file.read())  # a file of a few MB
 
     def cut(batches):
         encoder = Encoder(vocabulary.value)
@@ -117,7 +120,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
         if len(open_bins) < 2 or len(open_bins) == -(-int(fill[open_bins].sum()) // capacity):
             return bins
         from_ = min((int(b) for b in open_bins if int(b) not in stuck), key=lambda b: (fill[b], b), default=None)
-        if from_ is None:
+        if from_ is None or len(stuck) >= PATIENCE:
             return bins
         is_open = np.zeros(len(fill), bool)
         is_open[open_bins] = True
@@ -139,7 +142,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
 
 
 def _best_change(lengths, bins, fill, items, from_, capacity):
-    """(items out, items in, other bin): what raises the other bin most, or None if nothing raises the squares."""
+    """(items out, items in, other bin): a move, else the exchange of the kind tried first that raises the squares most, or None."""
     own = items[bins[items] == from_]
     own = own[np.unique(lengths[own], return_index=True)[1]][::-1]  # one of each length, the longest first
     others = items[bins[items] != from_]
@@ -162,17 +165,19 @@ def _best_change(lengths, bins, fill, items, from_, capacity):
     for item in own:
         d = lengths[item] - lengths[others]
         better(d * (over + d), (d > 0) & (d <= room), [item], lambda at: [others[at]])
-    mine = items[bins[items] == from_]
-    first, second = _pairs_within(bins[mine], lengths[mine])
-    for a, b in zip(mine[first], mine[second]):
-        d = lengths[a] + lengths[b] - lengths[others]
-        better(d * (over + d), (d > 0) & (d <= room), [a, b], lambda at: [others[at]])
-    first, second = _pairs_within(bins[others], lengths[others])
-    if len(first):
-        both, pair_room, pair_over = lengths[others[first]] + lengths[others[second]], room[first], over[first]
-        for item in own:
-            d = lengths[item] - both
-            better(d * (pair_over + d), (d > 0) & (d <= pair_room), [item], lambda at: [others[first[at]], others[second[at]]])
+    if found is None:
+        mine = items[bins[items] == from_]
+        first, second = _pairs_within(bins[mine], lengths[mine])
+        for a, b in zip(mine[first], mine[second]):
+            d = lengths[a] + lengths[b] - lengths[others]
+            better(d * (over + d), (d > 0) & (d <= room), [a, b], lambda at: [others[at]])
+    if found is None:
+        first, second = _pairs_within(bins[others], lengths[others])
+        if len(first):
+            both, pair_room, pair_over = lengths[others[first]] + lengths[others[second]], room[first], over[first]
+            for item in own:
+                d = lengths[item] - both
+                better(d * (pair_over + d), (d > 0) & (d <= pair_room), [item], lambda at: [others[first[at]], others[second[at]]])
     if found is None:
         return None
     out, in_ = (np.array(x, np.int64) for x in found)

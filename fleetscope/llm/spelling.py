@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,19 +60,22 @@ def word_counts(words: DataFrame, min_length: int, min_count: int) -> DataFrame:
 def _prefixes(batches):
     """(number, at, node, next) of every prefix in the second half of every word; the whole word has no next character."""
     for batch in batches:
-        columns = [[], [], [], []]
-        for number, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            points = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
-            powers = np.multiply.accumulate(np.full(len(points), _BASE, np.uint64))
-            nodes = np.zeros(len(points) + 1, np.uint64)
-            np.cumsum(mix(points + np.uint64(1)) * powers, out=nodes[1:])
-            first = (len(points) - 1) // 2  # where words that are longer by one begin to look
-            at = np.arange(first, len(nodes), dtype=np.int32)
-            following = np.append(points[first:], 0).astype(np.int32)
-            for column, values in zip(columns, (np.full(len(at), number, np.int64), at, nodes[first:].view(np.int64), following)):
-                column.append(values)
-        if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["number", "at", "node", "next"])
+        if not batch.num_rows:
+            continue
+        points = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32)
+        sizes = pc.utf8_length(batch.column(1)).to_numpy().astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        powers = np.multiply.accumulate(np.full(int(sizes.max()), _BASE, np.uint64))
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(points)) - np.repeat(starts, sizes)], out=total[1:])
+        first = (sizes - 1) // 2  # where words that are longer by one begin to look
+        count = sizes - first + 1
+        row = np.repeat(np.arange(len(sizes)), count)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+        node = mix(total[starts[row] + at] - total[starts[row]])
+        following = np.where(at < sizes[row], np.append(points, 0)[starts[row] + at], 0)
+        columns = [batch.column(0).to_numpy()[row], at.astype(np.int32), node.view(np.int64), following.astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["number", "at", "node", "next"])
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,11 +1,10 @@
 """Tokens of a byte-level BPE tokenizer for whole Arrow columns, each distinct stretch of text encoded once.
 
 Byte-level pre-tokens never cross certain places, whatever stands around them: before a single
-blank between two characters that are no white space, before a line feed after such a character
-and after the last line feed before one, and between a letter and a following mark of ASCII.
-A text cut there gives the tokens of its parts. So texts are cut at blanks by Arrow, the distinct
-parts are cut further and encoded by the tokenizer, and the tokens are put together by numpy.
-Texts with any other blank or with white space at an end, and parts that could hold a special
+blank between two characters that are no white space, before line feeds after such a character
+and after line feeds before one, and between a letter and a following mark of ASCII. A text cut
+there gives the tokens of its parts. So Arrow cuts the texts, the tokenizer encodes each distinct
+part, and numpy puts the tokens together. Texts with any other white space, or that hold a special
 token, are encoded as they are.
 """
 
@@ -22,10 +21,12 @@ import pyarrow.compute as pc
 
 #: Encoded parts that are remembered between slices.
 KNOWN = 300_000
-#: A part may end and begin with these: letters, digits and marks, no white space by any definition.
-_SOLID = r"[!-~\p{L}\p{N}]"
+#: Put where a text is cut; texts that have it are encoded as they are.
+_CUT = "\x01"
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
-_ATOM = re.compile(rf"\n+|(?:(?![{_LETTER}][{_MARK}])[^\n])+[^\n]?|[^\n]")
+#: Letters, digits and marks, no white space by any definition.
+_SOLID = r"[!-~\p{L}\p{N}]"
+_GOOD = rf"\A(?: ?{_SOLID}(?:[^\s\p{{Z}}\p{{C}}]*{_SOLID})?|\n+)?\z"
 
 
 class Encoder:
@@ -38,79 +39,65 @@ class Encoder:
         self._model = Tokenizer.from_str(vocabulary)
         self._feed = self._whole("\n")
         special = [re.escape(t.content) for t in self._model.get_added_tokens_decoder().values()]
-        self._whole_only = re.compile("|".join([r"[^\S\n ]", *special])).search
+        self._whole_only = "|".join([_CUT, *special])
         self._known: dict[str, tuple] = {}
 
     def _whole(self, text: str) -> tuple:
         return tuple(self._model.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
-    def _learn(self, plain: list[str], others: list[str]) -> None:
-        """Plain parts, without inner white space, are encoded together, with line feeds between them."""
-        ids = self._whole("\n".join(plain))
+    def _learn(self, parts: list[str]) -> None:
+        """Parts have no white space but a blank before them, or are line feeds; the former are encoded together, a line each."""
+        words = [part for part in parts if part[0] != "\n"]
+        ids = self._whole("\n".join(words))
         bounds = [-1, *[i for i, token in enumerate(ids) if token == self._feed[0]], len(ids)]
-        if len(self._feed) == 1 and len(bounds) == len(plain) + 1:
-            self._known.update((a, ids[p + 1 : q]) for a, p, q in zip(plain, bounds, bounds[1:]))
-        else:
-            others = plain + others
-        for part in others:
-            # line feeds stand before something solid, which decides how they are cut
-            self._known[part] = self._whole(part) if part.strip("\n") else self._whole(part + "x")[:-1]
-
-    def _tokens_of(self, parts: list[str], lettered: list[bool]) -> list[tuple]:
-        """The tokens of every part; ``lettered`` parts are letters and digits, with a blank before them or none."""
-        known = self._known
-        if len(known) > KNOWN:
-            known.clear()
-        known[""] = ()
-        cut = [part if plain else self._cut(part) for part, plain in zip(parts, lettered)]
-        plain = {part for part, plain in zip(parts, lettered) if plain and part not in known}
-        others = set()
-        for part in itertools.chain.from_iterable(x for x in cut if type(x) is list):
-            if part not in known and part not in plain:
-                (plain if len(part.split()) == 1 and part.lstrip(" ") == part.strip() and part[:2] != "  " and not self._whole_only(part) else others).add(part)
-        self._learn(list(plain), list(others))
-        get = known.__getitem__
-        return [get(x) if type(x) is str else tuple(itertools.chain.from_iterable(map(get, x))) for x in cut]
-
-    def _cut(self, part: str) -> list[str]:
-        return [part] if self._whole_only(part) else _ATOM.findall(part)
+        together = len(self._feed) == 1 and len(bounds) == len(words) + 1
+        if together:
+            self._known.update((a, ids[p + 1 : q]) for a, p, q in zip(words, bounds, bounds[1:]))
+        for part in parts:
+            if part[0] == "\n":  # something solid follows, which decides how line feeds are cut
+                self._known[part] = self._whole(part + "x")[:-1]
+            elif not together:
+                self._known[part] = self._whole(part)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all rows one after another, number of tokens of every row); null counts as empty."""
         texts = pc.fill_null(column.cast(pa.large_string()), "")
-        words = pc.split_pattern(texts, " ")
-        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
-        coded = words.flatten().dictionary_encode()
-        number, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()  # 32 bits are enough for a slice
-        leads = np.zeros(len(number), bool)
-        leads[bounds[:-1]] = True  # a row has one word at least, the empty one
-        fits = lambda pattern: pc.match_substring_regex(coded.dictionary, pattern).to_numpy(zero_copy_only=False)
-        begins, ends, lettered = fits(rf"\A{_SOLID}"), fits(rf"{_SOLID}\z"), fits(rf"\A[0-9{_LETTER}]+\z")
-        joint = leads.copy()
-        joint[1:] |= ends[number[:-1]] & begins[number[1:]]
-        edges = begins[number[bounds[:-1]]] & ends[number[bounds[1:] - 1]]
-        edges |= pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        odd = np.flatnonzero(np.add.reduceat(~joint, bounds[:-1], dtype=np.int64) + ~edges) if len(number) else []
-        code = 2 * number + ~leads
-        used = np.zeros(2 * len(distinct), bool)
-        used[code] = True
-        present = np.flatnonzero(used)
-        parts = [" " + distinct[c >> 1] if c & 1 else distinct[c >> 1] for c in present.tolist()]
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cut = pc.replace_substring_regex(texts, f"([{_LETTER}])([{_MARK}])", rf"\1{_CUT}\2")
+        cut = pc.replace_substring_regex(pc.replace_substring(cut, " ", f"{_CUT} "), r"\n+", rf"{_CUT}\0{_CUT}")
+        parts = pc.split_pattern(cut, _CUT)
+        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        number, distinct = coded.indices.to_numpy(), coded.dictionary  # 32 bits are enough for a slice
+        holds = lambda pattern: pc.match_substring_regex(distinct, pattern).to_numpy(zero_copy_only=False)
+        good, feeds, blank = holds(_GOOD), holds(r"\A\n"), holds(r"\A(?: |\z)")
+        bad = ~good[number]
+        # line feeds are cut by what follows: a text's end or a blank would be another matter
+        follows = np.append(blank[number[1:]], True)
+        follows[bounds[1:] - 1] = True
+        bad |= feeds[number] & follows
+        odd = np.add.reduceat(bad, bounds[:-1], dtype=np.int64) > 0
+        odd |= pc.match_substring_regex(texts, self._whole_only).to_numpy(zero_copy_only=False)
         collecting = gc.isenabled()
         gc.disable()  # very many small tuples, none of them in a cycle
-        found = self._tokens_of(parts, lettered[present >> 1].tolist())
+        if len(self._known) > KNOWN:
+            self._known.clear()
+        words = [word if fine else "" for word, fine in zip(distinct.to_pylist(), good.tolist())]
+        self._known[""] = ()
+        self._learn([word for word in words if word not in self._known])
+        found = [self._known[word] for word in words]
         if collecting:
             gc.enable()
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        place = (np.cumsum(used, dtype=np.int32) - 1)[code]
-        lengths = sizes[place]
+        lengths = sizes[number]
         total = np.cumsum(lengths)
-        at = np.repeat((np.cumsum(sizes) - sizes)[place] - (total - lengths), lengths)
+        at = np.repeat((np.cumsum(sizes) - sizes)[number] - (total - lengths), lengths)
         at += np.arange(len(at))
         ids = flat[at]
         counts = np.diff(np.append(0, total)[bounds])
-        return self._with_whole(texts, odd, ids, counts) if len(odd) else (ids, counts)
+        return self._with_whole(texts, np.flatnonzero(odd), ids, counts) if odd.any() else (ids, counts)
 
     def _with_whole(self, texts, odd, ids, counts):
         rows = np.split(ids, np.cumsum(counts)[:-1])
