@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetscope.llm.components import connected_components
+from fleetscope.llm.shared import share
 from fleetscope.llm.words import by_bytes, mix, shingle_hashes, word_hashes
 from fleetscope.session import broadcast_if_small, materialize
 
@@ -96,7 +97,7 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """
     frequent = frequent_shingles(docs, size)
     order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64)))
+    shared = share(docs.sparkSession, (frequent[order], order.astype(np.uint64)))
 
     def profile(batches):
         names = ["id", "n", "digest", "first", "others", "bits", "wide"]

@@ -9,6 +9,7 @@ positives, decide.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetscope.llm.shared import share_model
 from fleetscope.llm.words import by_bytes, mix
 
 SIZES = (3, 4, 5)
@@ -174,11 +176,11 @@ def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> D
     """
     rest = docs.drop("lang_pred", "score")
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share_model(docs.sparkSession, model)
     known = bool(model.langs)
 
     def run(batches):
-        own = shared.value
+        own = pickle.loads(shared.value)
         for batch in (part for whole in batches for part in by_bytes(whole, at, HELD)):
             letters = batch.column(batch.num_columns - 1).to_pylist()
             best, share = own.score(batch.column(at).to_pylist()) if known else ([0] * len(letters), [0.0] * len(letters))
@@ -191,4 +193,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> D
 
     at = rest.columns.index(text_col)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return rest.withColumn("_letters", has_letter).mapInArrow(run, T.StructType([*rest.schema, *added]))
+    flag = "_letters"
+    while flag in rest.columns:
+        flag += "_"
+    return rest.withColumn(flag, has_letter).mapInArrow(run, T.StructType([*rest.schema, *added]))

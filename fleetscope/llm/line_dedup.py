@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetscope.llm.cuckoo import SLOTS, CuckooFilter, buckets_for
-from fleetscope.llm.words import WHITE
+from fleetscope.llm.shared import share
+from fleetscope.llm.words import WHITE, by_bytes
 from fleetscope.session import materialize
 
 _WHITE = WHITE.encode()
@@ -32,6 +33,8 @@ HELD_KEYS = 200_000
 SHARD_KEYS = 500_000
 #: Bytes of filters and dropped keys that may be broadcast; beyond it lines are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of text whose lines a task holds at once; a longer text is alone.
+HELD = 4 << 20
 _FILTER = "shard int, buckets bigint, fingerprints binary, stash binary"
 
 
@@ -166,14 +169,14 @@ class LineIndex:
         shards = self.shards
         filters = {r["shard"]: (r["buckets"], bytes(r["fingerprints"]), bytes(r["stash"])) for r in self.filters.collect()}
         exact = {bytes(r["key"]) for r in held.collect()}
-        shared = self.spark.sparkContext.broadcast((filters, exact))
+        shared = share(self.spark, (filters, exact))
         rest, schema = self._schema(docs)
         at = rest.columns.index(text_col)
 
         def clean(batches):
             packed, exact = shared.value
             made = {shard: CuckooFilter(*parts) for shard, parts in packed.items()}
-            for batch in batches:
+            for batch in (part for whole in batches for part in by_bytes(whole, at, HELD)):
                 values = batch.column(at).to_pylist()
                 split = [(value or "").encode().split(b"\n") for value in values]
                 hit = _gone([line for lines in split for line in lines], made, exact, shards)
@@ -235,7 +238,7 @@ def _gone(lines: list[bytes], filters: dict, exact: set, shards: int) -> np.ndar
 
 def _exploded(rows: DataFrame, text_col: str) -> DataFrame:
     def split(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1, HELD)):
             out = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for pos, line in enumerate((text.as_py() or "").split("\n")):

@@ -14,6 +14,7 @@ their totals are added up from the shards' parts.
 from __future__ import annotations
 
 import os
+import pickle
 import uuid
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetscope.llm.shared import share_model
 from fleetscope.llm.words import by_bytes, join_hashes, word_hashes
 from fleetscope.session import materialize, scratch_path
 
@@ -363,10 +365,10 @@ def score(docs: DataFrame, model: NgramModel, text_col: str = "text") -> DataFra
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = docs.drop(*added)
     at = rest.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share_model(docs.sparkSession, model)
 
     def run(batches):
-        own = shared.value
+        own = pickle.loads(shared.value)
         for batch in (part for whole in batches for part in by_bytes(whole, at)):
             tokens, counts = tokens_of(batch.column(at))
             p, count = own.log10(tokens, counts)

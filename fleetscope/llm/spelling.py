@@ -82,7 +82,8 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, begins, ends) of words(number, word): the folded trie, where each word begins to walk, and where it ends.
 
     edges: node, label, child, ``ends`` if a word ends at the child, ``copies`` and ``child_copies``,
-    how often the edges of either node are copied (0: it has none). begins: number, pos, node, copies, ends.
+    how often the edges of either node are copied (0: it has none), ``nexts``, the characters with
+    which the edges of the child begin. begins: number, pos, node, copies, ends.
     """
     steps = words.select("number", "word").mapInArrow(_prefixes, "number bigint, at int, node bigint, next int")
     steps = materialize(steps, "trie-steps")
@@ -108,6 +109,9 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("from_node").alias("node"), label.alias("label"), F.col("node").alias("child"), "ends",
         F.col("from_copies").alias("copies"), F.col("copies").alias("child_copies"),
     )
+    edges = materialize(edges, "trie-edges")
+    ahead = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("nexts"))
+    edges = edges.join(ahead, "child", "left").withColumn("nexts", F.coalesce("nexts", F.lit("")))
     half = way.join(words.select("number", F.floor(F.length("word") / 2).alias("half")), "number").where("at >= half")
     begins = half.groupBy("number").agg(F.min_by(F.struct(F.col("at").alias("pos"), "node", "copies", "ends"), "at").alias("b"))
     ends = steps.where("next = 0").select(F.col("number").alias("near"), "node")
@@ -118,7 +122,7 @@ def _keyed(edges: DataFrame) -> DataFrame:
     """Every edge under its node alone, for words without an edit, and under node and first character, for the others."""
     keys = F.explode(F.array(F.lit(""), F.substring("label", 1, 1))).alias("key")
     copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
-    return edges.select("*", keys).select("node", "key", copy, "label", "child", "ends", "child_copies")
+    return edges.select("*", keys).select("node", "key", copy, "label", "child", "ends", "child_copies", "nexts")
 
 
 def _advance(states: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -141,8 +145,9 @@ def _advance(states: DataFrame, keyed: DataFrame) -> DataFrame:
     moved = joined.withColumn("move", F.explode(F.array_compact(moves)))
     left = F.length("word") - F.col("move.pos")
     found = F.col("ends") & (left == 1 - F.col("move.edits"))  # a word without an edit may lack its last character
-    # there is nothing to leave a way for, or to replace, where a word is used up
-    lives = (F.col("child_copies") > 0) & (left > 0)
+    # a word that is used up has nothing to replace or leave out, and one with an edit needs an edge that fits
+    fitting = F.instr("nexts", F.substring("word", F.col("move.pos") + 1, F.lit(1))) > 0
+    lives = (F.col("child_copies") > 0) & (left > 0) & ((F.col("move.edits") == 0) | fitting)
     return moved.select(
         "number", "word", F.col("move.pos").alias("pos"), F.col("child").alias("node"),
         F.col("move.edits").alias("edits"), F.when(lives, F.col("child_copies")).otherwise(0).alias("copies"), found.alias("found"),
