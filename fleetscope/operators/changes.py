@@ -79,7 +79,8 @@ def scrub_payload(records: DataFrame, coverage: DataFrame, batch_rows: int = fv.
     """
     public = [c for c in records.columns if not c.startswith("_")]
     order = ["run_id", *[c for c in public if c != "run_id"]]
-    dealt = records.select(*public).repartitionByRange(*order).sortWithinPartitions(*order)
+    records = materialize(records.select(*public), "records")  # ranges are found by reading the records once more
+    dealt = records.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "records")
     part = F.shiftrightunsigned("_at", 33)
     counts = dealt.groupBy("run_id", part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))

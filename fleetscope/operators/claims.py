@@ -126,13 +126,17 @@ def guard_decision(calls: DataFrame) -> DataFrame:
 
 def guard_decision_counts(lines: DataFrame) -> DataFrame:
     """Decisions and reasons counted from ``<ts> pid=<n> <DECISION> reason=…`` log lines."""
-    pattern = r'^\S+ pid=\d+ (ALLOW|WARN|BLOCK) reason=("[^"]*"|\S+)'
+    pattern = r'^\S+ pid=\d+ ((?:ALLOW|WARN|BLOCK) reason=(?:"[^"]*"|\S+))'
+    found = lines.select(F.regexp_extract("message", pattern, 1).alias("_found")).where(F.col("_found") != "")
+    at = F.instr("_found", " reason=")
     return (
-        lines.select(
-            F.regexp_extract("message", pattern, 1).alias("decision"),
-            F.regexp_replace(F.regexp_extract("message", pattern, 2), '"', "").alias("reason"),
+        found.groupBy("_found")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(
+            F.substring("_found", F.lit(1), at - 1).alias("decision"),
+            F.replace(F.substring("_found", at + len(" reason="), F.length("_found")), F.lit('"'), F.lit("")).alias("reason"),
+            "_n",
         )
-        .where(F.col("decision") != "")
         .groupBy("decision", "reason")
-        .agg(F.count(F.lit(1)).alias("fires"))
+        .agg(F.sum("_n").alias("fires"))
     )

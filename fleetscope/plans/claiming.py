@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.functions import keys
 from fleetscope.operators import claims, identity
 from fleetscope.plans.registry import EVENT_SCHEMA, Tables, query, to_duckdb
 from fleetscope.sources.readers import attribute_map
@@ -45,7 +46,8 @@ def _files(t: Tables) -> DataFrame:
 
 
 def _conflicts(t: Tables) -> DataFrame:
-    return claims.exclude_self(claims.claims_on_files(_files(t), t.sql(CLAIMS)), F.lit("m7"))
+    local = keys.local_identity(F.lit(""), F.lit("m7"))  # a machine without a device id
+    return claims.exclude_self(claims.claims_on_files(_files(t), t.sql(CLAIMS)), local)
 
 
 @query("scope_files", f"WITH {_SCOPED_SQL} SELECT repo, rel_file FROM files")

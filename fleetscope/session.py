@@ -71,6 +71,11 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_step(df: DataFrame, label: str = "step") -> str:
     """Write ``df`` to the scratch folder and return where."""
     path = scratch_path(df.sparkSession, label)

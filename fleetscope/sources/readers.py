@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.functions import keys
@@ -53,6 +53,14 @@ def scan_plan_docs(spark: SparkSession, active: str, archive: str | None = None)
         return docs
 
 
+def _parsed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """(run_id, _odd, _list of each document, why it cannot be read)."""
+    read = F.from_json("doc", CHANGE_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
+    parsed = docs.select("run_id", read.alias("_d"), (F.trim(F.coalesce("doc", F.lit(""))) == "").alias("_blank"))
+    parsed = parsed.select("run_id", "_blank", F.col("_d._bad").isNotNull().alias("_odd"), F.col("_d.resource_changes").alias("_list"))
+    return parsed, F.when(F.col("_blank") | (F.col("_odd") & F.col("_list").isNull()), F.lit("unreadable document"))
+
+
 def read_changes(docs: DataFrame) -> DataFrame:
     """A row per change of ``docs`` (run_id, doc STRING holding JSON), and one for a run without changes.
 
@@ -61,10 +69,7 @@ def read_changes(docs: DataFrame) -> DataFrame:
     actions NULL. A missing type is ``unknown``. Actions that are no list of names
     become ``UNREADABLE``. The document is parsed once.
     """
-    read = F.from_json("doc", CHANGE_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
-    parsed = docs.select("run_id", read.alias("_d"), (F.trim(F.coalesce("doc", F.lit(""))) == "").alias("_blank"))
-    parsed = parsed.select("run_id", "_blank", F.col("_d._bad").isNotNull().alias("_odd"), F.col("_d.resource_changes").alias("_list"))
-    error = F.when(F.col("_blank") | (F.col("_odd") & F.col("_list").isNull()), F.lit("unreadable document"))
+    parsed, error = _parsed(docs)
     # the outer form, because a plain explode makes Spark infer a filter that parses the document again
     listed = parsed.select("run_id", error.alias("error"), "_odd", F.explode_outer("_list").alias("_c"))
     one = F.col("_c.change")
@@ -83,8 +88,10 @@ def read_changes(docs: DataFrame) -> DataFrame:
 
 def explode_changes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changes, errors) of ``docs``; errors has run_id and error for each document that cannot be read."""
-    rows = read_changes(docs)
-    return rows.where(F.col("actions").isNotNull()).drop("error"), rows.where(F.col("error").isNotNull()).select("run_id", "error")
+    parsed, error = _parsed(docs)
+    # a filter on the column itself would be pushed down and parse the document again
+    errors = parsed.select("run_id", F.explode_outer(F.array(error)).alias("error")).where(F.col("error").isNotNull())
+    return read_changes(docs).where(F.col("actions").isNotNull()).drop("error"), errors
 
 
 def scan_change_docs(spark: SparkSession, path: str) -> DataFrame:

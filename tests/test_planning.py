@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fleetscope.functions import text_rules as rules
-from fleetscope.operators import components, dependencies, graph
+from fleetscope.operators import components, dependencies, frontier, graph
 from fleetscope.sources import readers, writers
 
 A, B, C = "2026-01-01-a", "2026-01-02-b", "2026-01-03-c-d9"
@@ -114,6 +114,30 @@ def test_reach(spark, rows):
     assert rows(graph.reachable_from(diamond, "a"), "stem") == [("a",), ("b",), ("c",), ("d",)]
 
 
+def test_a_long_chain_reads_few_known_nodes(spark):
+    """The known nodes a chain of n reads grow with n log n, not with its square, and no node is lost or met twice."""
+    n = 150
+    known = frontier.Visited(spark, spark.createDataFrame([], "stem string").schema, bucket_rows=4)
+    for i in range(n):
+        ahead = spark.createDataFrame([(f"s{i}",), (f"s{max(0, i - 40)}",)], "stem string").distinct()
+        assert [r.stem for r in known.add(ahead).collect()] == [f"s{i}"]
+    assert sorted(r.stem for r in known.all().collect()) == sorted(f"s{i}" for i in range(n))
+    assert known.rows_read < 25 * n and sum(map(len, known._levels)) <= 3 * known.RUNS
+
+
+def test_closure_over_buckets(spark):
+    random.seed(8)
+    edges = sorted({(f"n{random.randrange(60)}", f"n{random.randrange(60)}") for _ in range(90)})
+    seen, ahead = {"n1"}, {"n1"}
+    while ahead:
+        ahead = {d for s, d in edges if s in ahead} - seen
+        seen |= ahead
+    table = spark.createDataFrame(edges, "src string, dst string")
+    found = frontier.closure(table, spark.createDataFrame([("n1",)], "stem string"), bucket_rows=3)
+    assert sorted(r.stem for r in found.collect()) == sorted(seen) and len(seen) > 20
+    assert frontier.closure(table, spark.createDataFrame([], "stem string")).collect() == []
+
+
 def test_reached_part_has_edges_missing_and_whole_cycles(spark, rows):
     edges = [("a", "b"), ("b", "c"), ("c", "b"), ("c", "gone"), ("up", "a"), ("x", "y"), ("y", "x"), ("x", "b")]
     whole = make(spark, edges, {"gone": "MISSING", "alone": "DRAFT"})
