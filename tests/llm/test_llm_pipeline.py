@@ -4,6 +4,7 @@ from fleetscope.llm import queries
 from fleetscope.llm.words import WHITE
 
 import oracle
+from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,6 +39,18 @@ def test_stages_against_plain_versions(spark):
         assert stage.dtypes == docs.dtypes
 
 
+def test_stages_keep_columns_of_any_name_and_empty_tables(spark):
+    names = ["_row", "_letters", "_key", "score", "n_lines", "lang_pred", "leak", "_gone", "_kept", "key", "node"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(40)
+    wide = docs.withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, wide, FOLDER)
+        assert kept.dtypes == wide.dtypes
+        assert all(r[name] == f"{name}{r.doc_id}" for r in kept.collect() for name in names)
+        assert stage(spark, wide.limit(0), FOLDER).collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, wide.limit(0), FOLDER).collect() == []
+
+
 def test_near_duplicates_are_five_words_and_four_fifths(spark):
     words = [f"w{i}" for i in range(104)]
     rows = [(1, " ".join(words))]
