@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fleetscope import fixed_values as fv
 from fleetscope.operators import components, dependencies, graph
 from fleetscope.plans.registry import Tables, query, to_duckdb
+from fleetscope.session import materialize
 
 PLAN_DOCS = """
 SELECT stem, '# Item' || chr(10) || chr(10) || CASE WHEN doc_id % 13 = 5 THEN '' ELSE
@@ -146,15 +147,15 @@ found AS (SELECT max(src) AS stem FROM edges UNION SELECT dst FROM found JOIN ed
 """
 
 
-def _reached(t: Tables) -> tuple[graph.Graph, graph.Graph]:
-    """(whole graph, what its last source reaches)."""
+def _reached(t: Tables) -> graph.Graph:
+    """What the last source of the graph reaches."""
     whole = graph.build_graph(_plans(t))
-    return whole, graph.reachable_subgraph(whole, whole.edges.agg(F.max("src")).first()[0])
+    return graph.reachable_subgraph(whole, whole.edges.agg(F.max("src")).first()[0])
 
 
 @query("graph_reach_edges", f"WITH RECURSIVE {_REACH_SQL} SELECT src, dst FROM edges WHERE src IN (SELECT stem FROM found)")
 def graph_reach_edges(t: Tables) -> DataFrame:
-    return _reached(t)[1].edges
+    return _reached(t).edges
 
 
 @query(
@@ -162,7 +163,7 @@ def graph_reach_edges(t: Tables) -> DataFrame:
     f"WITH RECURSIVE {_REACH_SQL} SELECT stem FROM found JOIN nodes USING (stem) WHERE status = 'MISSING'",
 )
 def graph_reach_missing(t: Tables) -> DataFrame:
-    return _reached(t)[1].missing
+    return _reached(t).missing
 
 
 _VISIBLE_SQL = f"""
@@ -210,11 +211,15 @@ def graph_cycles(t: Tables) -> DataFrame:
 
 @query(
     "graph_reach_cycles",
-    f"WITH RECURSIVE {_REACH_SQL}, {_WALK_SQL} SELECT {_CYCLE_COLUMNS} FROM walk WHERE scc IN (SELECT stem FROM found)",
+    f"""WITH RECURSIVE {_PARSED_SQL}, {_WALK_SQL},
+    found AS (SELECT max(scc) AS stem FROM component UNION SELECT dst FROM found JOIN edges ON src = found.stem)
+    SELECT {_CYCLE_COLUMNS} FROM walk WHERE scc IN (SELECT stem FROM found)""",
 )
 def graph_reach_cycles(t: Tables) -> DataFrame:
-    whole, part = _reached(t)
-    return graph.contained_cycles(components.cycles(whole.edges), part)
+    """The cycles in what the last of the cyclic components reaches."""
+    whole = graph.build_graph(_plans(t))
+    found = materialize(components.cycles(whole.edges), "cycles")
+    return graph.contained_cycles(found, graph.reachable_subgraph(whole, found.agg(F.max("scc")).first()[0]))
 
 
 @query(
