@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetscope.session import spread, write_step
+from fleetscope.session import is_folder, spread, write_step
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -54,8 +54,11 @@ class Tables:
         return self.spark.sql(text, **used)
 
     def stream(self, name: str, schema: str) -> DataFrame:
-        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(self.folder)
+        """The table as a stream of its files; a large table is a folder of them."""
+        reader, path = self.spark.readStream.schema(schema), f"{self.folder}/{name}.parquet"
+        if is_folder(self.spark, path):
+            return reader.parquet(path)
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)  # a stream takes no single file
 
     def stream_to_the_end(self, name: str, schema: str) -> DataFrame:
         """The table as a stream, with a heartbeat three hours after its last ``ts``.

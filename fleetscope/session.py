@@ -76,6 +76,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def write_step(df: DataFrame, label: str = "step") -> str:
     """Write ``df`` to the scratch folder and return where."""
     path = scratch_path(df.sparkSession, label)

@@ -1,5 +1,7 @@
 """Every registered query agrees with DuckDB, and no plan multiplies rows."""
 
+from pathlib import Path
+
 import pytest
 
 import oracle
@@ -21,3 +23,21 @@ def test_query(spark, duck, name):
 
 def test_every_query_has_an_oracle():
     assert set(RUNS) == set(ORACLES)
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """The same tables, the streamed ones as folders of several files."""
+    out = tmp_path_factory.mktemp("folders")
+    for path in Path(FOLDER).glob("*.parquet"):
+        if path.stem in ("conversations", "events"):
+            spark.read.parquet(str(path)).repartition(3).write.parquet(str(out / path.name))
+        else:
+            (out / path.name).symlink_to(path)
+    return str(out)
+
+
+@pytest.mark.parametrize("name", [name for name in RUNS if name.startswith("stream_")])
+def test_stream_of_a_folder(spark, duck, folders, name):
+    verdict, count = oracle.compare(spark, duck, name, folders)
+    assert verdict == "ok" and count > 0
