@@ -1,8 +1,8 @@
 """Streaming operators with custom state: alarms, probe health, live claims, hot tail.
 
-Each key keeps a small record, and rows that wait for their turn in buckets of time, one
-state entry a bucket. A key has one timer, for its earliest bucket or end; when it fires,
-the buckets the watermark has passed are read, no others, and folded in with numpy.
+Each key keeps a small record. Rows that need their order wait in Spark's own aggregation
+state until the watermark has passed their bucket of time; a processor gets the due rows of
+a key at once, folds them in with numpy, and reads and writes its record once a micro-batch.
 """
 
 from __future__ import annotations
@@ -194,74 +194,15 @@ def alarm_stream(
     )
 
 
-class InOrderProcessor(StatefulProcessor):
-    """Gives the rows of a key to ``fold`` in the order of time, once the watermark has passed their bucket.
+def due_rows(rows: DataFrame, time: str, watermark: str, by: list[str], columns: list[str], bucket_s: int = BUCKET_S) -> DataFrame:
+    """(by, us, columns, n) of a stream's rows once the watermark has passed their bucket of time; n equal rows are one.
 
-    ``columns`` are what a row keeps, ``us`` first. ``fold`` gets the due rows sorted by them and the
-    time up to which all rows are known; ``next_end`` may name a time at which it wants to be
-    called without rows.
+    ``us`` is the time in microseconds. All rows of the buckets that a watermark passes come in one
+    micro-batch, so what a key gets is later than all it got before, but not sorted.
     """
-
-    columns: dict[str, str]
-
-    def __init__(self, bucket_s: int = BUCKET_S) -> None:
-        self._bucket_us = bucket_s * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        kinds = ", ".join(f"{name} array<{kind}>" for name, kind in self.columns.items())
-        self._waiting = handle.getMapState("waiting", "bucket long", kinds)
-        self._open = handle.getValueState("open", "buckets array<long>, wake_ms long")
-
-    def fold(self, key, rows: pd.DataFrame, known_us: int) -> Iterator[pd.DataFrame]:
-        raise NotImplementedError
-
-    def next_end(self) -> int | None:
-        return None
-
-    def _wake(self, buckets: list[int], known: int | None) -> None:
-        """One timer, at the end of the earliest bucket that waits or is wanted."""
-        end = self.next_end()
-        ends = [b + 1 for b in buckets[:1]] + ([-(-end // self._bucket_us)] if end is not None else [])
-        wake = min(ends) * self._bucket_us // 1000 if ends else None
-        if known is not None and known != wake:
-            self._handle.deleteTimer(known)
-        if wake is not None and wake != known:
-            self._handle.registerTimer(wake)
-        if wake is None:
-            self._open.clear()
-        else:
-            self._open.update((buckets, wake))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        buckets, known = self._open.get() if self._open.exists() else ([], None)
-        held = set(buckets)
-        for pdf in rows:
-            for bucket, part in pdf.groupby(pdf["us"] // self._bucket_us):
-                bucket = int(bucket)
-                new = [part[name].tolist() for name in self.columns]
-                if bucket in held:
-                    new = [list(old) + more for old, more in zip(self._waiting.getValue((bucket,)), new)]
-                self._waiting.updateValue((bucket,), tuple(new))
-                held.add(bucket)
-        self._wake(sorted(held), known)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        buckets, _ = self._open.get() if self._open.exists() else ([], None)
-        first_open = timerValues.getCurrentWatermarkInMs() * 1000 // self._bucket_us
-        due = [b for b in buckets if b < first_open]
-        columns = [[] for _ in self.columns]
-        for bucket in due:
-            for column, values in zip(columns, self._waiting.getValue((bucket,))):
-                column.extend(values)
-            self._waiting.removeKey((bucket,))
-        table = pd.DataFrame(dict(zip(self.columns, columns))).sort_values(list(self.columns), kind="stable", ignore_index=True)
-        yield from self.fold(key, table, first_open * self._bucket_us)
-        self._wake([int(b) for b in buckets[len(due) :]], None)  # an expired timer is gone after its call
-
-    def close(self) -> None:
-        pass
+    bucket = F.window(time, f"{bucket_s} seconds").alias("bucket")
+    waiting = rows.withWatermark(time, watermark).withColumn("us", F.unix_micros(time))
+    return waiting.groupBy(*by, bucket, "us", *columns).agg(F.count(F.lit(1)).alias("n")).drop("bucket")
 
 
 def held_states(ok: np.ndarray, good: int, bad: int, state: str, up: int, down: int) -> tuple[np.ndarray, int, int]:
@@ -276,27 +217,28 @@ def held_states(ok: np.ndarray, good: int, bad: int, state: str, up: int, down:
     return names[np.where(last < 0, 0, switch[last])], int(good_run[-1]), int(bad_run[-1])
 
 
-class ProbeHealthProcessor(InOrderProcessor):
+class ProbeHealthProcessor(StatefulProcessor):
     """Run lengths and held state of one target."""
 
-    columns = {"us": "long", "id": "long", "ok": "boolean"}
-
-    def __init__(self, up: int, down: int, bucket_s: int = BUCKET_S) -> None:
-        super().__init__(bucket_s)
+    def __init__(self, up: int, down: int) -> None:
         self._up, self._down = up, down
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
         self._runs = handle.getValueState("runs", "good int, bad int, state string")
 
-    def fold(self, key, rows: pd.DataFrame, known_us: int) -> Iterator[pd.DataFrame]:
-        if rows.empty:
-            return
-        good, bad, state = self._runs.get() if self._runs.exists() else (0, 0, "initial")
-        ok = rows["ok"].to_numpy(bool)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        good, bad, state = self._runs.get() or (0, 0, "initial")
+        due = pd.concat(list(rows))
+        us, ids, ok = due["us"].to_numpy(), due["id"].to_numpy(), due["ok"].to_numpy(bool)
+        order = np.lexsort((ok, ids, us))
+        order = np.repeat(order, due["n"].to_numpy()[order])
+        us, ids, ok = us[order], ids[order], ok[order]
         states, good, bad = held_states(ok, good, bad, state, self._up, self._down)
         self._runs.update((good, bad, str(states[-1])))
-        yield pd.DataFrame({"target": key[0], "ts": _stamp(rows["us"]), "id": rows["id"], "ok": ok, "state": states})
+        yield pd.DataFrame({"target": key[0], "ts": us.astype("datetime64[us]"), "id": ids, "ok": ok, "state": states})
+
+    def close(self) -> None:
+        pass
 
 
 def probe_health_stream(
@@ -307,27 +249,29 @@ def probe_health_stream(
     A late probe still counts at its time. Probes of one time go by id.
     """
     _use_rocksdb(probes)
-    keyed = probes.withWatermark("ts", watermark).withColumn("us", F.unix_micros("ts"))
-    return keyed.groupBy("target").transformWithStateInPandas(
-        ProbeHealthProcessor(up, down, bucket_s), HEALTH_COLUMNS, "append", "eventtime"
-    )
+    due = due_rows(probes, "ts", watermark, ["target"], ["id", "ok"], bucket_s)
+    return due.groupBy("target").transformWithStateInPandas(ProbeHealthProcessor(up, down), HEALTH_COLUMNS, "append", "none")
 
 
-class LiveClaimsProcessor(InOrderProcessor):
-    """The span in which one machine's claim on one resource is live; an observation extends it."""
+class LiveClaimsProcessor(StatefulProcessor):
+    """The span in which one machine's claim on one resource is live; an observation extends it.
 
-    columns = {"us": "long", "end_us": "long"}
+    A live span has one timer, for the end of the bucket in which it runs out.
+    """
+
+    def __init__(self, bucket_s: int = BUCKET_S) -> None:
+        self._bucket_us = bucket_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
+        self._handle = handle
         self._span = handle.getValueState("span", "end_us long")
 
-    def next_end(self) -> int | None:
-        return self._span.get()[0] if self._span.exists() else None
+    def _wake_ms(self, end_us: int) -> int:
+        return -(-end_us // self._bucket_us) * self._bucket_us // 1000
 
-    def fold(self, key, rows: pd.DataFrame, known_us: int) -> Iterator[pd.DataFrame]:
-        held, rows = self.next_end(), rows[rows["end_us"] > rows["us"]]
-        begins, ends = rows["us"].to_numpy(np.int64), rows["end_us"].to_numpy(np.int64)
+    def _fold(self, key, held: int | None, begins: np.ndarray, ends: np.ndarray, timerValues) -> Iterator[pd.DataFrame]:
+        """The changes of observations in the order of time, and of an end that no later one can move."""
+        known_us = timerValues.getCurrentWatermarkInMs() * 1000 // self._bucket_us * self._bucket_us
         latest = np.maximum.accumulate(np.append(np.iinfo(np.int64).min if held is None else held, ends))
         new = np.flatnonzero(begins >= latest[:-1])  # nothing was live any more, or yet
         claimed, closed = begins[new], latest[new]
@@ -338,11 +282,30 @@ class LiveClaimsProcessor(InOrderProcessor):
             self._span.clear()
         elif len(ends):
             self._span.update((int(latest[-1]),))
+            self._handle.registerTimer(self._wake_ms(int(latest[-1])))
         if len(claimed) + len(closed):
             changes = ["claimed"] * len(claimed) + ["expired"] * len(closed)
             at = _stamp(np.concatenate([claimed, closed]))
             yield pd.DataFrame({"resource_key": key[0], "machine_id": key[1], "change": changes, "at": at})
 
+    def _held(self) -> int | None:
+        return (self._span.get() or (None,))[0]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = pd.concat(list(rows)).sort_values(["us", "end_us"], kind="stable")
+        seen, held = seen[seen["end_us"] > seen["us"]], self._held()
+        if len(seen):
+            if held is not None:
+                self._handle.deleteTimer(self._wake_ms(held))
+            yield from self._fold(key, held, seen["us"].to_numpy(np.int64), seen["end_us"].to_numpy(np.int64), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        nothing = np.zeros(0, np.int64)
+        yield from self._fold(key, self._held(), nothing, nothing, timerValues)
+
+    def close(self) -> None:
+        pass
+
 
 def live_claims_stream(claims: DataFrame, watermark: str, bucket_s: int = BUCKET_S) -> DataFrame:
     """When a machine's claim on a resource begins and ends to be live: (resource_key, machine_id, change, at).
@@ -353,11 +316,10 @@ def live_claims_stream(claims: DataFrame, watermark: str, bucket_s: int = BUCKET
     watermark has passed their bucket; a late observation still counts at its time.
     """
     _use_rocksdb(claims)
-    us = F.unix_micros("observed_at")
     # no filter here: it would be pushed below the watermark, which such observations move too
     lives = F.greatest(F.coalesce(F.col("ttl_seconds").cast("bigint"), F.lit(0)), F.lit(0)) * 1_000_000
-    keyed = claims.withWatermark("observed_at", watermark).withColumns({"us": us, "end_us": us + lives})
-    return keyed.groupBy("resource_key", "machine_id").transformWithStateInPandas(
+    keyed, by = claims.withColumn("end_us", F.unix_micros("observed_at") + lives), ["resource_key", "machine_id"]
+    return due_rows(keyed, "observed_at", watermark, by, ["end_us"], bucket_s).groupBy(*by).transformWithStateInPandas(
         LiveClaimsProcessor(bucket_s), CLAIM_COLUMNS, "append", "eventtime"
     )
 

@@ -239,3 +239,25 @@ def test_sampling(spark, rate, share):
     untagged = kept.where("id >= 10")
     assert untagged.count() / 3990 == pytest.approx(share, abs=0.03)
     assert untagged.groupBy("trace_id").count().where("count <> 2").count() == 0
+
+
+def test_waiting_rows_are_no_entries_of_the_python_state(spark, tmp_path):
+    """A backlog over many buckets costs a key no state calls; each bucket was an entry before."""
+    times = [T0 + timedelta(minutes=m) for m in range(300)]
+    probes = source(spark, tmp_path / "in", [[("t", ts, i, True) for i, ts in enumerate(times)]], "target string, ts timestamp, id long, ok boolean")
+    claims = source(spark, tmp_path / "also", [[("r", "m", ts, 5) for ts in times]], CLAIM)
+    for name, stream in (
+        ("health", stateful.probe_health_stream(probes, "20 hours")), ("claims", stateful.live_claims_stream(claims, "20 hours"))
+    ):
+        (tmp_path / name).mkdir()
+        out, last = drained(stream, tmp_path / name)
+        states = {op["operatorName"]: op["numRowsTotal"] for op in last["stateOperators"]}
+        assert out.count() == 0 and states.pop("transformWithStateInPandasExec") == 0 and sum(states.values()) == 300
+
+
+def test_repeated_probes_each_count(spark, tmp_path):
+    schema = "target string, ts timestamp, id long, ok boolean"
+    rows = [("t", T0, 1, True), ("t", T0, 1, True), ("t", T0 + timedelta(seconds=5), 2, False), ("u", T0 + timedelta(hours=1), 9, True)]
+    stream = source(spark, tmp_path, split(rows, 2), schema)
+    got = flows.run_available(stateful.probe_health_stream(stream, "1 second"), "health")
+    assert sorted((r.id, r.state) for r in got.collect()) == [(1, "healthy"), (1, "initial"), (2, "healthy")]
