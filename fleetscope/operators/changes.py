@@ -86,11 +86,12 @@ def scrub_payload(records: DataFrame, coverage: DataFrame, batch_rows: int = fv.
     counts = dealt.groupBy("run_id", part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     earlier = Window.partitionBy("run_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("run_id", "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # coverage goes with the few starts, so the records need no join of their own for it
+    starts = materialize(starts.join(coverage.select("run_id", "coverage"), "run_id", "left"), "starts")
     number = F.col("_before") + F.col("_at") - F.col("_first")
     return (
         dealt.withColumn("_part", part)
         .join(starts, ["run_id", "_part"])
         .withColumn("batch_id", F.floor(number / batch_rows).cast("bigint"))
-        .join(coverage.select("run_id", "coverage"), "run_id", "left")
         .select(*public, "batch_id", "coverage")
     )

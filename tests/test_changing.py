@@ -221,3 +221,11 @@ def test_values_are_compared_only_where_a_verdict_hangs_on_them(spark, rows):
     skipped = read.where(actions[0].isin("delete", "create", "forget") & (F.size(actions) < 2) & (kind != "aws_ecs_task_definition"))
     needed = rules.judged_by_attributes(actions) | rules.may_be_deploy_owned(kind)
     assert skipped.count() > 50 and skipped.where(needed).isEmpty()
+
+
+def test_batches_shuffle_no_records_for_their_coverage(spark):
+    records = spark.range(40).selectExpr("CAST(id % 2 AS STRING) AS run_id", "CAST(id AS STRING) AS resource")
+    coverage = spark.createDataFrame([("0", 0.5), ("1", 1.0), ("9", 1.0)], "run_id string, coverage double")
+    out = changes.scrub_payload(records, coverage, batch_rows=7)
+    assert {(r.run_id, r.coverage) for r in out.collect()} == {("0", 0.5), ("1", 1.0)} and out.count() == 40
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # two before
