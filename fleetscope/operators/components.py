@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.operators.frontier import smallest_label
-from fleetscope.session import materialize
+from fleetscope.session import materialize, sparing_broadcasts
 
 
 def _end(column: str, entered: bool):
@@ -87,6 +87,7 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return materialize(core, "core"), paths, rings
 
 
+@sparing_broadcasts
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(stem, scc) of every node that reaches itself; scc is its component's smallest stem.
 
@@ -172,6 +173,7 @@ def _shortest_rings(edges: DataFrame) -> DataFrame:
     return rings.select("scc", F.lit(0).alias("cycle_no"), "position", "stem")
 
 
+@sparing_broadcasts
 def cycles(edges: DataFrame) -> DataFrame:
     """(scc, cycle_no, position, stem): one shortest cycle through each component's smallest stem.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetscope.session import materialize, path_exists, scratch_path, write_step
+from fleetscope.session import materialize, path_exists, scratch_path, sparing_broadcasts, write_step
 
 #: Known nodes that one folder of a large run holds, about.
 BUCKET_ROWS = 1_000_000
@@ -97,6 +97,7 @@ class Visited:
         return self._read([f for level in self._levels for run in level for f in self._folders(run, None)])
 
 
+@sparing_broadcasts
 def closure(edges: DataFrame, seeds: DataFrame, within: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All nodes reachable from ``seeds`` (column stem) along edges(src, dst), seeds included.
 

@@ -14,7 +14,7 @@ from fleetscope import fixed_values as fv
 from fleetscope.operators import dependencies as deps
 from fleetscope.operators.components import both_ways, strongly_connected
 from fleetscope.operators.frontier import closure
-from fleetscope.session import materialize
+from fleetscope.session import materialize, sparing_broadcasts
 
 
 @dataclass
@@ -65,6 +65,7 @@ def contained_cycles(cycles: DataFrame, part: Graph) -> DataFrame:
     return cycles.join(part.nodes.select(F.col("stem").alias("scc")), "scc", "left_semi")
 
 
+@sparing_broadcasts
 def visible(graph: Graph, include_shipped: bool = False) -> DataFrame:
     """Stems to show: unfinished ones, all they depend on, and all that depend on them."""
     if include_shipped:
@@ -74,6 +75,7 @@ def visible(graph: Graph, include_shipped: bool = False) -> DataFrame:
     return closure(both_ways(graph.edges), unfinished.select("stem", ways), within=("way",)).select("stem").distinct()
 
 
+@sparing_broadcasts
 def roots(graph: Graph, shown: DataFrame) -> DataFrame:
     """Entry points of the shown part: nodes nothing shown depends on.
 

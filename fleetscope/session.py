@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import re
 import shutil
 import sys
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only after its rows were counted and found below this.
 BROADCAST_ROWS = 200_000
 
+#: Files of a table that a loop over graph steps broadcasts, in bytes at most.
+LOOP_BROADCAST_BYTES = 256 << 10
+
 
 def build_session(app: str = "fleetscope", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -113,6 +117,26 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def sparing_broadcasts(function):
+    """``function`` (of a graph or edges), in which a join broadcasts no table above ``LOOP_BROADCAST_BYTES``.
+
+    What is broadcast goes through the driver. Loops plan joins by the hundred, so with Spark's limit
+    for one join their sum grows with the input up to a hundred times that limit.
+    """
+
+    @functools.wraps(function)
+    def run(over, *args, **kwargs):
+        spark, name = getattr(over, "edges", over).sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+        limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        spark.conf.set(name, min(limit, LOOP_BROADCAST_BYTES))
+        try:
+            return function(over, *args, **kwargs)
+        finally:
+            spark.conf.set(name, limit)
+
+    return run
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a source with fewer splits than cores, as a small single file is, over all cores.
 

@@ -249,3 +249,14 @@ def test_files(spark, rows, tmp_path):
     built = graph.build_graph(docs)
     writers.write_graph(built, components.cycles(built.edges), str(tmp_path / "out"))
     assert rows(spark.read.json(str(tmp_path / "out" / "edges")), "from", "to") == [(A, B)]
+
+
+def test_loops_broadcast_little(spark, rows, monkeypatch):
+    """Joins of a search keep to a small limit, as what they broadcast adds up in the driver; 10 MB each before."""
+    name, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    add = frontier.Visited.add
+    monkeypatch.setattr(frontier.Visited, "add", lambda self, ahead: seen.append(int(spark.conf.get(name))) or add(self, ahead))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    assert rows(frontier.closure(edges, spark.createDataFrame([("a",)], "stem string"))) == [("a",), ("b",), ("c",)]
+    assert len(seen) == 4 and set(seen) == {256 << 10}
+    assert spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() == 10 << 20
