@@ -1,14 +1,15 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark and memory-mapped by workers.
 
-Words are 64-bit hashes. Training counts words, then runs of ``order`` words: every
-task sends its distinct runs, compressed, to the shard of their context. A shard
-writes sorted arrays of run hashes with counts and of context hashes with their
-totals, and sends the number of distinct first words of every shorter run one
-level down. Scoring tasks map these files and look up sorted queries, so a task
-holds its own texts and nothing of the model.
-
-Contexts of frequent words are spread over all shards by their last word, and
-their totals are added up from the shards' parts.
+Training counts words, as 64-bit hashes, and numbers them, frequent words first. Then it
+counts runs of ``order`` words: every task sends its distinct runs, sorted and compressed,
+to the shard of their first word. A shard writes its runs as a sorted table and sends the
+number of distinct first words of every shorter run one level down. A table holds 4 bytes
+for every word of a run but the first, and one for its count; the totals of a context are
+added up from its runs, and only written for contexts of many runs. Scoring tasks map these
+files and search them, so a task holds its own texts and nothing of the model.
+
+Runs that begin with frequent words are spread over all shards by the words that
+follow. The totals of contexts of frequent words alone are added up from the shards' parts.
 """
 
 from __future__ import annotations
@@ -31,17 +32,27 @@ from fleetscope.llm.words import by_bytes, join_hashes, word_hashes
 from fleetscope.session import materialize, scratch_path
 
 END = np.uint64(0x5DEECE66D1234567)
-BEGIN = np.uint64(0x2545F4914F6CDD1D)
+#: The number of the mark before a text; words are numbered from 1.
+BEGIN = 0
 #: Running words for each shard, about; sets what a task holds.
 SHARD_TOKENS = 4_000_000
 #: A word that is one of so many running words is frequent; at most so many are.
 FREQUENT = 1_000
 #: Running words whose distinct runs a task collects before it sends them.
 HELD_TOKENS = 3_000_000
-_GRAM = [np.uint64, np.uint32]
-_CONTEXT = [np.uint64, np.uint64, np.uint32, np.uint32, np.uint32]
-_WORD = [np.uint64, np.uint64, np.uint64]
+#: Contexts of more different words than that have their totals written.
+FEW = 16
+#: Counts from here on are written beside the table.
+HIGH = 255
+_WORD = [np.uint64, np.uint32, np.uint64]
+_FOLLOWS = [np.uint32]
 _STATS = [np.uint64, np.int64, np.int64, np.int64, np.int64]
+_BLOB = "shard int, n bigint, runs binary"
+
+
+def _table(k: int) -> list:
+    """Kinds of a shard's arrays: first words, where their runs begin, the other words, counts; high counts; contexts of many words."""
+    return [np.uint32] * (k + 1) + [np.uint8] + [np.uint32, np.uint64] + [np.uint32, np.uint64, np.uint32, np.uint32, np.uint32]
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -53,41 +64,100 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return path.path
 
 
-def _save(path: str, arrays: list[np.ndarray]) -> None:
-    """Writes columns one after another; the name appears when the file is whole."""
+def _save(path: str, arrays: list[np.ndarray], kinds: list) -> None:
+    """Writes the arrays' lengths, then the arrays; the name appears when the file is whole."""
     part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "wb") as out:
-        for array in arrays:
-            out.write(np.ascontiguousarray(array).data)
+        out.write(np.array([len(array) for array in arrays], np.int64).data)
+        for array, kind in zip(arrays, kinds):
+            out.write(np.ascontiguousarray(array, kind).tobytes())
+            out.write(bytes(-out.tell() % 8))
     os.replace(part, path)
 
 
 def _mapped(path: str, kinds: list) -> list[np.ndarray]:
-    widths = [np.dtype(kind).itemsize for kind in kinds]
-    rows = os.path.getsize(path) // sum(widths) if os.path.exists(path) else 0
-    if not rows:
+    if not os.path.exists(path):
         return [np.zeros(0, kind) for kind in kinds]
-    starts = np.cumsum([0, *widths[:-1]]) * rows
-    return [np.memmap(path, kind, "r", int(at), (rows,)) for kind, at in zip(kinds, starts)]
-
-
-def _lookup(keys: np.ndarray, shards: np.ndarray, path: str, kinds: list) -> list[np.ndarray]:
-    """Values of ``keys`` (0 where absent) from the files ``path-<shard>``, asked for in sorted order."""
-    out = [np.zeros(len(keys), np.int64) for _ in kinds[1:]]
-    order = np.lexsort((keys, shards))
-    bounds = np.flatnonzero(np.diff(shards[order], prepend=-1)) if len(keys) else []
-    for first, last in zip(bounds, [*bounds[1:], len(keys)]):
-        own = order[first:last]
-        stored, *values = _mapped(f"{path}-{shards[own[0]]}", kinds)
-        if not len(stored):
-            continue
-        at = np.minimum(np.searchsorted(stored, keys[own]), len(stored) - 1)
-        hit = stored[at] == keys[own]
-        for column, value in zip(out, values):
-            column[own[hit]] = value[at[hit]]
+    whole, at, out = np.memmap(path, np.uint8, "r"), 8 * len(kinds), []
+    for rows, kind in zip(np.array(whole[:at]).view(np.int64), kinds):
+        end = at + int(rows) * np.dtype(kind).itemsize
+        out.append(whole[at:end].view(np.ndarray).view(kind))
+        at = end + -end % 8
+    return out
+
+
+def _by_shard(shards: np.ndarray):
+    """Places of every shard that occurs, in their order."""
+    order = np.argsort(shards, kind="stable")
+    bounds = np.flatnonzero(np.diff(shards[order], prepend=-1))
+    return np.split(order, bounds[1:]) if len(order) else []
+
+
+def _within(column: np.ndarray, low: np.ndarray, high: np.ndarray, value: np.ndarray, after: bool = False) -> np.ndarray:
+    """Where ``value`` stands, or would, in the sorted part from ``low`` to ``high`` of a column; or the end of its rows."""
+    out, row = low.copy(), np.flatnonzero(low < high)
+    low, high, value = low[row], high[row], value[row]
+    while len(row):
+        middle = (low + high) >> 1
+        found = column.take(middle)
+        up = found <= value if after else found < value
+        low, high = np.where(up, middle + 1, low), np.where(up, high, middle)
+        going = low < high
+        if not going.all():
+            out[row[~going]] = low[~going]
+            row, low, high, value = row[going], low[going], high[going], value[going]
     return out
 
 
+def _found(path: str, k: int, runs: list[np.ndarray]) -> list[np.ndarray]:
+    """Count of every run, of sorted ones, in a shard's table, and of its context the total and the runs found once, twice and more often."""
+    firsts, starts, *columns, counts, high_at, high_count, many_at, total, one, two, more = _mapped(path, _table(k))
+    out = np.zeros(len(runs[0]), np.int64)
+    if not len(firsts):
+        return [out] * 5
+
+    def count_at(places):
+        found = counts[places].astype(np.int64)
+        often = np.flatnonzero(found == HIGH)
+        found[often] = high_count[np.searchsorted(high_at, places[often])]
+        return found
+
+    new = np.ones(len(runs[0]), bool)
+    new[1:] = np.logical_or.reduce([run[1:] != run[:-1] for run in runs[:-1]])
+    context = np.cumsum(new) - 1
+    words = [run[new] for run in runs[:-1]]
+    at = np.minimum(np.searchsorted(firsts, words[0]), len(firsts) - 1)
+    low, high = starts[at].astype(np.int64), starts[at + 1].astype(np.int64)
+    high[firsts[at] != words[0]] = 0
+    for column, word in zip(columns[:-1], words[1:]):
+        low = _within(column, low, high, word)
+        row = np.flatnonzero(low + FEW < high)
+        row = row[column[low[row] + FEW] != word[row]]
+        high[row] = low[row] + FEW  # most contexts have few words
+        high = _within(column, low, high, word, after=True)
+    size = high - low
+    sums = [np.zeros(len(low), np.int64) for _ in range(4)]
+    for step in range(FEW):
+        row = np.flatnonzero((size > step) & (size <= FEW))
+        if not len(row):
+            break
+        found = count_at(low[row] + step)
+        for values, part in zip(sums, (found, found == 1, found == 2, found >= 3)):
+            values[row] += part
+    row = np.flatnonzero(size > FEW)
+    if len(row) and len(many_at):
+        at = np.minimum(np.searchsorted(many_at, low[row]), len(many_at) - 1)
+        hit = many_at[at] == low[row]
+        for values, stored in zip(sums, (total, one, two, more)):
+            values[row[hit]] = stored[at[hit]]
+    low, high = low[context], high[context]
+    place = _within(columns[-1], low, high, runs[-1])
+    row = np.flatnonzero(place < high)
+    row = row[columns[-1][place[row]] == runs[-1][row]]
+    out[row] = count_at(place[row])
+    return [out, *(values[context] for values in sums)]
+
+
 def tokens_of(column) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all tokens, number per text): a text's words, then one end."""
     words, counts = word_hashes(column)
@@ -100,60 +170,89 @@ def tokens_of(column) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def _runs(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
-    """For every token the ``order`` words that end with it; texts begin with begin marks."""
+def _runs(words: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+    """For every word the ``order`` words that end with it; texts begin with begin marks."""
     starts = np.cumsum(counts) - counts
-    columns = [tokens]
+    columns = [words]
     for _ in range(order - 1):
-        before = np.concatenate([[BEGIN], columns[0][:-1]]).astype(np.uint64)
+        before = np.concatenate([[BEGIN], columns[0][:-1]]).astype(np.uint32)
         before[starts] = BEGIN
         columns.insert(0, before)
     return columns
 
 
+def _hashed(columns: list[np.ndarray]) -> np.ndarray:
+    return join_hashes([column.astype(np.uint64) for column in columns])
+
+
+def _is_in(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    return frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values
+
+
 def _shards_of(columns: list[np.ndarray], frequent: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of runs: by context, or by the whole run if all words of the context are frequent."""
-    common = np.ones(len(columns[0]), bool)
-    for column in columns[:-1]:
-        at = np.minimum(np.searchsorted(frequent, column), len(frequent) - 1)
-        common &= frequent[at] == column
-    key = join_hashes(columns[:-1])
-    key[common] = join_hashes([column[common] for column in columns])
+    """Shard of runs: by the first word, with every word after it as long as those before are frequent."""
+    key, rows = _hashed(columns[:1]), np.arange(len(columns[0]))
+    for n in range(1, len(columns)):
+        rows = rows[_is_in(columns[n - 1][rows], frequent)]
+        key[rows] = _hashed([column[rows] for column in columns[: n + 1]])
     return (key % np.uint64(shards)).astype(np.int64)
 
 
-def _grouped(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the first of every distinct key, in order of keys; sums of weights)."""
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] ^ np.uint64(1))) if len(key) else np.zeros(0, np.int64)
-    return order[first], np.add.reduceat(weight[order], first) if len(first) else np.zeros(0, np.int64)
+def _sorted(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of rows by their words, places in it where a new run begins)."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, used = columns[0].astype(np.uint64), int(columns[0].max()).bit_length()
+    for column in columns[1:]:
+        bits = int(column.max()).bit_length()
+        if used + bits > 64:  # the words so far by their rank, which is shorter
+            order, first = _by_key(key)
+            key[order] = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(order))))
+            used = len(first).bit_length()
+        key, used = key << np.uint64(bits) | column, used + bits
+    return _by_key(key)
+
+
+def _by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    own = key[order]
+    new = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    return order, np.flatnonzero(new)
 
 
-def _packed(columns: list[np.ndarray], weight: np.ndarray, frequent: np.ndarray, shards: int):
-    """(shard, blob) rows of distinct runs with summed weights."""
-    at, weight = _grouped(join_hashes(columns), weight)
-    columns = [column[at] for column in columns]
-    shard = _shards_of(columns, frequent, shards)
-    order = np.lexsort((columns[0], shard))
-    shard = shard[order]
-    bounds = np.searchsorted(shard, np.arange(shards + 1))
-    for number in range(shards):
-        own = order[bounds[number] : bounds[number + 1]]
-        if len(own):
-            raw = b"".join(column[own].tobytes() for column in columns) + weight[own].astype(np.uint32).tobytes()
-            yield number, len(own), pa.compress(raw, "zstd", asbytes=True)
+def _grouped(columns: list[np.ndarray], weight: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """(distinct runs in order, sums of their weights or their numbers)."""
+    order, first = _sorted(columns)
+    if weight is None:
+        sums = np.diff(np.append(first, len(order)))
+    else:
+        sums = np.add.reduceat(weight[order], first) if len(first) else np.zeros(0, np.int64)
+    return [column[order[first]] for column in columns], sums
 
 
-def _unpacked(rows: pd.DataFrame, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _packed(columns: list[np.ndarray], weight: np.ndarray, shard: np.ndarray):
+    """(shard, n, blob) rows of distinct runs in order with their weights; equal bytes of the numbers lie together."""
+    for own in _by_shard(shard):
+        step = np.diff(columns[0][own], prepend=np.uint32(0))
+        numbers = np.stack([step, *(column[own] for column in columns[1:]), weight[own].astype(np.uint32)])
+        planes = numbers.view(np.uint8).reshape(len(numbers), len(own), 4).transpose(0, 2, 1)
+        yield int(shard[own[0]]), len(own), pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(rows: pd.DataFrame, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     parts = []
     for n, blob in zip(rows["n"], rows["runs"]):
-        raw = pa.decompress(blob, n * (8 * order + 4), "zstd", asbytes=True)
-        words = np.frombuffer(raw, np.uint64, n * order).reshape(order, n)
-        parts.append((words, np.frombuffer(raw, np.uint32, n, 8 * order * n)))
-    return list(np.concatenate([w for w, _ in parts], 1)), np.concatenate([c for _, c in parts]).astype(np.int64)
+        raw = pa.decompress(blob, n * 4 * (k + 1), "zstd", asbytes=True)
+        planes = np.frombuffer(raw, np.uint8).reshape(k + 1, 4, n).transpose(0, 2, 1)
+        numbers = planes.copy().view(np.uint32).reshape(k + 1, n)
+        numbers[0] = np.cumsum(numbers[0], dtype=np.uint32)
+        parts.append(numbers)
+    *columns, weight = np.concatenate(parts, 1)
+    return columns, weight.astype(np.int64)
 
 
-def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
     shard, n, runs = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(n, pa.int64()), pa.array(runs, pa.binary())], ["shard", "n", "runs"])
 
@@ -170,17 +269,47 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.0), i + 1.0) for i in range(3)]
 
 
+@dataclass
+class Vocabulary:
+    """Where the numbers of words are: a file a shard, sorted by hash. A shard numbers its words by count."""
+
+    folder: str
+    shards: int
+
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, training count) of distinct words, 0 where there is none."""
+        numbers, counts = np.zeros(len(hashes), np.uint32), np.zeros(len(hashes), np.int64)
+        shard = (hashes % np.uint64(self.shards)).astype(np.int64)
+        for own in _by_shard(shard):
+            stored, number, count = _mapped(f"{self.folder}/words-{shard[own[0]]}", _WORD)
+            if len(stored):
+                at = np.minimum(np.searchsorted(stored, hashes[own]), len(stored) - 1)
+                hit = stored[at] == hashes[own]
+                numbers[own[hit]], counts[own[hit]] = number[at[hit]], count[at[hit]]
+        return numbers, counts
+
+    def follows(self, numbers: np.ndarray) -> np.ndarray:
+        """Of every word the number of distinct words before it."""
+        out = np.zeros(len(numbers), np.int64)
+        known = np.flatnonzero(numbers)
+        place, shard = np.divmod(numbers[known].astype(np.int64) - 1, self.shards)
+        for own in _by_shard(shard):
+            (stored,) = _mapped(f"{self.folder}/follows-{shard[own[0]]}", _FOLLOWS)
+            out[known[own]] = stored[place[own]]
+        return out
+
+
 @dataclass
 class NgramModel:
     """Where the arrays are, and what is small: totals, discounts and the totals of frequent contexts."""
 
-    folder: str
+    vocabulary: Vocabulary
     order: int
     shards: int
-    word_shards: int
     frequent: np.ndarray
     tokens: int
     words: int
+    unknown: int
     discount: dict[int, list[float]]
     spread: dict[int, list[np.ndarray]]
     pairs: int
@@ -189,77 +318,103 @@ class NgramModel:
     def base_log10(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
 
-    def _word_values(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shards = (tokens % np.uint64(self.word_shards)).astype(np.int64)
-        return tuple(_lookup(tokens, shards, f"{self.folder}/words", _WORD))
-
     def log10(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, training count) of every token."""
         own, back = np.unique(tokens, return_inverse=True)
-        count, follows = self._word_values(own)
+        numbers, count = self.vocabulary.lookup(own)
+        follows = self.vocabulary.follows(numbers)
         d = self.discount[1]
         p = np.full(len(own), 1.0 / (self.words + 1))
         if self.pairs:
             left = sum(x * n for x, n in zip(d, self.pair_kinds))
             p = (np.maximum(follows - _discount(d, follows), 0) + left * p) / self.pairs
         p = p[back]
-        columns = _runs(tokens, counts, self.order)
+        # words by their rank in the batch, as short numbers sort faster; unknown ones never meet a table's
+        numbers, rank = np.unique(np.append(BEGIN, np.where(numbers > 0, numbers, self.unknown)), return_inverse=True)
+        columns = _runs(rank[1:].astype(np.uint32)[back], counts, self.order)
         for k in range(2, self.order + 1):
-            p = self._level(k, columns[self.order - k :], p)
+            p = self._level(k, columns[self.order - k :], numbers.astype(np.uint32), p)
         return np.log10(p), count[back]
 
-    def _level(self, k: int, columns: list[np.ndarray], below: np.ndarray) -> np.ndarray:
-        key, at, back = np.unique(join_hashes(columns), return_index=True, return_inverse=True)
-        runs = [column[at] for column in columns]
+    def _level(self, k: int, columns: list[np.ndarray], numbers: np.ndarray, below: np.ndarray) -> np.ndarray:
+        order, first = _sorted(columns)
+        runs = [numbers[column[order[first]]] for column in columns]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
         shards = _shards_of(runs, self.frequent, self.shards)
-        (count,) = _lookup(key, shards, f"{self.folder}/grams-{k}", _GRAM)
-        context, first, again = np.unique(join_hashes(runs[:-1]), return_index=True, return_inverse=True)
-        total, *kinds = _lookup(context, shards[first], f"{self.folder}/contexts-{k}", _CONTEXT)
-        spread, *values = self.spread[k]
-        if len(spread):
+        found = [np.zeros(len(first), np.int64) for _ in range(5)]
+        for own in _by_shard(shards):
+            path = f"{self.vocabulary.folder}/grams-{k}-{shards[own[0]]}"
+            for values, part in zip(found, _found(path, k, [run[own] for run in runs])):
+                values[own] = part
+        spread, *sums = self.spread[k]
+        common = np.flatnonzero(np.logical_and.reduce([_is_in(run, self.frequent) for run in runs[:-1]]))
+        if len(spread) and len(common):
+            context = _hashed([run[common] for run in runs[:-1]])
             place = np.minimum(np.searchsorted(spread, context), len(spread) - 1)
             hit = spread[place] == context
-            for column, value in zip([total, *kinds], values):
-                column[hit] = value[place[hit]]
+            for values, stored in zip(found[1:], sums):
+                values[common[hit]] = stored[place[hit]]
         d = self.discount[k]
-        left = sum(x * n for x, n in zip(d, kinds))[again][back]
-        total, count = total[again][back], count[back]
-        found = total > 0
-        return np.where(found, (np.maximum(count - _discount(d, count), 0) + left * below) / np.maximum(total, 1), below)
+        count, total, *kinds = found
+        left = sum(x * n for x, n in zip(d, kinds))
+        above, left = np.maximum(count - _discount(d, count), 0)[back], left[back]
+        total = total[back]
+        return np.where(total > 0, (above + left * below) / np.maximum(total, 1), below)
 
 
 def _discount(d: list[float], counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3)]
 
 
-def _write_shard(folder: str, k: int, frequent: np.ndarray, shards: int):
-    """Writes one shard's arrays of level ``k``; gives the shorter runs with their distinct first words."""
+def _write_shard(folder: str, k: int, frequent: np.ndarray, shards: int, word_shards: int):
+    """Writes one shard's table of level ``k``; gives the shorter runs with their distinct first words."""
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["shard"].iat[0])
-        columns, weight = _unpacked(pdf, k)
-        key = join_hashes(columns)
-        at, counts = _grouped(key, weight)
-        columns, key = [column[at] for column in columns], key[at]
-        _save(f"{folder}/grams-{k}-{number}", [key, counts.astype(np.uint32)])
-        context = join_hashes(columns[:-1])
-        place, total = _grouped(context, counts)
-        kinds = [_grouped(context, (counts == i if i < 3 else counts >= 3).astype(np.int64))[1] for i in (1, 2, 3)]
-        common = np.ones(len(place), bool)
-        for column in columns[:-1]:
-            near = np.minimum(np.searchsorted(frequent, column[place]), len(frequent) - 1)
-            common &= frequent[near] == column[place]
-        table = [context[place], total, *kinds]
-        _save(f"{folder}/contexts-{k}-{number}", [x[~common].astype(t) for x, t in zip(table, _CONTEXT)])
+        columns, counts = _grouped(*_unpacked(pdf, k))
+        first = np.flatnonzero(np.diff(columns[0], prepend=columns[0][:1] + np.uint32(1)))
+        new = np.zeros(len(counts), bool)
+        new[first] = True
+        for column in columns[1:-1]:
+            new[1:] |= column[1:] != column[:-1]
+        begin = np.flatnonzero(new)
+        table = [begin, np.add.reduceat(counts, begin)]
+        table += [np.add.reduceat(x.astype(np.int64), begin) for x in (counts == 1, counts == 2, counts >= 3)]
+        common = np.logical_and.reduce([_is_in(column[begin], frequent) for column in columns[:-1]])
+        many = ~common & (np.diff(np.append(begin, len(counts))) > FEW)
+        high = np.flatnonzero(counts >= HIGH)
+        arrays = [columns[0][first], np.append(first, len(counts)), *columns[1:], np.minimum(counts, HIGH)]
+        _save(f"{folder}/grams-{k}-{number}", [*arrays, high, counts[high], *(x[many] for x in table)], _table(k))
         of_counts = [np.array([x], np.int64) for x in (0, *_count_of_counts(counts))]
-        stats = [np.concatenate([a.astype(t), b[common].astype(t)]) for a, b, t in zip(of_counts, table, _STATS)]
-        _save(f"{folder}/stats-{k}-{number}", stats)
-        shorter = columns[1:]
-        if k == 2:
-            at, n = _grouped(shorter[0], np.ones(len(shorter[0]), np.int64))
-            return pd.DataFrame({"word": shorter[0][at].view(np.int64), "n": n})
-        rows = list(_packed(shorter, np.ones(len(shorter[0]), np.int64), frequent, shards))
-        return pd.DataFrame(rows, columns=["shard", "n", "runs"])
+        contexts = [_hashed([column[begin[common]] for column in columns[:-1]]), *(x[common] for x in table[1:])]
+        stats = [np.concatenate([a.astype(t), b.astype(t)]) for a, b, t in zip(of_counts, contexts, _STATS)]
+        _save(f"{folder}/stats-{k}-{number}", stats, _STATS)
+        shorter, n = _grouped(columns[1:])
+        to = (shorter[0].astype(np.int64) - 1) % word_shards if k == 2 else _shards_of(shorter, frequent, shards)
+        return pd.DataFrame(list(_packed(shorter, n, to)), columns=["shard", "n", "runs"])
+
+    return write
+
+
+def _write_words(folder: str, shards: int):
+    """Writes one shard's words with their numbers; gives their sums, then the most frequent ones."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iat[0])
+        hashes = np.concatenate([np.frombuffer(blob, np.uint64, n) for n, blob in zip(pdf["n"], pdf["runs"])])
+        counts = np.concatenate([np.frombuffer(blob, np.uint32, n, 8 * n) for n, blob in zip(pdf["n"], pdf["runs"])])
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] ^ np.uint64(1)))
+        hashes, counts = hashes[first], np.add.reduceat(counts[order].astype(np.int64), first)
+        often = np.argsort(-counts, kind="stable")
+        numbers = np.empty(len(often), np.int64)
+        numbers[often] = np.arange(len(often)) * shards + shard + 1
+        _save(f"{folder}/words-{shard}", [hashes, numbers, counts], _WORD)
+        top = often[:FREQUENT]
+        rows = {"number": numbers[top], "n": counts[top], "tokens": 0, "words": 0, "last": 0}
+        return pd.concat([pd.DataFrame(rows), pd.DataFrame([[0, 0, counts.sum(), len(counts), numbers.max()]], columns=list(rows))])
 
     return write
 
@@ -290,70 +445,64 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, shard_tokens:
     spark = docs.sparkSession
     folder = shared_folder(spark, "ngrams")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    vocabulary = Vocabulary(folder, max(1, -(-size // (6 * shard_tokens))))
 
     def count_words(batches):
         for batch in (part for whole in batches for part in by_bytes(whole, 0, 32 << 20)):
             words, n = np.unique(tokens_of(batch.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"word": words.view(np.int64), "n": n.astype(np.int64)})
-
-    words = texts.mapInArrow(count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = materialize(words, "ngram-words")
-    sums = words.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).head()
-    tokens = sums["tokens"] or 0
-    often = words.where(F.col("n") * FREQUENT > tokens).select("word").toPandas()["word"].to_numpy(np.int64)
-    frequent = np.sort(np.append(often.view(np.uint64), BEGIN))
+            shard = (words % np.uint64(vocabulary.shards)).astype(np.int64)
+            parts = ((int(shard[own[0]]), len(own), words[own].tobytes() + n[own].astype(np.uint32).tobytes()) for own in _by_shard(shard))
+            yield _blobs(list(parts))
+
+    written = texts.mapInArrow(count_words, _BLOB).groupBy("shard")
+    kinds = "number bigint, n bigint, tokens bigint, words bigint, last bigint"
+    written = materialize(written.applyInPandas(_write_words(folder, vocabulary.shards), kinds), "ngram-words")
+    sums = written.agg(*[F.coalesce(f(c), F.lit(0)).alias(c) for f, c in ((F.sum, "tokens"), (F.sum, "words"), (F.max, "last"))]).head()
+    tokens = sums["tokens"]
+    often = written.where(F.col("n") * FREQUENT > tokens).select("number").toPandas()["number"].to_numpy(np.int64)
+    frequent = np.sort(np.append(often, BEGIN)).astype(np.uint32)
     shards = max(1, -(-tokens // shard_tokens))
 
     def count_runs(batches):
         held, size = [], 0
+
+        def send():
+            columns, n = _grouped([np.concatenate(x) for x in zip(*[own for own, _ in held])], np.concatenate([n for _, n in held]))
+            return _blobs(list(_packed(columns, n, _shards_of(columns, frequent, shards))))
+
         for batch in (part for whole in batches for part in by_bytes(whole, 0)):
-            run, counts = tokens_of(batch.column(0))
-            columns = _runs(run, counts, order)
-            at, n = _grouped(join_hashes(columns), np.ones(len(run), np.int64))
-            held.append([[column[at] for column in columns], n])
-            size += len(at)
+            found, counts = tokens_of(batch.column(0))
+            own, back = np.unique(found, return_inverse=True)
+            held.append(_grouped(_runs(vocabulary.lookup(own)[0][back], counts, order)))
+            size += len(held[-1][1])
             if size > HELD_TOKENS:
-                yield _packed_batch(list(_packed(*_joined(held), frequent, shards)))
+                yield send()
                 held, size = [], 0
         if size:
-            yield _packed_batch(list(_packed(*_joined(held), frequent, shards)))
+            yield send()
 
-    blob = "shard int, n bigint, runs binary"
-    level = texts.mapInArrow(count_runs, blob)
+    level = texts.mapInArrow(count_runs, _BLOB)
     for k in range(order, 1, -1):
-        out = "word bigint, n bigint" if k == 2 else blob
-        level = level.groupBy("shard").applyInPandas(_write_shard(folder, k, frequent, shards), out)
-    follows = level.groupBy("word").agg(F.sum("n").alias("follows"))
-    word_shards = max(1, -(-sums["words"] // (shard_tokens // 4)))
-
-    def write_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.fillna(0)
-        key = pdf["word"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        follows = pdf["follows"].to_numpy(np.int64)
-        columns = [x[order] for x in (key, pdf["n"].to_numpy(np.int64), follows)]
-        _save(f"{folder}/words-{pdf['shard'].iat[0]}", [x.astype(t) for x, t in zip(columns, _WORD)])
+        level = level.groupBy("shard").applyInPandas(_write_shard(folder, k, frequent, shards, vocabulary.shards), _BLOB)
+
+    def write_follows(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iat[0])
+        (numbers,), follows = _grouped(*_unpacked(pdf, 1))
+        stored = np.zeros(int(numbers.max() - 1) // vocabulary.shards + 1, np.int64)
+        stored[(numbers.astype(np.int64) - 1) // vocabulary.shards] = follows
+        _save(f"{folder}/follows-{shard}", [stored], _FOLLOWS)
         kinds = [*_count_of_counts(follows), int((follows >= 3).sum()), int(follows.sum())]
         return pd.DataFrame([kinds], columns=list("abcdef"))
 
-    # the remainder of the unsigned hash, from the signed one
-    top = F.shiftrightunsigned("word", 1)
-    low = F.col("word").bitwiseAND(1)
-    shard = ((top % word_shards) * 2 + low) % word_shards
-    merged = words.join(follows, "word", "left").select("word", "n", "follows", shard.cast("int").alias("shard"))
-    kinds = merged.groupBy("shard").applyInPandas(write_words, ", ".join(f"{c} bigint" for c in "abcdef"))
+    kinds = level.groupBy("shard").applyInPandas(write_follows, ", ".join(f"{c} bigint" for c in "abcdef"))
     kinds = kinds.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "abcdef"]).head()
     discount, spread = {1: discounts(list(kinds)[:4])}, {}
     for k in range(2, order + 1):
         counts, spread[k] = _read_stats(spark, folder, k, shards)
         discount[k] = discounts(counts)
     pair_kinds = [kinds["a"], kinds["b"], kinds["e"]]
-    return NgramModel(folder, order, shards, word_shards, frequent, tokens, sums["words"], discount, spread, kinds["f"], pair_kinds)
-
-
-def _joined(held: list) -> tuple[list[np.ndarray], np.ndarray]:
-    columns = [np.concatenate(x) for x in zip(*[columns for columns, _ in held])]
-    return columns, np.concatenate([n for _, n in held])
+    return NgramModel(vocabulary, order, shards, frequent, tokens, sums["words"], sums["last"] + 1, discount, spread, kinds["f"], pair_kinds)
 
 
 def score(docs: DataFrame, model: NgramModel, text_col: str = "text") -> DataFrame:

@@ -208,6 +208,26 @@ def test_registered_model_takes_two_words_before(spark, small_docs):
     assert {i: (r.held_out, r.score) for i, r in got.items()} == {i: (held[i], pytest.approx(w)) for (i, _), w in zip(rows, want)}
 
 
+def test_model_takes_a_few_bytes_a_run(spark, small_docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(ngram_model, "shared_folder", lambda spark, label: str(tmp_path))
+    docs, rows = small_docs
+    ngram_model.train(docs, order=3)
+    split = [["<s>", "<s>", *brute.words(text), None] for _, text in rows]
+    runs = [len({tuple(w[i : i + k]) for w in split for i in range(3 - k, len(w) - k + 1)}) for k in (1, 2, 3)]
+    size = sum(file.stat().st_size for file in tmp_path.iterdir() if not file.name.startswith("stats"))
+    assert size < 24 * runs[0] + 12 * runs[1] + 10 * runs[2]
+
+
+@pytest.mark.parametrize("frequent", [1, 1000])
+def test_high_counts_and_contexts_of_many_words(spark, monkeypatch, frequent):
+    monkeypatch.setattr(ngram_model, "FREQUENT", frequent)
+    texts = ["a b c " * 300, *[f"a b x{i} a x{i}" for i in range(40)], "d e " * 255, "d f d f d f d"]
+    docs = spark.createDataFrame([*enumerate(texts), (99, "a b unseen a b"), (100, None)], "doc_id bigint, text string")
+    want = brute.run_scores(texts, [r.text for r in docs.collect()], 3)
+    model = ngram_model.train(docs.where("doc_id < 99"), order=3, shard_tokens=300)
+    assert [r.score for r in ngram_model.score(docs, model).orderBy("doc_id").collect()] == pytest.approx(want)
+
+
 def test_probabilities_sum_to_one(spark):
     texts = ["a b a c", "b a d a", "c c a b e", "f g a b", "a b", "a b a b a c"]
     for order in (2, 3):
