@@ -28,6 +28,8 @@ from fleetscope.session import broadcast_if_small, materialize
 SIZE = 4
 PERCENT = 85
 BITS = 512
+#: Bits of the bitmaps that go with posting lists, at most; larger sets have half a bit a token.
+LONGEST = 1 << 15
 #: Frequent shingles that every order puts last: at most so many, found in one of SAMPLE documents.
 FREQUENT = 200_000
 SAMPLE = 32
@@ -35,6 +37,8 @@ SAMPLE = 32
 DEEP = 40
 #: Members of a posting list that meet in one block.
 BLOCK = 1024
+#: Words of bitmaps that are compared at once.
+GATHERED = 1 << 20
 _NO_ID = -(1 << 62)
 _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
@@ -91,18 +95,18 @@ def _parity(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, digest, first, others, bits, wide) per row: set size, digest, prefixes under each order, parity bitmaps.
+    """(id, n, digest, first, others, bits, broad, wide) per row: set size, digest, prefixes under each order, parity bitmaps.
 
-    ``wide`` has at least a bit per token, where that is more than ``bits`` has.
+    ``wide`` has at least a bit per token, where that is more than ``bits`` has; ``broad`` half as many.
     """
     frequent = frequent_shingles(docs, size)
     order = np.argsort(frequent)
     shared = share(docs.sparkSession, (frequent[order], order.astype(np.uint64)))
 
     def profile(batches):
-        names = ["id", "n", "digest", "first", "others", "bits", "wide"]
+        names = ["id", "n", "digest", "first", "others", "bits", "broad", "wide"]
         for batch in _parts(batches):
-            sizes, digests, first, others, bits, wide = [], [], [], [], [], []
+            sizes, digests, first, others, bits, broad, wide = [], [], [], [], [], [], []
             for own in _sets(batch, size):
                 n = len(own)
                 lacking = n - -(-percent * n // 100)
@@ -116,12 +120,13 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 first.append(prefixes[0])
                 others.append(prefixes[1:])
                 bits.append(_parity(own, BITS))
+                broad.append(_parity(own, min(1 << (n - 1).bit_length() - 1, LONGEST)) if n > 2 * BITS else bits[-1])
                 wide.append(_parity(own, 1 << (n - 1).bit_length()) if n > BITS else [])
             longs = pa.list_(pa.int64())
             columns = [pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(first, longs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(others, pa.list_(longs)), pa.array(bits, longs), pa.array(wide, longs)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(others, pa.list_(longs)), pa.array(bits, longs), pa.array(broad, longs), pa.array(wide, longs)], names)
 
-    kinds = "id bigint, n int, digest binary, first array<bigint>, others array<array<bigint>>, bits array<bigint>, wide array<bigint>"
+    kinds = "id bigint, n int, digest binary, first array<bigint>, others array<array<bigint>>, bits array<bigint>, broad array<bigint>, wide array<bigint>"
     return docs.mapInArrow(profile, kinds)
 
 
@@ -184,12 +189,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
     return links.where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b").distinct()
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places where two bitmaps differ, row by row; the longer ones are folded to the length of the others."""
+    while a.shape[1] > b.shape[1]:
+        a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+    while b.shape[1] > a.shape[1]:
+        b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
 def _cross_pairs(percent: int):
-    """Pairs of different components in runs of one key; rows sorted by key."""
+    """Pairs of different components in runs of one key whose bitmaps allow them, once a batch; rows sorted by key."""
     names = ["a", "b", "na", "nb"]
 
-    def pairs_of(rows: list[np.ndarray]):
-        key, side, node, component, n, bits = rows
+    def pairs_of(rows: list[np.ndarray], bits: pa.Array) -> np.ndarray:
+        key, side, node, component, n = rows
+        starts, words = bits.offsets.to_numpy(), bits.values.to_numpy().view(np.uint64)
+        size, found = np.diff(starts), [np.zeros((0, 4), np.int64)]
         for step in range(1, len(key)):
             i = np.flatnonzero(key[step:] == key[:-step])
             if not len(i):
@@ -199,32 +215,37 @@ def _cross_pairs(percent: int):
             ok &= (side[i, 1] == 0) | (side[i, 0] != side[j, 0])
             ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             i, j = i[ok], j[ok]
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-            near = apart * (100 + percent) <= (100 - percent) * (n[i] + n[j])
-            i, j = i[near], j[near]
-            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-            if len(i):
-                yield node[i], node[j], n[i], n[j]
+            for a, b in set(zip(size[i].tolist(), size[j].tolist())):  # few different lengths
+                own = np.flatnonzero((size[i] == a) & (size[j] == b))
+                for some in np.array_split(own, -(-len(own) * max(a, b) // GATHERED)):
+                    x, y = i[some], j[some]
+                    apart = _apart(words[starts[x][:, None] + np.arange(a)], words[starts[y][:, None] + np.arange(b)])
+                    near = apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+                    x, y = x[near], y[near]
+                    x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+                    found.append(np.stack([node[x], node[y], n[x], n[y]], 1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def batch_of(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column) for column in found.T.copy()], names)
 
     def run(batches):
-        held = None
+        held = bits = None
         for batch in batches:
-            own = [
+            rows = [
                 batch.column(0).to_numpy(),
                 np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], 1),
                 *(batch.column(c).to_numpy() for c in (3, 4, 5)),
-                batch.column(6).flatten().to_numpy().reshape(-1, BITS // 64).view(np.uint64),
             ]
-            rows = own if held is None else [np.concatenate(x) for x in zip(held, own)]
             if not len(rows[0]):
                 continue
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            bits = batch.column(6) if bits is None else pa.concat_arrays([bits, batch.column(6)])
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on in the next batch
-            for columns in pairs_of([x[:cut] for x in rows]):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names)
-            held = [x[cut:] for x in rows]
+            yield batch_of(pairs_of([x[:cut] for x in rows], bits.slice(0, cut)))
+            held, bits = [x[cut:] for x in rows], bits.slice(cut)
         if held is not None:
-            for columns in pairs_of(held):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names)
+            yield batch_of(pairs_of(held, bits))
 
     return run
 
@@ -271,6 +292,10 @@ def jaccard_groups(
     marked = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by_token = W.partitionBy("token")
     marked = marked.withColumn("mixed", F.min("component").over(by_token) < F.max("component").over(by_token)).where("mixed")
+    # members that have no other of like size in their list meet nobody
+    by_size = by_token.orderBy("n")
+    fits = (100 * F.lag("n").over(by_size) >= percent * F.col("n"), 100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    marked = marked.withColumn("meets", F.greatest(*[F.coalesce(x, F.lit(False)) for x in fits])).where("meets")
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     own = F.pmod(F.hash("node"), blocks)
     dealt = marked.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -282,7 +307,7 @@ def jaccard_groups(
         "component",
         F.col("n").cast("bigint").alias("n"),
     )
-    dealt = dealt.join(nodes.select("node", "bits"), "node").select("key", "own", "two", "node", "component", "n", "bits")
+    dealt = dealt.join(nodes.select("node", "broad"), "node").select("key", "own", "two", "node", "component", "n", "broad")
     dealt = dealt.repartition("key").sortWithinPartitions("key")
     pairs = dealt.mapInArrow(_cross_pairs(percent), "a bigint, b bigint, na bigint, nb bigint").distinct()
     more = materialize(_verified(pairs, nodes, docs, size, percent), "jaccard-links")

@@ -263,6 +263,31 @@ def test_jaccard_groups(spark, odd_docs, no_docs, monkeypatch):
     assert jaccard_join.jaccard_groups(no_docs).count() == 0
 
 
+def test_large_sets_are_told_apart_where_they_meet(spark, monkeypatch):
+    draw = random.Random(8)
+    shared = [f"s{i}" for i in range(900)]
+    rows = [(i, " ".join([*shared, *(f"w{draw.randrange(10**6)}" for _ in range(1100 + 4 * i))])) for i in range(40)]
+    rows += [(50 + i, " ".join([*rows[i][1].split()[: 1900 + 20 * i]])) for i in range(0, 40, 9)]
+    given, verified = [], jaccard_join._verified
+
+    def counted(pairs, *rest):
+        given.append((pairs.count(), pairs.distinct().count()))
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.groups(rows)
+    assert given[1][0] <= 40  # of 990 pairs
+
+
+def test_bitmaps_of_different_lengths(spark):
+    x, y = (np.random.default_rng(i).integers(1 << 63, size=3000, dtype=np.uint64) for i in (1, 2))
+    bits = lambda own, n: jaccard_join._parity(own, n).view(np.uint64)[None]
+    for n in (512, 1024, 4096):
+        assert jaccard_join._apart(bits(x, 4096), bits(y, n)) == jaccard_join._apart(bits(x, n), bits(y, n))
+        assert jaccard_join._apart(bits(x, n), bits(y, 2048)) == jaccard_join._apart(bits(x, min(n, 2048)), bits(y, min(n, 2048)))
+
+
 def test_connected_components(spark):
     draw = random.Random(4)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1040)]
