@@ -10,8 +10,6 @@ token, are encoded as they are.
 
 from __future__ import annotations
 
-import gc
-import itertools
 import os
 import re
 
@@ -20,7 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Encoded parts that are remembered between slices.
-KNOWN = 300_000
+KNOWN = 600_000
+#: Parts that are encoded as one text.
+TOGETHER = 1_000
 #: Put where a text is cut; texts that have it are encoded as they are.
 _CUT = "\x01"
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
@@ -40,24 +40,48 @@ class Encoder:
         self._feed = self._whole("\n")
         special = [re.escape(t.content) for t in self._model.get_added_tokens_decoder().values()]
         self._whole_only = "|".join([_CUT, *special])
-        self._known: dict[str, tuple] = {}
+        vocabulary = self._model.get_vocab(with_added_tokens=False)
+        self._bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # of each token; a character is a byte
+        self._bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self._known: dict[str, bytes] = {}  # tokens of 4 bytes
 
     def _whole(self, text: str) -> tuple:
         return tuple(self._model.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def _learn(self, parts: list[str]) -> None:
-        """Parts have no white space but a blank before them, or are line feeds; the former are encoded together, a line each."""
-        words = [part for part in parts if part[0] != "\n"]
-        ids = self._whole("\n".join(words))
-        bounds = [-1, *[i for i, token in enumerate(ids) if token == self._feed[0]], len(ids)]
-        together = len(self._feed) == 1 and len(bounds) == len(words) + 1
-        if together:
-            self._known.update((a, ids[p + 1 : q]) for a, p, q in zip(words, bounds, bounds[1:]))
+        """Parts have no white space but a blank before them, or are line feeds.
+
+        Those with a blank are encoded one after another, as they are cut there anyway, and told apart by their bytes;
+        others are encoded a line each.
+        """
+        blank = [part for part in parts if part[0] == " "]
+        for at in range(0, len(blank), TOGETHER):
+            some = blank[at : at + TOGETHER]
+            ids = np.array(self._whole("".join(some)), np.uint32)
+            ends = np.cumsum([len(part.encode()) for part in some])
+            reached = np.cumsum(self._bytes[np.minimum(ids, len(self._bytes) - 1)])
+            bounds = np.searchsorted(reached, ends) + 1
+            if bounds[-1] == len(ids) and (reached[bounds - 1] == ends).all():
+                self._keep(some, ids, np.append(0, bounds[:-1]), bounds)
+            else:
+                self._each(some)
+        words = [part for part in parts if part[0] not in " \n"]
+        ids = np.array(self._whole("\n".join(words)), np.uint32)
+        feeds = np.flatnonzero(ids == self._feed[0])
+        if len(self._feed) == 1 and len(feeds) == len(words) - 1:
+            self._keep(words, ids, np.append(0, feeds + 1), np.append(feeds, len(ids)))
+        else:
+            self._each(words)
         for part in parts:
             if part[0] == "\n":  # something solid follows, which decides how line feeds are cut
-                self._known[part] = self._whole(part + "x")[:-1]
-            elif not together:
-                self._known[part] = self._whole(part)
+                self._known[part] = np.array(self._whole(part + "x")[:-1], np.uint32).tobytes()
+
+    def _keep(self, parts: list[str], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self._known.update((part, raw[a:b]) for part, a, b in zip(parts, (4 * begins).tolist(), (4 * ends).tolist()))
+
+    def _each(self, parts: list[str]) -> None:
+        self._known.update((part, np.array(self._whole(part), np.uint32).tobytes()) for part in parts)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all rows one after another, number of tokens of every row); null counts as empty."""
@@ -79,18 +103,14 @@ class Encoder:
         bad |= feeds[number] & follows
         odd = np.add.reduceat(bad, bounds[:-1], dtype=np.int64) > 0
         odd |= pc.match_substring_regex(texts, self._whole_only).to_numpy(zero_copy_only=False)
-        collecting = gc.isenabled()
-        gc.disable()  # very many small tuples, none of them in a cycle
         if len(self._known) > KNOWN:
             self._known.clear()
         words = [word if fine else "" for word, fine in zip(distinct.to_pylist(), good.tolist())]
-        self._known[""] = ()
+        self._known[""] = b""
         self._learn([word for word in words if word not in self._known])
         found = [self._known[word] for word in words]
-        if collecting:
-            gc.enable()
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         lengths = sizes[number]
         total = np.cumsum(lengths)
         at = np.repeat((np.cumsum(sizes) - sizes)[number] - (total - lengths), lengths)

@@ -103,6 +103,19 @@ def test_tokens_equal_whole_texts():
         assert own.tolist() == model.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_words_are_learnt_once_and_together():
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdeéü") for _ in range(8)) for _ in range(350_000)]
+    encoder, given = Encoder(open(PATH, encoding="utf-8").read()), []
+    whole = encoder._whole
+    encoder._whole = lambda text: given.append(text) or whole(text)
+    for again in (1, 2):
+        for part in (words[:120_000], words[120_000:240_000], words[240_000:]):
+            ids, _ = encoder.encode(pa.array([" ".join(part)]))
+    assert ids.tolist() == list(whole(" ".join(words[240_000:])))
+    assert sum(map(len, given)) < 1.1 * sum(len(word) + 1 for word in set(words)) and not any("\n" in text for text in given)
+
+
 def check_packing(rows, docs, capacity, end=2):
     """Every document is there as it is, and every sequence is gapless and not too long; returns the sequences."""
     model, pieces, sequences = Tokenizer.from_file(PATH), defaultdict(list), defaultdict(list)
