@@ -7,7 +7,9 @@ parity bitmaps, before the sets are compared.
 
 Groups of near copies are not expanded into pairs. First every document is
 compared with the most typical member of its posting lists, which joins most of a
-group; then only pairs of different components are looked at, all of them.
+group; then only pairs of different components are looked at, all of them. Lists
+with the same most typical member meet in one place, so that a document's bitmap
+goes there once and not with each list.
 """
 
 from __future__ import annotations
@@ -37,8 +39,11 @@ SAMPLE = 32
 DEEP = 40
 #: Members of a posting list that meet in one block.
 BLOCK = 1024
-#: Words of bitmaps that are compared at once.
+#: Lists of one centre meet in parts, as many as members of a list times tokens of the centre make such thousands.
+TOGETHER = 128
+#: Words of bitmaps that are compared at once, and pairs that wait for that.
 GATHERED = 1 << 20
+WAITING = 1 << 16
 _NO_ID = -(1 << 62)
 _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
@@ -199,22 +204,16 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _cross_pairs(percent: int):
-    """Pairs of different components in runs of one key whose bitmaps allow them, once a batch; rows sorted by key."""
+    """Pairs of different components that have a key and a token in common and whose bitmaps allow them, once a batch; rows sorted by key."""
     names = ["a", "b", "na", "nb"]
 
-    def pairs_of(rows: list[np.ndarray], bits: pa.Array) -> np.ndarray:
+    def pairs_of(rows: list[np.ndarray], bits: pa.Array, tokens: pa.Array) -> np.ndarray:
         key, side, node, component, n = rows
         starts, words = bits.offsets.to_numpy(), bits.values.to_numpy().view(np.uint64)
         size, found = np.diff(starts), [np.zeros((0, 4), np.int64)]
-        for step in range(1, len(key)):
-            i = np.flatnonzero(key[step:] == key[:-step])
-            if not len(i):
-                break
-            j = i + step
-            ok = (component[i] != component[j])
-            ok &= (side[i, 1] == 0) | (side[i, 0] != side[j, 0])
-            ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            i, j = i[ok], j[ok]
+
+        def compare(codes: list[np.ndarray]) -> None:
+            i, j = np.divmod(np.unique(np.concatenate(codes)), len(key))
             for a, b in set(zip(size[i].tolist(), size[j].tolist())):  # few different lengths
                 own = np.flatnonzero((size[i] == a) & (size[j] == b))
                 for some in np.array_split(own, -(-len(own) * max(a, b) // GATHERED)):
@@ -224,13 +223,37 @@ def _cross_pairs(percent: int):
                     x, y = x[near], y[near]
                     x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
                     found.append(np.stack([node[x], node[y], n[x], n[y]], 1))
+
+        # members of all lists, list by list
+        ends = tokens.offsets.to_numpy()
+        token, row = tokens.values.to_numpy()[ends[0] : ends[-1]], np.repeat(np.arange(len(key)), np.diff(ends))
+        order = np.lexsort((token, key[row]))
+        token, row = token[order], row[order]
+        new = (token[1:] != token[:-1]) | (key[row[1:]] != key[row[:-1]])
+        number = np.concatenate([[0], np.cumsum(new)])
+        waiting, pairs = [], 0
+        for step in range(1, len(row)):
+            at = np.flatnonzero(number[step:] == number[:-step])
+            if not len(at):
+                break
+            i, j = row[at], row[at + step]
+            ok = (component[i] != component[j])
+            ok &= (side[i, 1] == 0) | (side[i, 0] != side[j, 0])
+            ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            waiting.append(i[ok] * len(key) + j[ok])
+            pairs += len(waiting[-1])
+            if pairs > WAITING:
+                compare(waiting)
+                waiting, pairs = [], 0
+        if pairs:
+            compare(waiting)
         return np.unique(np.concatenate(found), axis=0)
 
     def batch_of(found: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(column) for column in found.T.copy()], names)
 
     def run(batches):
-        held = bits = None
+        held = lists = None
         for batch in batches:
             rows = [
                 batch.column(0).to_numpy(),
@@ -240,16 +263,67 @@ def _cross_pairs(percent: int):
             if not len(rows[0]):
                 continue
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-            bits = batch.column(6) if bits is None else pa.concat_arrays([bits, batch.column(6)])
+            new = [batch.column(6), batch.column(7)]
+            lists = new if lists is None else [pa.concat_arrays(x) for x in zip(lists, new)]
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on in the next batch
-            yield batch_of(pairs_of([x[:cut] for x in rows], bits.slice(0, cut)))
-            held, bits = [x[cut:] for x in rows], bits.slice(cut)
+            if cut:
+                yield batch_of(pairs_of([x[:cut] for x in rows], *(x.slice(0, cut) for x in lists)))
+                held, lists = [x[cut:] for x in rows], [x.slice(cut) for x in lists]
+            else:
+                held = rows
         if held is not None:
-            yield batch_of(pairs_of(held, bits))
+            yield batch_of(pairs_of(held, *lists))
 
     return run
 
 
+def _posting_lists(nodes: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, df, centre, cn): members of posting lists that have another of like size in theirs.
+
+    ``df`` is the list's length, ``centre`` its most typical member, the one that is
+    in the most and longest lists for its size, and ``cn`` the size of that.
+    """
+    postings = nodes.select(F.explode("first").alias("token"), F.col("n").cast("bigint").alias("n"), "node")
+    by_size = W.partitionBy("token").orderBy("n")
+    fits = (100 * F.lag("n").over(by_size) >= percent * F.col("n"), 100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    many = F.count(F.lit(1)).over(by_size.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    postings = postings.select("*", many.alias("df"), F.greatest(*[F.coalesce(x, F.lit(False)) for x in fits]).alias("meets"))
+    postings = postings.where("meets").drop("meets")
+    # no join with a table of the nodes, whose plan and bytes would change with its size; structs are made after the shuffle
+    typical = postings.withColumn("support", F.sum("df").over(W.partitionBy("node")) / F.col("n")).repartition("token")
+    member = F.struct("support", (-F.col("node")).alias("key"), "n")
+    lists = typical.withColumn("c", F.max(member).over(W.partitionBy("token")))
+    return lists.select("token", "node", "n", "df", (-F.col("c.key")).alias("centre"), F.col("c.n").alias("cn"))
+
+
+def _dealt(lists: DataFrame, joined: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, own, two, node, component, n, broad, tokens): where members of lists with different components meet.
+
+    Lists of one centre and like length meet in one place, and long ones in blocks. Where the
+    centre has many tokens or its lists many members, it has several such places, so that none
+    grows without bound. A node comes once a key, with all its lists there.
+    """
+    marked = lists.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    by_token = W.partitionBy("token")
+    marked = marked.withColumn("mixed", F.min("component").over(by_token) < F.max("component").over(by_token)).where("mixed")
+    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
+    parts = F.ceil(F.col("cn") * F.least("df", F.lit(BLOCK)) / (TOGETHER << 10)).cast("int")
+    dealt = marked.withColumn("own", F.pmod(F.hash("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    key = F.xxhash64("centre", blocks, parts, F.pmod(F.hash("token"), parts), F.least("own", "with"), F.greatest("own", "with"))
+    dealt = dealt.select(
+        "token",
+        key.alias("key"),
+        F.col("own").cast("bigint").alias("own"),
+        (F.col("own") != F.col("with")).cast("bigint").alias("two"),
+        "n",
+        "component",
+        "node",
+    )
+    columns = ["key", "own", "two", "node", "component", "n"]
+    dealt = dealt.repartition("node").groupBy(*columns).agg(F.collect_list("token").alias("tokens"))
+    return dealt.join(nodes.select("node", "broad"), "node").select(*columns, "broad", "tokens")
+
+
 def jaccard_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT
 ) -> DataFrame:
@@ -274,41 +348,16 @@ def jaccard_groups(
     repeated = rows.where("n > 0").select("row", "digest").join(classes.where("copies > 1"), "digest").where("row <> node")
     later = materialize(repeated.select("row"), "jaccard-repeated")
     nodes = rows.where("n > 0").join(broadcast_if_small(later), "row", "left_anti").withColumnRenamed("row", "node")
-    postings = nodes.select("node", "n", F.explode("first").alias("token"))
-    many = F.count(F.lit(1)).over(W.partitionBy("token"))
-    postings = materialize(postings.withColumn("df", many).where("df > 1"), "jaccard-postings")
+    lists = materialize(_posting_lists(nodes, percent), "jaccard-lists")
 
     # first round: everyone with the most typical member of each of its posting lists
-    support = postings.groupBy("node").agg((F.sum("df") / F.max("n")).alias("support"))
-    member = F.struct("support", (-F.col("node")).alias("key"), "n")
-    centre = F.max(member).over(W.partitionBy("token"))
-    stars = postings.join(support, "node").select(F.col("node").alias("a"), F.col("n").alias("na"), centre.alias("c"))
-    stars = stars.select("a", "na", (-F.col("c.key")).alias("b"), F.col("c.n").alias("nb")).where("a <> b")
+    stars = lists.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("centre").alias("b"), F.col("cn").alias("nb")).where("a <> b")
     stars = stars.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).distinct()
     links = materialize(_verified(stars, nodes, docs, size, percent), "jaccard-links")
     joined = connected_components(links)
 
     # second round: pairs of different components, all of them
-    marked = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    by_token = W.partitionBy("token")
-    marked = marked.withColumn("mixed", F.min("component").over(by_token) < F.max("component").over(by_token)).where("mixed")
-    # members that have no other of like size in their list meet nobody
-    by_size = by_token.orderBy("n")
-    fits = (100 * F.lag("n").over(by_size) >= percent * F.col("n"), 100 * F.col("n") >= percent * F.lead("n").over(by_size))
-    marked = marked.withColumn("meets", F.greatest(*[F.coalesce(x, F.lit(False)) for x in fits])).where("meets")
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    own = F.pmod(F.hash("node"), blocks)
-    dealt = marked.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(
-        F.xxhash64("token", F.least("own", "with"), F.greatest("own", "with")).alias("key"),
-        F.col("own").cast("bigint").alias("own"),
-        (F.col("own") != F.col("with")).cast("bigint").alias("two"),
-        "node",
-        "component",
-        F.col("n").cast("bigint").alias("n"),
-    )
-    dealt = dealt.join(nodes.select("node", "broad"), "node").select("key", "own", "two", "node", "component", "n", "broad")
-    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    dealt = _dealt(lists, joined, nodes).repartition("key").sortWithinPartitions("key")
     pairs = dealt.mapInArrow(_cross_pairs(percent), "a bigint, b bigint, na bigint, nb bigint").distinct()
     more = materialize(_verified(pairs, nodes, docs, size, percent), "jaccard-links")
     groups = connected_components(links.unionByName(more))

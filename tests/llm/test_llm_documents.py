@@ -280,6 +280,33 @@ def test_large_sets_are_told_apart_where_they_meet(spark, monkeypatch):
     assert given[1][0] <= 40  # of 990 pairs
 
 
+def test_bitmaps_go_once_to_lists_of_the_same_centre(spark, monkeypatch):
+    draw = random.Random(9)
+    shared, rows = [f"s{i}" for i in range(400)], []
+    for i in range(60):  # near, but below the limit
+        own = list(shared)
+        for at in draw.sample(range(0, 400, 4), 14):
+            own[at] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, rows[i][1] + " more words") for i in range(0, 60, 20)]
+    sent, dealt = [], jaccard_join._dealt
+
+    def counted(lists, *rest):
+        out = dealt(lists, *rest)
+        sent.extend(out.selectExpr("count(*) AS n", "count(DISTINCT node) AS nodes", "sum(size(tokens)) AS members").collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_dealt", counted)
+    for block, together in ((jaccard_join.BLOCK, jaccard_join.TOGETHER), (8, jaccard_join.TOGETHER), (8, 1)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "TOGETHER", together)
+        got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.groups(rows)
+    assert sent[0].nodes >= 60 and sent[0].members > 10 * sent[0].nodes  # so many bitmaps went to the lists
+    assert sent[0].n <= 4 * sent[0].nodes
+    assert sent[2].n > sent[1].n > sent[0].n
+
+
 def test_bitmaps_of_different_lengths(spark):
     x, y = (np.random.default_rng(i).integers(1 << 63, size=3000, dtype=np.uint64) for i in (1, 2))
     bits = lambda own, n: jaccard_join._parity(own, n).view(np.uint64)[None]
